@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
@@ -91,14 +92,21 @@ class TopicModel:
 
 
 def labelled_vectors(
-    features: DataFrame, matrix: DataFrame, dim: int, weights: DataFrame | None = None
+    features: DataFrame,
+    matrix: DataFrame,
+    dim: int,
+    weights: DataFrame | None = None,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """(features, label, weight) from feature rows with a one-hot ``category``.
 
-    ``weights`` has (idx, weight); classes without a weight count once.
+    ``weights`` has (idx, weight); classes without a weight count once. ``keep`` names
+    further columns to carry along.
     """
     slim = features.select(
-        "paddedWords", (F.array_position("category", F.lit(1)) - 1).cast("int").alias("idx")
+        *keep,
+        "paddedWords",
+        (F.array_position("category", F.lit(1)) - 1).cast("int").alias("idx"),
     ).where("idx >= 0")
     pooled = page_vectors(slim, matrix, dim)
     if weights is None:
@@ -107,7 +115,9 @@ def labelled_vectors(
         weighted = lookup_join(pooled, weights, "idx", "left").withColumn(
             "weight", F.coalesce("weight", F.lit(1.0))
         )
-    return weighted.select("features", F.col("idx").cast("double").alias("label"), "weight")
+    return weighted.select(
+        *keep, "features", F.col("idx").cast("double").alias("label"), "weight"
+    )
 
 
 def fit_classifier(

@@ -85,10 +85,9 @@ def mean_vectors(
                           max_floats // max(dim, 1))
     if known is None:
         return mean_vectors_by_join(df, matrix, dim, ids, out)
-    known = known.combine_chunks()
     numbers = known["id"].to_numpy()
     table = np.zeros((int(numbers.max(initial=0)) + 1, dim), dtype=np.float32)
-    table[numbers] = np.asarray(pc.list_flatten(known["vector"])).reshape(-1, dim)
+    table[numbers] = np.asarray(pc.list_flatten(known["vector"].combine_chunks())).reshape(-1, dim)
     shared = df.sparkSession.sparkContext.broadcast(table)
 
     @F.arrow_udf(T.ArrayType(T.DoubleType()))

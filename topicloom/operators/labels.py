@@ -28,9 +28,7 @@ def class_weights(counts: DataFrame) -> DataFrame:
 
 def label_index(counts: DataFrame) -> DataFrame:
     """(label, idx): 0-based class numbers, frequent labels first, ties by name."""
-    numbered = dense_index(
-        counts, [F.desc("count"), F.asc("category")], known_rows=LABEL_ROWS
-    )
+    numbered = dense_index(counts, [F.desc("count"), F.asc("category")])
     return numbered.select(F.col("category").alias("label"), F.col("idx").cast("int").alias("idx"))
 
 

@@ -29,8 +29,9 @@ def token_ids(
     words = bounded_arrow(vocabulary.select("word", "id"), max_broadcast_rows)
     if words is None:
         return token_ids_by_join(df, vocabulary, tokens, out, max_broadcast_rows)
-    words = words.combine_chunks()
-    shared = df.sparkSession.sparkContext.broadcast((words["word"], words["id"]))
+    shared = df.sparkSession.sparkContext.broadcast(
+        (words["word"].combine_chunks(), words["id"].combine_chunks())
+    )
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def look_up(lists: pa.Array) -> pa.Array:

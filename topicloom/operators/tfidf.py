@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topicloom.operators.vocabulary import VOCABULARY_SIZE, build_vocabulary
+from topicloom.scale import lookup_join
 
 
 def fit_tf_idf(
@@ -31,16 +32,16 @@ def tf_idf(
 ) -> DataFrame:
     """(key, word, tf, tfidf): one row per text and vocabulary word in it."""
     model = fit_tf_idf(tokenised.select(tokens), size, tokens)
-    words = F.array(*[F.lit(w) for w in model.stages[0].vocabulary])
+    words = tokenised.sparkSession.createDataFrame(
+        list(enumerate(model.stages[0].vocabulary)), "i int, word string"
+    )
     scored = model.transform(tokenised.select(key, tokens)).select(
         key, F.unwrap_udt("_tf").alias("tf"), F.unwrap_udt("tfidf").alias("w")
     )
     entries = F.arrays_zip(
         F.col("tf.indices").alias("i"), F.col("tf.values").alias("tf"), F.col("w.values").alias("w")
     )
-    return scored.select(key, F.explode(entries).alias("e")).select(
-        key,
-        F.element_at(words, F.col("e.i") + 1).alias("word"),
-        F.col("e.tf").cast("long").alias("tf"),
-        F.col("e.w").alias("tfidf"),
+    weighted = scored.select(key, F.inline(entries).alias("i", "tf", "w"))
+    return lookup_join(weighted, words, "i", known_rows=size).select(
+        key, "word", F.col("tf").cast("long").alias("tf"), F.col("w").alias("tfidf")
     )

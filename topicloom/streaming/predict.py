@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from topicloom.operators.classifier import TopicModel
 
@@ -11,7 +12,7 @@ from topicloom.operators.classifier import TopicModel
 def read_page_stream(
     spark: SparkSession,
     folder: str,
-    schema: str,
+    schema: str | StructType,
     file_format: str = "json",
     name_filter: str | None = None,
     max_files: int | None = None,
