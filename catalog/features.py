@@ -14,7 +14,7 @@ from catalog.inputs import (
     joined,
     table,
     tokens_sql,
-    topic_pages,
+    topic_tokens,
     vocabulary_sql,
 )
 from catalog.registry import query
@@ -40,7 +40,7 @@ FEATURES_SQL = f"""WITH {TOPIC_PAGES_SQL},
 
 
 def topic_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = topic_pages(spark, sf_dir)
+    pages = topic_tokens(spark, sf_dir)
     counted, rows = vocabulary.tokens_and_vocab(pages)
     words = vocabulary.dense_word_ids(counted, known_rows=vocabulary.VOCABULARY_SIZE)
     names = labels.label_list(labels.label_index(labels.category_counts(pages)))

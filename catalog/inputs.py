@@ -9,6 +9,8 @@ from topicloom.functions.text import clean_tokens
 from topicloom.functions.urls import host_of
 from topicloom.operators.taxonomy import map_to_topics
 from topicloom.operators.vocabulary import VOCABULARY_SIZE, build_vocabulary, dense_word_ids
+from topicloom.session import scratch_path
+from topicloom.sources.readers import read_parquet
 
 # Topic rules over the category paths built below: an excluded prefix, a prefix that also
 # matches longer names (src1 and src10 to src19), two prefixes, a rule without a match.
@@ -22,8 +24,12 @@ RULES = [
 ]
 
 
+TEXT_TABLES = {"documents", "pages", "conversations"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    return read_parquet(spark, path) if name in TEXT_TABLES else spark.read.parquet(path)
 
 
 def rules(spark: SparkSession) -> DataFrame:
@@ -66,6 +72,14 @@ def topic_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return map_to_topics(document_pages(spark, sf_dir), rules(spark))
 
 
+def topic_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Topic pages as tokens, written once for the steps that read them."""
+    path = scratch_path(spark, "tokens")
+    pages = document_pages(spark, sf_dir).withColumn("tokens", clean_tokens(F.col("text")))
+    map_to_topics(pages.drop("text"), rules(spark)).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(
         "doc_id", "lang", clean_tokens(F.col("text")).alias("tokens")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalog.inputs import joined, table, topic_pages, word_vectors
+from catalog.inputs import joined, table, topic_tokens, word_vectors
 from catalog.registry import query
 from topicloom.operators import classifier, embeddings, labels, sequences, splits, vocabulary
 from topicloom.session import scratch_path
@@ -21,7 +21,7 @@ def _train(spark: SparkSession, sf_dir: str) -> tuple[classifier.TopicModel, Dat
     key = (spark.sparkContext.applicationId, sf_dir)
     if key in _trained:
         return _trained[key]
-    pages = topic_pages(spark, sf_dir)
+    pages = topic_tokens(spark, sf_dir)
     counted, rows = vocabulary.tokens_and_vocab(pages)
     vectors = word_vectors(spark, sf_dir)
     dim = embeddings.vector_dim(vectors)

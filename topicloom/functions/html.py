@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html.entities
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -73,6 +74,11 @@ def decode_entities(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("&")), joined).otherwise(text)
 
 
+def _computed_once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` where ``use`` names the value several times."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def html_to_text(page: Column) -> Column:
     """Title and body text of a page, white space collapsed.
 
@@ -82,4 +88,5 @@ def html_to_text(page: Column) -> Column:
     visible = F.regexp_replace(page, _HIDDEN, "")
     spaced = F.regexp_replace(visible, _SEPARATING_TAG, " ")
     plain = F.regexp_replace(spaced, _OTHER_TAG, "")
-    return F.trim(F.regexp_replace(decode_entities(plain), r"[ \t\n\f\r]+", " "))
+    decoded = _computed_once(plain, decode_entities)
+    return F.trim(F.regexp_replace(decoded, r"[ \t\n\f\r]+", " "))

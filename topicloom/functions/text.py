@@ -33,8 +33,11 @@ _WORD_PIECE = "[A-Z]+(?![a-z])|[A-Z]?[a-z]+"
 
 
 def remove_site_markers(text: Column) -> Column:
-    """Blank out site markers, also inside words; case-sensitive."""
-    return F.regexp_replace(text, SITE_MARKERS, " ")
+    """Blank out site markers, also inside words; case-sensitive.
+
+    The look-ahead rejects most positions with one comparison instead of seven.
+    """
+    return F.regexp_replace(text, f"(?=[.w])(?:{SITE_MARKERS})", " ")
 
 
 def letters_only(text: Column) -> Column:

@@ -9,21 +9,25 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.ml.classification import NaiveBayes, NaiveBayesModel
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicloom.operators.labels import category_counts, class_weights
-from topicloom.operators.vocabulary import build_vocabulary
-from topicloom.scale import bounded_rows
+from topicloom.operators.vocabulary import word_vectorizer
+from topicloom.scale import bounded_arrow, bounded_rows, explode_once, filter_once
+from topicloom.session import scratch_path
 
 ENGLISH = "en"
 # Fixed value: least probability of a language that counts as detected.
 LEAST_PROBABILITY = 0.5
 PROFILE_SIZE = 1 << 18
 MAX_LANGUAGES = 1_000
+MAX_CELLS = 20_000_000
 
 # All overlapping groups of three characters; a group does not start inside a character.
 _TRIGRAM = r"(?s)(?=([^\x{DC00}-\x{DFFF}]..))"
@@ -68,7 +72,9 @@ class LanguageModel:
         place = self.languages.index(language) + 1
         scored = self.probabilities(df, text)
         likely = F.element_at("languageProbabilities", place)
-        return scored.where(likely >= LEAST_PROBABILITY).drop("language", "languageProbabilities")
+        return filter_once(scored, likely >= LEAST_PROBABILITY).drop(
+            "language", "languageProbabilities"
+        )
 
     def save(self, path: str) -> None:
         spark = SparkSession.active()
@@ -95,40 +101,51 @@ def fit_language_model(
     """Train on texts with a known language.
 
     Languages weigh the same however many texts they have. ``size`` trigrams, the most
-    frequent ones, make up the profile.
+    frequent ones, make up the profile. The texts are read once, into a table of counts
+    per language; the classifier is then fitted on one count vector per language.
     """
-    grams = labelled.select(
-        F.col(language).alias("language"), trigrams(F.col(text)).alias("_grams")
-    ).where("language is not null and _grams is not null")
-    profile = build_vocabulary(grams, size, "_grams").select("word").collect()
-    counts = category_counts(grams.select(F.array("language").alias("categories")))
-    weights = bounded_rows(class_weights(counts), MAX_LANGUAGES)
+    known = labelled.select(F.col(language).alias("language"), F.col(text).alias("text")).where(
+        "language is not null and text is not null"
+    )
+    counts_path = scratch_path(labelled.sparkSession, "trigrams")
+    explode_once(known, trigrams(F.col("text")), "word").groupBy("language", "word").agg(
+        F.count("*").alias("count")
+    ).write.parquet(counts_path)
+    counts = labelled.sparkSession.read.parquet(counts_path)
+
+    texts = category_counts(known.select(F.array("language").alias("categories")))
+    weights = bounded_rows(class_weights(texts), MAX_LANGUAGES)
     if not weights:
         raise ValueError(f"between 1 and {MAX_LANGUAGES} languages are needed")
     weight_of = {row.category: row.weight for row in weights}
     languages = sorted(weight_of)
-    vectorizer = CountVectorizerModel.from_vocabulary(
-        [row.word for row in profile], inputCol="_grams", outputCol="_counts"
-    )
-    names = F.array(*[F.lit(name) for name in languages])
-    by_place = F.array(*[F.lit(weight_of[name]) for name in languages])
-    place = F.array_position(names, F.col("language")).cast("int")
-    training = vectorizer.transform(grams).select(
-        "_counts",
-        (place - 1).cast("double").alias("label"),
-        F.element_at(by_place, place).alias("weight"),
+
+    totals = counts.groupBy("word").agg(F.sum("count").alias("count"))
+    frequent = totals.orderBy(F.desc("count"), F.asc("word")).limit(size)
+    vectorizer = word_vectorizer(frequent, "_grams", "_counts")
+    grams = vectorizer.vocabulary
+    profile = labelled.sparkSession.createDataFrame(
+        pa.table({"word": grams, "idx": range(len(grams))})
     )
+    cells = bounded_arrow(counts.join(F.broadcast(profile), "word"), MAX_CELLS)
+    if cells is None:
+        raise ValueError(f"more than {MAX_CELLS} counts; choose a smaller profile size")
+    found = cells.select(["idx", "language", "count"]).to_pandas().sort_values("idx")
+    rows = []
+    for label, name in enumerate(languages):
+        part = found[found["language"] == name]
+        weighted = part["count"].to_numpy() * weight_of[name]
+        rows.append((float(label), Vectors.sparse(len(grams), part["idx"].to_numpy(), weighted)))
     bayes = NaiveBayes(
         featuresCol="_counts",
         labelCol="label",
-        weightCol="weight",
         probabilityCol="_probability",
         rawPredictionCol="_raw",
         predictionCol="_prediction",
         smoothing=1.0,
     )
-    classifier = bayes.fit(training).setPredictionCol("")
-    return LanguageModel(languages, vectorizer, classifier)
+    training = labelled.sparkSession.createDataFrame(rows, ["label", "_counts"])
+    return LanguageModel(languages, vectorizer, bayes.fit(training).setPredictionCol(""))
 
 
 def english_only(pages: DataFrame, model: LanguageModel) -> DataFrame:

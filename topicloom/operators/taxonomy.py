@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topicloom.functions.categories import rule_match, strip_top_prefix
-from topicloom.scale import BROADCAST_ROWS, bounded_rows, lookup_join, with_row_key
+from topicloom.scale import BROADCAST_ROWS, bounded_rows, explode_once, lookup_join, with_row_key
 
 INLINE_RULES = 2_000
 
@@ -29,13 +29,8 @@ def _rules_column(rules: list[Row]) -> Column:
 
 
 def _topic_rows(pages: DataFrame) -> DataFrame:
-    return pages.select(
-        "uri",
-        "origUri",
-        F.array("topic").alias("categories"),
-        "text",
-        F.col("categories").alias("origCategories"),
-    )
+    named = {"categories": F.array("topic"), "origCategories": F.col("categories")}
+    return pages.withColumns(named).drop("topic", "category", "_row")
 
 
 def map_to_topics(
@@ -44,6 +39,7 @@ def map_to_topics(
     """One row per (page, category, matching rule) with the topic as only category.
 
     A page with two categories that match one rule appears twice, unless ``dedupe``.
+    Other columns are carried along.
     Rules up to ``INLINE_RULES`` become a constant of the plan: no join, no shuffle, the
     text never leaves its task. More rules go through ``map_to_topics_by_prefix``.
     """
@@ -64,7 +60,7 @@ def map_to_topics(
     topics = F.flatten(F.transform("categories", topics_of))
     if dedupe:
         topics = F.array_distinct(topics)
-    return _topic_rows(pages.withColumn("topic", F.explode(topics)))
+    return _topic_rows(explode_once(pages, topics, "topic"))
 
 
 def category_topics(

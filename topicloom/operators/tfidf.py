@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import IDF, CountVectorizerModel
+from pyspark.ml.feature import IDF
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.operators.vocabulary import VOCABULARY_SIZE, build_vocabulary
-from topicloom.scale import lookup_join
+from topicloom.operators.vocabulary import VOCABULARY_SIZE, build_vocabulary, word_vectorizer
+from topicloom.scale import explode_once, lookup_join
 
 
 def fit_tf_idf(
@@ -21,8 +21,7 @@ def fit_tf_idf(
 
     The fitted stages turn a row's tokens into a sparse vector without a shuffle.
     """
-    words = [row.word for row in build_vocabulary(tokenised, size, tokens).collect()]
-    counter = CountVectorizerModel.from_vocabulary(words, inputCol=tokens, outputCol="_tf")
+    counter = word_vectorizer(build_vocabulary(tokenised, size, tokens), tokens, "_tf")
     idf = IDF(inputCol="_tf", outputCol=out).fit(counter.transform(tokenised))
     return PipelineModel([counter, idf])
 
@@ -41,7 +40,7 @@ def tf_idf(
     entries = F.arrays_zip(
         F.col("tf.indices").alias("i"), F.col("tf.values").alias("tf"), F.col("w.values").alias("w")
     )
-    weighted = scored.select(key, F.inline(entries).alias("i", "tf", "w"))
+    weighted = explode_once(scored, entries, "e").select(key, "e.*")
     return lookup_join(weighted, words, "i", known_rows=size).select(
         key, "word", F.col("tf").cast("long").alias("tf"), F.col("w").alias("tfidf")
     )

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topicloom.functions.text import clean_tokens
-from topicloom.scale import dense_index
+from topicloom.scale import dense_index, explode_once
 
 VOCABULARY_SIZE = 20_000
 
@@ -14,7 +15,7 @@ VOCABULARY_SIZE = 20_000
 def word_counts(tokenised: DataFrame, tokens: str = "tokens") -> DataFrame:
     """(word, count) over all token arrays; frequent words collapse before the shuffle."""
     return (
-        tokenised.select(F.explode(tokens).alias("word"))
+        explode_once(tokenised.select(tokens), F.col(tokens), "word")
         .groupBy("word")
         .agg(F.count("*").alias("count"))
     )
@@ -39,11 +40,14 @@ def tokens_and_vocab(
 ) -> tuple[DataFrame, DataFrame]:
     """(vocabulary, token rows): one token row per page and category.
 
-    The vocabulary is counted over the pages, before categories are exploded.
+    The vocabulary is counted over the pages, before categories are exploded. Pages that
+    have ``tokens`` already are not tokenised again.
     """
-    tokenised = pages.withColumn("tokens", clean_tokens(F.col("text")))
-    rows = tokenised.select(
-        "uri", "origUri", F.explode("categories").alias("category"), "text", "tokens"
+    tokenised = pages
+    if "tokens" not in pages.columns:
+        tokenised = pages.withColumn("tokens", clean_tokens(F.col("text")))
+    rows = tokenised.withColumn("category", F.explode("categories")).drop(
+        "categories", "origCategories"
     )
     return build_vocabulary(tokenised, size), rows
 
@@ -54,7 +58,9 @@ def first_seen_index(df: DataFrame, order_key: str, tokens: str = "tokens") -> D
     Rows follow ``order_key``, words follow their place in the row. The first place of
     each word is found before the shuffle, so frequent words cost one row per task.
     """
-    places = df.select(order_key, F.posexplode(tokens).alias("pos", "word")).where("word <> ''")
+    places = explode_once(df.select(order_key, tokens), F.col(tokens), "word", "pos").where(
+        "word <> ''"
+    )
     first = places.groupBy("word").agg(
         F.min(F.struct(F.col(order_key).alias("row"), "pos")).alias("first")
     )
@@ -68,6 +74,20 @@ def answer_index(df: DataFrame, column: str = "answer") -> DataFrame:
     return dense_index(distinct, ["answer"], "idx").withColumn("idx", F.col("idx").cast("int"))
 
 
+def word_vectorizer(words: DataFrame, tokens: str, out: str) -> CountVectorizerModel:
+    """Count vectorizer for the given words (at most a vocabulary's size of them).
+
+    Fitted on one row per word, because handing the words over from Python one by one is
+    slow. Its ``vocabulary`` tells the place of each word.
+    """
+    listed = words.select("word").toArrow()
+    one_per_row = words.sparkSession.createDataFrame(listed).select(F.array("word").alias(tokens))
+    counter = CountVectorizer(
+        inputCol=tokens, outputCol=out, vocabSize=max(listed.num_rows, 1), minDF=1.0, minTF=1.0
+    )
+    return counter.fit(one_per_row)
+
+
 def common_words(vocabulary: DataFrame, vectors: DataFrame) -> DataFrame:
     """Distinct words that are in both tables."""
     return vocabulary.select("word").intersect(vectors.select("word"))

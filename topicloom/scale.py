@@ -2,7 +2,8 @@
 
 * ``bounded_rows``, ``bounded_arrow`` - bring a table to the driver only if it is provably small;
 * ``lookup_join`` - broadcast a small side, salt the join when it is not small;
-* ``dense_index`` - consecutive numbers in a global order without a one-task window.
+* ``dense_index`` - consecutive numbers in a global order without a one-task window;
+* ``explode_once``, ``filter_once`` - do not compute a costly column twice.
 """
 
 from __future__ import annotations
@@ -107,3 +108,27 @@ def with_row_key(df: DataFrame, name: str = "_row") -> DataFrame:
     """
     shared_folder(df.sparkSession)
     return df.withColumn(name, F.monotonically_increasing_id()).checkpoint()
+
+
+def explode_once(df: DataFrame, values: Column, name: str, place: str | None = None) -> DataFrame:
+    """One row per element of a computed array, as column ``name``, with its ``place``.
+
+    A plain explode makes the optimizer add a filter for empty arrays below the column
+    that computes them, which computes every array twice. The outer form has no such
+    filter; its rows for empty arrays are dropped here. Arrays hold no null.
+    """
+    if place is not None:
+        exploded = df.select("*", F.posexplode_outer(values).alias(place, name))
+    else:
+        exploded = df.withColumn(name, F.explode_outer(values))
+    return exploded.where(F.col(name).isNotNull())
+
+
+def filter_once(df: DataFrame, condition: Column) -> DataFrame:
+    """Rows that meet a condition on computed columns that are also output.
+
+    A plain filter would be moved below those columns, with a copy of everything they
+    are computed from. A filter on the output of an explode stays where it is.
+    """
+    kept = F.explode_outer(F.when(condition, F.array(F.lit(True))))
+    return df.withColumn("_kept", kept).where("_kept").drop("_kept")
