@@ -112,7 +112,7 @@ def english_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {RULES_SQL}, paths AS (
     SELECT doc_id, 'Top/' || lang || '/' || source AS category FROM documents)
-  SELECT doc_id, category, name, {match_sql("category")} AS matches FROM paths, rules r""")
+  SELECT doc_id, category, name, ({match_sql("category")})::INTEGER AS matches FROM paths, rules r""")
 def rule_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat(F.lit("Top/"), F.col("lang"), F.lit("/"), F.col("source"))
     known = F.array(*[
@@ -132,7 +132,7 @@ def rule_match(spark: SparkSession, sf_dir: str) -> DataFrame:
             "name",
             categories.rule_match(
                 F.col("category"), F.col("includes"), F.col("excludes")
-            ).alias("matches"),
+            ).cast("int").alias("matches"),
         )
     )
 
@@ -244,7 +244,7 @@ def split_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {TOPIC_PAGES_SQL}, parts AS (SELECT uri, {SPLIT_SQL} AS split FROM topic_pages),
   names(n, part) AS (VALUES (0, 'valid'), (1, 'test'), (2, 'train'))
   SELECT a.part, b.part AS other,
-    CASE WHEN a.n = b.n THEN (SELECT count(*) FROM parts WHERE split = a.part) END AS rows,
+    (SELECT count(*) FROM parts WHERE split = a.part) AS rows,
     (SELECT count(*) FROM (SELECT uri FROM parts WHERE split = a.part INTERSECT
                            SELECT uri FROM parts WHERE split = b.part)) AS shared
   FROM names a JOIN names b ON a.n <= b.n""")

@@ -41,18 +41,20 @@ def read_pages_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.read_pages(spark, path)
 
 
-@query("""SELECT lang AS name, array_to_string(list(DISTINCT source ORDER BY source), ',')
-    AS includes, CASE WHEN lang = 'en' THEN '' ELSE min(source) END AS excludes
-  FROM documents GROUP BY lang""")
+@query("""SELECT source AS name, source || ',' || min(lang) || '/' || source AS includes,
+    CASE WHEN min(lang) = max(lang) THEN '' ELSE max(lang) || '/' || source END AS excludes
+  FROM documents GROUP BY source""")
 def load_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "rules")
-    sources = F.sort_array(F.collect_set("source"))
-    excludes = F.when(F.col("lang") != "en", F.array(F.min("source"), F.min("source")))
-    table(spark, sf_dir, "documents").groupBy(F.col("lang").alias("name"), "lang").agg(
-        F.struct(
-            F.concat(sources, sources).alias("includes"), excludes.alias("excludes")
-        ).alias("filters")
-    ).drop("lang").write.json(path)
+    first = F.concat_ws("/", F.min("lang"), "source")
+    last = F.concat_ws("/", F.max("lang"), "source")
+    filters = F.struct(
+        F.array("source", first, "source").alias("includes"),
+        F.when(F.min("lang") != F.max("lang"), F.array(last, last)).alias("excludes"),
+    )
+    table(spark, sf_dir, "documents").groupBy("source").agg(filters.alias("filters")).select(
+        F.col("source").alias("name"), "filters"
+    ).write.json(path)
     return readers.load_rules(spark, path).select(
         "name", joined("includes").alias("includes"), joined("excludes").alias("excludes")
     )
@@ -183,14 +185,14 @@ def read_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT run, ran, (SELECT count(*) FROM pages) AS rows
-  FROM (VALUES (1, true), (2, false)) t(run, ran)""")
+  FROM (VALUES (1, 1), (2, 0)) t(run, ran)""")
 def materialize(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "guarded")
 
     def write() -> None:
         writers.write_parquet(table(spark, sf_dir, "pages"), path)
 
-    ran = [(run, guard.materialize(spark, [path], write)) for run in (1, 2)]
+    ran = [(run, int(guard.materialize(spark, [path], write))) for run in (1, 2)]
     rows = spark.read.parquet(path).agg(F.count("*").alias("rows"))
     runs = F.array(*[F.struct(F.lit(n).alias("run"), F.lit(r).alias("ran")) for n, r in ran])
     return rows.select(F.inline(runs), "rows")

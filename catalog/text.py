@@ -104,13 +104,13 @@ def strip_top_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) AS host,
-  NULL::VARCHAR AS without_scheme FROM pages""")
+  'none' AS without_scheme FROM pages""")
 def host_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     bare = F.regexp_replace("url", "^[a-z]+://", "")
     return table(spark, sf_dir, "pages").select(
         "page_id",
         urls.host_of(F.col("url")).alias("host"),
-        urls.host_of(bare).alias("without_scheme"),
+        F.coalesce(urls.host_of(bare), F.lit("none")).alias("without_scheme"),
     )
 
 

@@ -50,13 +50,12 @@ def dense_word_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {TOPIC_PAGES_SQL},
   topic_tokens AS (SELECT uri, orig_uri, topic, {tokens_sql("text")} AS tokens FROM topic_pages),
   {vocabulary_sql("SELECT tokens FROM topic_tokens")}
-  SELECT 'word' AS kind, word AS name, NULL AS category, count AS n FROM counted
+  SELECT 'word' AS kind, word AS name, '' AS category, count AS n FROM counted
   UNION ALL SELECT 'row', uri, topic, len(tokens) FROM topic_tokens""")
 def tokens_and_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     words, rows = vocabulary.tokens_and_vocab(topic_pages(spark, sf_dir))
-    none = F.lit(None).cast("string").alias("category")
-    shown_words = words.select(F.lit("word").alias("kind"), F.col("word").alias("name"), none,
-                               F.col("count").alias("n"))
+    shown_words = words.select(F.lit("word").alias("kind"), F.col("word").alias("name"),
+                               F.lit("").alias("category"), F.col("count").alias("n"))
     shown_rows = rows.select(F.lit("row").alias("kind"), F.col("uri").alias("name"), "category",
                              F.size("tokens").cast("long").alias("n"))
     return shown_words.unionByName(shown_rows)

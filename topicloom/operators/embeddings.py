@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from topicloom.operators.vocabulary import dense_word_ids
-from topicloom.scale import BROADCAST_ROWS, bounded_arrow, lookup_join, with_row_key
+from topicloom.scale import bounded_arrow, lookup_join, salted_join, with_row_key
 
 BROADCAST_FLOATS = 50_000_000
 
@@ -110,14 +110,12 @@ def mean_vectors(
 
 
 def mean_vectors_by_join(
-    df: DataFrame, matrix: DataFrame, dim: int, ids: str = "ids", out: str = "meanVector",
-    max_broadcast_rows: int = BROADCAST_ROWS,
+    df: DataFrame, matrix: DataFrame, dim: int, ids: str = "ids", out: str = "meanVector"
 ) -> DataFrame:
     """``mean_vectors`` for a matrix of any size: join, then average by row key."""
     keyed = with_row_key(df)
     words = keyed.select("_row", F.explode(ids).alias("id")).where("id <> 0")
-    joined = lookup_join(words, matrix.where("id <> 0").select("id", "vector"), "id",
-                         max_broadcast_rows=max_broadcast_rows)
+    joined = salted_join(words, matrix.where("id <> 0").select("id", "vector"), "id")
     vector = array_to_vector(F.col("vector").cast("array<double>"))
     means = joined.groupBy("_row").agg(vector_to_array(Summarizer.mean(vector)).alias(out))
     zeros = F.array_repeat(F.lit(0.0), dim)

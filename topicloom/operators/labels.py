@@ -42,7 +42,7 @@ def label_list(labels: DataFrame) -> list[str]:
 
 def known_labels_only(weights: DataFrame, labels: DataFrame) -> DataFrame:
     """Weights of labels that have a class number."""
-    return weights.join(F.broadcast(labels.select("label")), "label", "left_semi")
+    return lookup_join(weights, labels.select("label"), "label", "left_semi")
 
 
 def weights_by_index(weights: DataFrame, labels: DataFrame) -> DataFrame:

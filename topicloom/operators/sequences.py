@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from topicloom.functions.arrays import drop_zero_ids, fit_post, one_hot_of, pad_post
-from topicloom.scale import BROADCAST_ROWS, bounded_arrow, lookup_join, with_row_key
+from topicloom.scale import BROADCAST_ROWS, bounded_arrow, salted_join, with_row_key
 
 SEQUENCE_LENGTH = 1_000
 
@@ -28,7 +28,7 @@ def token_ids(
     """
     words = bounded_arrow(vocabulary.select("word", "id"), max_broadcast_rows)
     if words is None:
-        return token_ids_by_join(df, vocabulary, tokens, out, max_broadcast_rows)
+        return token_ids_by_join(df, vocabulary, tokens, out)
     shared = df.sparkSession.sparkContext.broadcast(
         (words["word"].combine_chunks(), words["id"].combine_chunks())
     )
@@ -48,11 +48,7 @@ def token_ids(
 
 
 def token_ids_by_join(
-    df: DataFrame,
-    vocabulary: DataFrame,
-    tokens: str = "tokens",
-    out: str = "ids",
-    max_broadcast_rows: int = BROADCAST_ROWS,
+    df: DataFrame, vocabulary: DataFrame, tokens: str = "tokens", out: str = "ids"
 ) -> DataFrame:
     """``token_ids`` for a vocabulary of any size.
 
@@ -61,9 +57,7 @@ def token_ids_by_join(
     """
     keyed = with_row_key(df)
     places = keyed.select("_row", F.posexplode(tokens).alias("pos", "word"))
-    joined = lookup_join(
-        places, vocabulary.select("word", "id"), "word", "left", max_broadcast_rows
-    )
+    joined = salted_join(places, vocabulary.select("word", "id"), "word", "left")
     pairs = F.array_sort(F.collect_list(F.struct("pos", F.coalesce("id", F.lit(0)).alias("id"))))
     per_row = joined.groupBy("_row").agg(F.transform(pairs, lambda p: p["id"]).alias(out))
     empty = F.when(F.col(tokens).isNotNull(), F.array().cast("array<int>"))

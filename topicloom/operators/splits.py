@@ -47,22 +47,22 @@ def random_split(
 
 
 def split_report(df: DataFrame, key: str = "uri", names: Sequence[str] = NAMES) -> DataFrame:
-    """(part, other, rows, shared): rows per part, and keys two parts have in common.
+    """(part, other, rows, shared): rows of ``part``, and keys it has in common with ``other``.
 
-    ``other`` equals ``part`` in the row that counts the part itself. All parts are
-    compared in one grouping by key.
+    In the row where both are the same part, ``shared`` is the number of its keys. All
+    parts are compared in one grouping by key.
     """
     per_key = df.groupBy(key).agg(
         *[F.count_if(F.col("split") == name).alias(name) for name in names]
     )
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
-    both = [
+    compared = [
         F.struct(
             F.lit(a).alias("part"),
             F.lit(b).alias("other"),
-            (F.sum(a) if a == b else F.lit(None).cast("bigint")).alias("rows"),
+            F.coalesce(F.sum(a), F.lit(0)).alias("rows"),
             F.count_if((F.col(a) > 0) & (F.col(b) > 0)).alias("shared"),
         )
         for a, b in pairs
     ]
-    return per_key.agg(F.array(*both).alias("r")).select(F.explode("r").alias("r")).select("r.*")
+    return per_key.agg(F.array(*compared).alias("r")).select(F.explode("r").alias("r")).select("r.*")

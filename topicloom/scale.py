@@ -1,7 +1,7 @@
 """Ways to stay whole and balanced on large or skewed data.
 
 * ``bounded_rows``, ``bounded_arrow`` - bring a table to the driver only if it is provably small;
-* ``lookup_join`` - broadcast a small side, salt the join when it is not small;
+* ``lookup_join`` - broadcast a side that is measured to be small, salt the join if not;
 * ``dense_index`` - consecutive numbers in a global order without a one-task window;
 * ``explode_once``, ``filter_once`` - do not compute a costly column twice.
 """
@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from topicloom.session import shared_folder
 
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 128 << 20
 ONE_TASK_ROWS = 1_000_000
-SALTS = 32
+LEAST_SALTS = 32
 
 
 def bounded_rows(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> list[Row] | None:
@@ -34,6 +35,17 @@ def bounded_arrow(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> pa.Table | N
     return table if table.num_rows <= max_rows else None
 
 
+def fits_broadcast(
+    lookup: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
+) -> bool:
+    """Whether a table has at most so many rows and, written as JSON, so many bytes."""
+    width = F.length(F.to_json(F.struct("*")))
+    size = lookup.limit(max_rows + 1).agg(
+        F.count("*").alias("rows"), F.coalesce(F.sum(width), F.lit(0)).alias("bytes")
+    ).first()
+    return size.rows <= max_rows and size.bytes <= max_bytes
+
+
 def lookup_join(
     facts: DataFrame,
     lookup: DataFrame,
@@ -41,21 +53,39 @@ def lookup_join(
     how: str = "inner",
     max_broadcast_rows: int = BROADCAST_ROWS,
     known_rows: int | None = None,
-    salts: int = SALTS,
+    salts: int | None = None,
 ) -> DataFrame:
     """Join a large, possibly skewed table with a lookup table.
 
-    ``known_rows`` is an upper bound the caller already has for the lookup; without it
-    the lookup is counted, up to one row past the limit. Past the limit the lookup is
-    copied ``salts`` times and each hot key of ``facts`` is spread over that many tasks.
-    The salt is the input partition number: stable under task retries, and it also
-    separates exact copies of a row.
+    The lookup is broadcast when its size is within the bound, else the join is salted.
+    ``known_rows`` is an upper bound of its rows that the caller already has, for lookups
+    of short rows; without it the lookup is measured, up to one row past the bound.
     """
-    keys = [on] if isinstance(on, str) else list(on)
     if known_rows is None:
-        known_rows = lookup.limit(max_broadcast_rows + 1).count()
-    if known_rows <= max_broadcast_rows:
-        return facts.join(F.broadcast(lookup), keys, how)
+        small = fits_broadcast(lookup, max_broadcast_rows)
+    else:
+        small = known_rows <= max_broadcast_rows
+    if small:
+        return facts.join(F.broadcast(lookup), [on] if isinstance(on, str) else list(on), how)
+    return salted_join(facts, lookup, on, how, salts)
+
+
+def salted_join(
+    facts: DataFrame,
+    lookup: DataFrame,
+    on: str | Sequence[str],
+    how: str = "inner",
+    salts: int | None = None,
+) -> DataFrame:
+    """Join with a lookup of any size; hot keys of ``facts`` spread over ``salts`` tasks.
+
+    The lookup is copied once per salt, so the number of salts follows the cores of the
+    cluster slowly; adaptive execution cuts partitions that are still too large. The salt is the input partition number: stable
+    under task retries, and it also separates exact copies of a row.
+    """
+    keys = [on] if isinstance(on, str) else list(on)
+    if salts is None:
+        salts = max(LEAST_SALTS, facts.sparkSession.sparkContext.defaultParallelism // 32)
     salted_facts = facts.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
     salted_lookup = lookup.withColumn(
         "_salt", F.explode(F.array(*[F.lit(n) for n in range(salts)]))
@@ -74,15 +104,19 @@ def dense_index(
 
     With a known small bound this is one ordered window. Otherwise the rows are range
     partitioned, sorted and checkpointed once; the number is then the offset of the
-    partition plus the place within it. Only one count per partition is broadcast.
+    partition plus the place within it. Only one count per partition is broadcast. Rows
+    that are equal in ``order_by`` are cut further by their input partition, so that many
+    equal rows do not end up in one task.
     """
     if known_rows is not None and known_rows <= ONE_TASK_ROWS:
         window = Window.orderBy(*order_by)
         return df.withColumn(name, (F.row_number().over(window) + (start - 1)).cast("long"))
     shared_folder(df.sparkSession)
     ordered = (
-        df.repartitionByRange(*order_by)
-        .sortWithinPartitions(*order_by)
+        df.withColumn("_tie", F.spark_partition_id())
+        .repartitionByRange(*order_by, "_tie")
+        .sortWithinPartitions(*order_by, "_tie")
+        .drop("_tie")
         .checkpoint()
         .withColumn("_place", F.monotonically_increasing_id())
         .withColumn("_part", F.shiftright("_place", 33).cast("int"))

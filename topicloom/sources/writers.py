@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from topicloom import schemas
+from topicloom.operators.labels import LABEL_ROWS
+from topicloom.scale import bounded_rows
 
 SINGLE_FILE_ROWS = 1_000_000
 
@@ -48,7 +51,10 @@ def write_dictionaries(
     matrix.select("id", "vector").write.mode(mode).json(f"{path}/embeddings")
     single_file(labels.select("label", "idx")).write.mode(mode).csv(f"{path}/labels")
     single_file(vocabulary.select("word", "id")).write.mode(mode).json(f"{path}/vocabulary")
-    entries = F.sort_array(F.collect_list(F.struct("category", "weight")))
-    weights.agg(F.map_from_entries(entries).alias("weights")).select(
-        F.lit("classWeights").alias("name"), "weights"
-    ).write.mode(mode).json(f"{path}/class-weights")
+    named = bounded_rows(weights.select("category", "weight"), LABEL_ROWS)
+    if named is None:
+        raise ValueError(f"more than {LABEL_ROWS} labels do not fit one map")
+    one_map = {row.category: row.weight for row in named}
+    weights.sparkSession.createDataFrame(
+        [("classWeights", one_map)], schemas.CLASS_WEIGHTS
+    ).coalesce(1).write.mode(mode).json(f"{path}/class-weights")
