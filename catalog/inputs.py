@@ -86,6 +86,13 @@ def document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stored_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``document_tokens`` written once, for queries that go over them several times."""
+    path = scratch_path(spark, "tokens")
+    document_tokens(spark, sf_dir).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def document_vocabulary(spark: SparkSession, sf_dir: str, size: int = VOCABULARY_SIZE) -> DataFrame:
     """(word, count, id) of all documents."""
     counted = build_vocabulary(document_tokens(spark, sf_dir), size)
@@ -95,16 +102,19 @@ def document_vocabulary(spark: SparkSession, sf_dir: str, size: int = VOCABULARY
 def word_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors for conversation words: the word of rank r has the vector ``vec_id`` r.
 
-    Some of these words are not in the documents, and most document words have none.
+    Some of these words are not in the documents, and most document words have none. Like
+    a vector file, the table is written before it is used.
     """
     spoken = table(spark, sf_dir, "conversations").select(
         clean_tokens(F.col("text")).alias("tokens")
     )
     ranked = dense_word_ids(build_vocabulary(spoken), known_rows=VOCABULARY_SIZE)
     vectors = table(spark, sf_dir, "embeddings")
-    return ranked.join(vectors, ranked.id == vectors.vec_id).select(
+    path = scratch_path(spark, "vectors")
+    ranked.join(vectors, ranked.id == vectors.vec_id).select(
         "word", F.col("embedding").alias("vector")
-    )
+    ).write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def joined(values: str | Column, separator: str = ",") -> Column:

@@ -96,7 +96,7 @@ def predict_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     model, _ = _train(spark, sf_dir)
     schema = table(spark, sf_dir, "pages").schema
-    stream = read_page_stream(spark, sf_dir, schema, "parquet", "pages.parquet")
+    stream = read_page_stream(spark, f"{sf_dir}/pages.parquet", schema, "parquet")
     output = scratch_path(spark, "predicted")
     started = start_stream(
         stream, model, output, scratch_path(spark, "predicted-progress"), available_now=True

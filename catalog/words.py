@@ -15,6 +15,7 @@ from catalog.inputs import (
     document_vocabulary,
     encoded_sql,
     joined,
+    stored_tokens,
     table,
     tokens_sql,
     topic_pages,
@@ -164,5 +165,5 @@ def token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT doc_id, word, tf, round(tf * ln((n + 1.0::DOUBLE) / (df + 1)), 6) AS tfidf
   FROM tf JOIN df USING (word), total""")
 def tf_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    weighted = tfidf.tf_idf(document_tokens(spark, sf_dir), "doc_id")
+    weighted = tfidf.tf_idf(stored_tokens(spark, sf_dir), "doc_id")
     return weighted.withColumn("tfidf", F.round("tfidf", 6))

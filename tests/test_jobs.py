@@ -106,7 +106,7 @@ def test_train_predict_and_stream(spark, world):
 
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     batch = model.predict_pages(pages).select("page_id", "predictions", "max2").collect()
-    stream = read_page_stream(spark, SF, pages.schema, "parquet", "pages.parquet")
+    stream = read_page_stream(spark, f"{SF}/pages.parquet", pages.schema, "parquet")
     for _ in range(2):  # the second run finds no new file
         stream_predict(stream, model, f"{root}/scored", f"{root}/progress",
                        available_now=True).awaitTermination()

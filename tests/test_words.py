@@ -41,8 +41,10 @@ def test_first_seen_and_answers(spark):
         [(2, ["x", "a"], "no"), (1, ["b", "", "a", "b"], "yes"), (3, ["c"], None)],
         "n int, tokens array<string>, answer string",
     )
-    found = vocabulary.first_seen_index(df, "n").collect()
-    assert sorted((r.id, r.word) for r in found) == [(1, "b"), (2, "a"), (3, "x"), (4, "c")]
+    # Small whole numbers are packed; negative ones and other types are not.
+    for key in (F.col("n"), F.col("n") - 5, F.col("n").cast("string")):
+        found = vocabulary.first_seen_index(df.withColumn("n", key), "n").collect()
+        assert sorted((r.id, r.word) for r in found) == [(1, "b"), (2, "a"), (3, "x"), (4, "c")]
     assert sorted(vocabulary.answer_index(df).collect()) == [("no", 0), ("yes", 1)]
 
 

@@ -11,19 +11,22 @@ from topicloom.operators.classifier import TopicModel
 
 def read_page_stream(
     spark: SparkSession,
-    folder: str,
+    path: str,
     schema: str | StructType,
     file_format: str = "json",
-    name_filter: str | None = None,
     max_files: int | None = None,
 ) -> DataFrame:
-    """New page files of a folder as a stream."""
+    """New page files of a folder (or glob) as a stream; a single file is allowed too."""
     reader = spark.readStream.schema(schema).format(file_format)
-    if name_filter:
-        reader = reader.option("pathGlobFilter", name_filter)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.load(folder)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.exists(place) and files.getFileStatus(place).isFile():
+        # The source watches folders; the name filter leaves this one file.
+        reader = reader.option("pathGlobFilter", place.getName())
+        path = str(place.getParent())
+    return reader.load(path)
 
 
 def stream_predict(
