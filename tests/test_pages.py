@@ -213,6 +213,14 @@ def test_language_probabilities_are_the_smoothed_trigram_model(spark, language_m
     assert row.language == max(sorted(scores), key=scores.get)
 
 
+def test_texts_without_evidence_are_dropped(spark):
+    rows = [("the dog and the cat", "en"), ("le chien et le chat", "fr")]
+    two = language.fit_language_model(spark.createDataFrame(rows, "text string, lang string"))
+    odd = spark.createDataFrame([("",), (None,), ("漢字漢字",), ("the cat",)], "text string")
+    assert [r.language for r in two.probabilities(odd).collect()] == [None, None, None, "en"]
+    assert language.english_only(odd, two).collect() == [("the cat",)]
+
+
 def test_language_model_round_trip(spark, language_model, tmp_path):
     language_model.save(f"{tmp_path}/model")
     loaded = language.LanguageModel.load(spark, f"{tmp_path}/model")

@@ -143,6 +143,10 @@ def test_materialize(spark, tmp_path):
     assert len(calls) == 2
     file = put(tmp_path / "file.txt", "x")
     assert guard.materialize(spark, [file, one], run) is False
+    assert guard.materialize(spark, [one, two], run, dependents=[file]) is False
+    (tmp_path / "one" / "_SUCCESS").unlink()
+    assert guard.materialize(spark, [one, two], run, dependents=[file]) is True
+    assert not (tmp_path / "file.txt").exists()
 
 
 def test_small_tables_are_spread(spark, tmp_path):

@@ -47,23 +47,20 @@ class LanguageModel:
     classifier: NaiveBayesModel
 
     def probabilities(self, df: DataFrame, text: str = "text") -> DataFrame:
-        """Add ``language`` (most likely, ties by name) and ``languageProbabilities``."""
+        """Add ``language`` (most likely, ties by name) and ``languageProbabilities``.
+
+        Both are null for a text without any trigram of the profile.
+        """
         names = F.array(*[F.lit(name) for name in self.languages])
-        scored = self.classifier.transform(
-            self.vectorizer.transform(df.withColumn("_grams", trigrams(F.col(text))))
-        )
-        likely = vector_to_array("_probability")
+        grams = F.coalesce(trigrams(F.col(text)), F.array().cast("array<string>"))
+        scored = self.classifier.transform(self.vectorizer.transform(df.withColumn("_grams", grams)))
+        known = F.size(F.unwrap_udt("_counts")["indices"]) > 0
+        likely = F.when(known, vector_to_array("_probability"))
+        best = F.array_position("languageProbabilities", F.array_max("languageProbabilities"))
+        name = F.element_at(names, best.cast("int"))
         return (
             scored.withColumn("languageProbabilities", likely)
-            .withColumn(
-                "language",
-                F.element_at(
-                    names,
-                    F.array_position(
-                        "languageProbabilities", F.array_max("languageProbabilities")
-                    ).cast("int"),
-                ),
-            )
+            .withColumn("language", F.when(F.col("languageProbabilities").isNotNull(), name))
             .drop("_grams", "_counts", "_raw", "_probability")
         )
 

@@ -61,7 +61,7 @@ def process_pages(
         pages = spark.read.parquet(text_output)
         write_parquet(map_to_topics(pages, rules, segment_aware, dedupe), clean_output)
 
-    materialize(spark, [text_output], extract)
+    materialize(spark, [text_output], extract, dependents=[clean_output])
     materialize(spark, [clean_output], classify)
     return spark.read.parquet(clean_output)
 
@@ -78,8 +78,8 @@ def build_features(
 
     The token table is written once and read by every later step. The dictionaries are
     written as a group before the features and read back, so that features and
-    dictionaries always carry the same numbers. The features belong to the dictionaries
-    next to them: when those are made anew, the features are too.
+    dictionaries always carry the same numbers: a step that runs clears what later steps
+    made from its former output.
     """
     tokens_path = f"{output_path}/tokens"
     features_path = f"{output_path}/features"
@@ -117,14 +117,12 @@ def build_features(
         vocabulary = read_vocabulary(spark, f"{output_path}/vocabulary")
         labels = read_labels(spark, f"{output_path}/labels")
         made = sequence_features(rows, vocabulary, labels, sequence_length)
-        write_features(split_dataset(made), features_path, mode="overwrite")
-
-    materialize(spark, [tokens_path], tokenise)
-    renewed = materialize(spark, dictionary_paths, dictionaries)
-    if renewed:
-        features()
-    else:
-        materialize(spark, [features_path], features)
+        write_features(split_dataset(made), features_path)
+
+    later = [*dictionary_paths, features_path]
+    materialize(spark, [tokens_path], tokenise, dependents=later)
+    materialize(spark, dictionary_paths, dictionaries, dependents=[features_path])
+    materialize(spark, [features_path], features)
     return read_features(spark, output_path)
 
 
