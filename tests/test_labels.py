@@ -130,7 +130,7 @@ def test_question_features(spark):
         (2, [0, 6, 7, 8, 9, 10, 3, 0], [0, 1]),
         (3, [0, 0, 0, 0, 0, 0, 1, 2], [1, 0]),
     ]
-    lowered = questions.question_features(df, "n", 6, match_reference=False).orderBy("n").first()
+    lowered = questions.question_features(df, "n", 6, as_written=False).orderBy("n").first()
     assert lowered == (1, [0, 1, 2, 3, 4, 5], [1, 0])
 
 

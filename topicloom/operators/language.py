@@ -21,6 +21,7 @@ from topicloom.operators.labels import category_counts, class_weights
 from topicloom.operators.vocabulary import word_vectorizer
 from topicloom.scale import bounded_arrow, bounded_rows, explode_once, filter_once
 from topicloom.session import scratch_path
+from topicloom.sources.materialize import clear
 
 ENGLISH = "en"
 # Fixed value: least probability of a language that counts as detected.
@@ -142,7 +143,9 @@ def fit_language_model(
         smoothing=1.0,
     )
     training = labelled.sparkSession.createDataFrame(rows, ["label", "_counts"])
-    return LanguageModel(languages, vectorizer, bayes.fit(training).setPredictionCol(""))
+    classifier = bayes.fit(training).setPredictionCol("")
+    clear(labelled.sparkSession, [counts_path])
+    return LanguageModel(languages, vectorizer, classifier)
 
 
 def english_only(pages: DataFrame, model: LanguageModel) -> DataFrame:

@@ -10,6 +10,7 @@ from topicloom.operators.sequences import token_ids
 from topicloom.operators.vocabulary import answer_index, first_seen_index
 from topicloom.scale import bounded_rows, lookup_join
 
+# Fixed value: default number of ids per question.
 QUESTION_LENGTH = 45
 MAX_ANSWERS = 100_000
 
@@ -36,12 +37,12 @@ def question_features(
     questions: DataFrame,
     order_key: str,
     length: int = QUESTION_LENGTH,
-    match_reference: bool = True,
+    as_written: bool = True,
 ) -> DataFrame:
     """(order_key, ids, answer): left-padded word ids and one-hot answers.
 
-    Words are numbered in the order they first appear. With ``match_reference`` the
-    questions are encoded as written, so capitalised words are unknown (0); without it
+    Words are numbered in the order they first appear. By default questions
+    are encoded as written, so capitalised words are unknown (0); with ``as_written=False``
     they are encoded in lower case, and empty pieces are dropped.
     """
     lowered = questions.withColumn("tokens", question_tokens(F.col("question")))
@@ -51,7 +52,7 @@ def question_features(
         raise ValueError(f"more than {MAX_ANSWERS} answers cannot be one-hot encoded")
     spark = questions.sparkSession
     lookup = spark.createDataFrame(answers, "answer string, idx int")
-    if match_reference:
+    if as_written:
         worded = questions.withColumn("tokens", question_tokens(F.col("question"), lower=False))
     else:
         worded = lowered.withColumn("tokens", F.filter("tokens", lambda w: w != ""))

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from topicloom.functions.arrays import drop_zero_ids, fit_post, one_hot_of, pad_post
 from topicloom.scale import BROADCAST_ROWS, bounded_arrow, salted_join, with_row_key
 
+# Fixed value: default number of ids per page.
 SEQUENCE_LENGTH = 1_000
 
 
@@ -39,7 +40,7 @@ def token_ids(
         import pyarrow.compute as pc
 
         known, ids = shared.value
-        places = pc.index_in(lists.values, value_set=known)
+        places = pc.index_in(lists.values, value_set=known.cast(lists.values.type))
         values = pc.fill_null(pc.take(ids, places), 0)
         return pa.ListArray.from_arrays(lists.offsets, values)
 

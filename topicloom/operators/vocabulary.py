@@ -10,6 +10,7 @@ from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 from topicloom.functions.text import clean_tokens
 from topicloom.scale import dense_index, explode_once
 
+# Fixed value: default number of words in a vocabulary.
 VOCABULARY_SIZE = 20_000
 PLACE_BITS = 26
 
