@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from topicloom.llm.decontamination import find_benchmark, items_digest
 from topicloom.llm.jaccard_join import jaccard_groups
+from topicloom.llm.packing import pack_documents
 from topicloom.llm.registry import query, table
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -42,3 +46,55 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents linked by 4-word shingles at a similarity of 0.85."""
     groups = jaccard_groups(table(spark, sf_dir, "documents"), words=4, percent=85)
     return groups.select("doc_id", "n_shingles", "component_id")
+
+
+@query()
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents and their places in sequences of 2,048 tokens."""
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer)
+
+
+_BENCHMARK_HITS = rf"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(coalesce({_LOWER}, ''),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
+), items AS (
+  SELECT item_id, regexp_extract_all(coalesce({_LOWER}, ''),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark
+), wanted AS (
+  SELECT DISTINCT item_id, len(w) AS size, array_to_string(w, ' ') AS win FROM (
+    SELECT item_id, unnest(list_transform(range(1, greatest(len(words) - 9, 1) + 1),
+      i -> words[i:i + 9])) AS w FROM items WHERE len(words) > 0)
+), sizes AS (
+  SELECT DISTINCT size FROM wanted
+), places AS (
+  SELECT doc_id, size, words, unnest(range(1, len(words) - size + 2)) AS i
+  FROM docs, sizes WHERE len(words) >= size
+), found AS (
+  SELECT p.doc_id, p.i, p.size, w.item_id
+  FROM places p JOIN wanted w ON w.size = p.size
+    AND w.win = array_to_string(p.words[p.i:p.i + p.size - 1], ' ')
+), hit AS (
+  SELECT doc_id, count(DISTINCT at) AS n_hit FROM (
+    SELECT doc_id, unnest(range(i, i + size)) AS at FROM found) GROUP BY doc_id
+), named AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS names FROM (
+    SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS name FROM found) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(d.words) AS BIGINT) AS n_words,
+  CAST(coalesce(h.n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n.n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(n.names, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
+FROM docs d LEFT JOIN hit h USING (doc_id) LEFT JOIN named n USING (doc_id)
+"""
+
+
+@query(_BENCHMARK_HITS)
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of documents that lie in a 10-word window of a benchmark item."""
+    found = find_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        items_digest(F.col("items")).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
