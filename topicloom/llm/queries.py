@@ -20,7 +20,7 @@ WITH RECURSIVE split AS (
 ), sets AS (
   SELECT doc_id, CASE
     WHEN len(words) >= 4 THEN list_distinct(list_transform(
-      range(1, len(words) - 2), i -> array_to_string(words[i:i + 3], ' ')))
+      range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' ')))
     WHEN len(words) > 0 THEN [array_to_string(words, ' ')]
     ELSE [] END AS shingles
   FROM split
@@ -65,7 +65,7 @@ WITH docs AS (
 ), wanted AS (
   SELECT DISTINCT item_id, len(w) AS size, array_to_string(w, ' ') AS win FROM (
     SELECT item_id, unnest(list_transform(range(1, greatest(len(words) - 9, 1) + 1),
-      i -> words[i:i + 9])) AS w FROM items WHERE len(words) > 0)
+      lambda i: words[i:i + 9])) AS w FROM items WHERE len(words) > 0)
 ), sizes AS (
   SELECT DISTINCT size FROM wanted
 ), places AS (
@@ -76,8 +76,8 @@ WITH docs AS (
   FROM places p JOIN wanted w ON w.size = p.size
     AND w.win = array_to_string(p.words[p.i:p.i + p.size - 1], ' ')
 ), hit AS (
-  SELECT doc_id, count(DISTINCT at) AS n_hit FROM (
-    SELECT doc_id, unnest(range(i, i + size)) AS at FROM found) GROUP BY doc_id
+  SELECT doc_id, count(DISTINCT place) AS n_hit FROM (
+    SELECT doc_id, unnest(range(i, i + size)) AS place FROM found) GROUP BY doc_id
 ), named AS (
   SELECT doc_id, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS names FROM (
     SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS name FROM found) GROUP BY doc_id
