@@ -8,8 +8,13 @@ from pyspark.sql import functions as F
 
 from topicloom.llm.decontamination import find_benchmark, items_digest
 from topicloom.llm.jaccard_join import jaccard_groups
+from topicloom.llm.labelled import fold
 from topicloom.llm.packing import pack_documents
+from topicloom.llm.quality import quality_scores
 from topicloom.llm.registry import query, table
+from topicloom.llm.secrets import find_secrets, span_names, train_markov
+from topicloom.llm.toxicity import toxicity_scores
+from topicloom.llm.urls import BLOCKED_WORDS, default_rules, host_rule, judge_urls
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -98,3 +103,78 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
         items_digest(F.col("items")).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+@query()
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents, learned from labels outside one fold of five."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality_scores(docs, labels, fold(F.col("doc_id"), 5) == 0)
+
+
+@query()
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learned from labels outside one fold of four."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxicity_scores(docs, labels, fold(F.col("doc_id"), 4) == 2).drop("matches")
+
+
+@query()
+def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all documents by fixed patterns, and random strings besides."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find_secrets(docs, train_markov(docs))
+
+    def number(kind: int):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+
+    return found.select(
+        "doc_id", number(0).alias("n_assign"), number(1).alias("n_access"),
+        number(2).alias("n_hex"), F.sha2(span_names(F.col("base")), 256).alias("base_sha256"),
+        span_names(F.col("spans")).alias("spans"),
+    )
+
+
+# The rules of this query.
+URL_RULES = (
+    ("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"),
+    ("allow", "com/fr/"), ("block", "com/de/"),
+)
+
+_URL_VERDICTS = rf"""
+WITH rest AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0
+    THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), parts AS (
+  SELECT page_id,
+    translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path
+  FROM rest
+), named AS (
+  SELECT *, CASE
+    WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/en/1')
+      THEN 'example.org/en/1'
+    WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/es/')
+      THEN 'example.org/es/'
+    WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/'
+    WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/'
+    WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/'
+    END AS rule FROM parts
+)
+SELECT page_id, host, path, rule, CASE
+  WHEN rule IN ('org/', 'com/fr/') THEN 'allow'
+  WHEN rule IS NOT NULL THEN 'block'
+  WHEN regexp_matches(host, '(^|[^A-Za-z0-9])({"|".join(BLOCKED_WORDS)})([^A-Za-z0-9]|$)')
+    THEN 'block'
+  ELSE 'allow' END AS verdict
+FROM named
+"""
+
+
+@query(_URL_VERDICTS)
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page URL by named host rules, else by blocked words."""
+    rules = [host_rule(action, rule) for action, rule in URL_RULES] + default_rules()
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return judge_urls(pages, rules).drop("url")
