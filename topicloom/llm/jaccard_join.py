@@ -7,9 +7,10 @@ the number of elements by which two sets differ. The domain of the hashes is cut
 into a partition, without ``skipped`` of its parts, for every choice of skipped parts. The
 numbers are chosen so that linked sets agree in at least one signature of elements.
 
-Documents that agree in a signature are compared with the smallest one of them; only where
-a signature still joins different groups are the remaining pairs between groups compared.
-So a group of n copies costs about n comparisons, and no link is lost.
+Documents that agree in a signature are compared with the smallest one of them. Where a
+signature still joins different groups, they are compared with the one that has the fewest
+elements of its own, and at last with all of other groups whose sizes and common elements
+allow a link. So a group of n copies costs about n comparisons, and no link is lost.
 
 Defined cases: A null or empty text, or one without words, has the empty set and links with
 nothing. Rows with equal ``key`` are one document. A row with a null key takes part through
@@ -308,8 +309,16 @@ def jaccard_groups(
     more = stored(_verified(apart, sets, percent), "jaccard-links")
     links = links.union(more)
     groups = connected_components(links)
-    rest = _between_groups(members, groups, edges)
-    more = stored(_verified(rest, sets, percent), "jaccard-links")
+    open_ = _open_members(members, groups)
+    bounds = _bounds(open_, sets, percent)
+    hubs = stored(_hub_pairs(open_, bounds, percent), "jaccard-hubs")
+    more = stored(_verified(hubs, sets, percent), "jaccard-links")
+    links = links.union(more)
+    groups = connected_components(links)
+    rest = _between_groups(_open_members(open_.select("sig", "doc"), groups), bounds, percent)
+    tested = edges.select("a", "b").union(hubs.select("a", "b"))
+    more = stored(_verified(rest.join(tested, ["a", "b"], "anti"), sets, percent),
+                  "jaccard-links")
     links = links.union(more)
     groups = connected_components(links)
 
@@ -332,18 +341,80 @@ def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     ).select("a", "b")
 
 
-def _between_groups(members: DataFrame, groups: DataFrame, tested: DataFrame) -> DataFrame:
-    """Pairs of different groups that share a signature and were not compared yet."""
+def _open_members(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """(sig, doc, label): members of signatures that still join different groups."""
     labelled = members.join(groups.withColumnRenamed("node", "doc"), "doc", "left").select(
         "sig", "doc", F.coalesce("label", "doc").alias("label")
     )
     mixed = labelled.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y"))
-    mixed = mixed.where("x <> y").select("sig")
-    open_ = stored(labelled.join(mixed, "sig"), "jaccard-open")
-    a = open_.select("sig", F.col("doc").alias("a"), F.col("label").alias("label_a"))
-    b = open_.select("sig", F.col("doc").alias("b"), F.col("label").alias("label_b"))
-    pairs = a.join(b, "sig").where("a > b and label_a <> label_b").select("a", "b").distinct()
-    return pairs.join(tested, ["a", "b"], "anti")
+    return stored(labelled.join(mixed.where("x <> y").select("sig"), "sig"), "jaccard-open")
+
+
+def _bounds(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(doc, size, most) of the open documents that may link with another one.
+
+    Elements that no other open document has cannot be common ones; ``most`` is what is
+    left. A copy with many changes of its own is no candidate, however many copies there are.
+    """
+
+    def elements(batches):
+        for rows in batches:
+            column = rows.column("shingles")
+            found = [np.frombuffer(x.as_buffer(), dtype=np.int64) for x in column]
+            ends = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
+            flat = np.concatenate(found) if found else np.empty(0, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [rows.column("doc"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
+                names=["doc", "elements"],
+            )
+
+    wanted = sets.join(open_.select("doc").distinct(), "doc", "semi")
+    single = wanted.mapInArrow(elements, "doc long, elements array<long>").select(
+        "doc", F.explode("elements").alias("element")
+    ).groupBy("element").agg(F.min("doc").alias("doc"), F.count("*").alias("n")).where("n = 1")
+    single = single.groupBy("doc").agg(F.count("*").alias("single"))
+    size = (F.octet_length("shingles") / 8).cast("long")
+    bounds = wanted.select("doc", size.alias("size")).join(single, "doc", "left").select(
+        "doc", "size", (F.col("size") - F.coalesce("single", F.lit(0))).alias("most")
+    )
+    may_link = F.col("most") * 100 >= F.col("size") * percent
+    return stored(bounds.where(may_link), "jaccard-bounds")
+
+
+def _may_link(percent: int):
+    """Whether the sizes of two sets, and what may be common, allow a link."""
+    both = F.least("most_a", "most_b")
+    return both * 100 >= (F.col("size_a") + F.col("size_b") - both) * percent
+
+
+def _side(near: DataFrame, name: str) -> DataFrame:
+    """The columns of one side of a pair."""
+    return near.select("sig", F.col("doc").alias(name), *(
+        F.col(c).alias(f"{c}_{name}") for c in ("label", "size", "most")))
+
+
+def _hub_pairs(open_: DataFrame, bounds: DataFrame, percent: int) -> DataFrame:
+    """One pair for each open document: with the hub of a signature, of another group.
+
+    The hub has the least share of elements of its own, as what others are copied from.
+    """
+    near = open_.join(bounds, "doc")
+    common = F.col("most") / F.col("size")
+    hubs = near.groupBy("sig").agg(F.max_by(
+        F.struct("doc", "label", "size", "most"), F.struct(common, -F.col("doc"))).alias("hub"))
+    hubs = hubs.select("sig", F.col("hub.doc").alias("doc"), F.col("hub.label").alias("label"),
+                       F.col("hub.size").alias("size"), F.col("hub.most").alias("most"))
+    pairs = _side(near, "a").join(_side(hubs, "b"), "sig").where("label_a <> label_b")
+    pairs = pairs.where(_may_link(percent))
+    best = F.struct(F.col("most_b") / F.col("size_b"), -F.col("b"))
+    return pairs.groupBy("a").agg(F.max_by("b", best).alias("b"))
+
+
+def _between_groups(open_: DataFrame, bounds: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different groups that share a signature and may link."""
+    near = open_.join(bounds, "doc")
+    pairs = _side(near, "a").join(_side(near, "b"), "sig").where("a > b and label_a <> label_b")
+    return pairs.where(_may_link(percent)).select("a", "b").distinct()
 
 
 def keep_one(docs: DataFrame, groups: DataFrame, key: str = "doc_id") -> DataFrame:

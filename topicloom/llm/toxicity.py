@@ -30,6 +30,9 @@ from topicloom.llm.labelled import labelled_sample
 from topicloom.llm.spelling import SpellingTable, allowed_edits, spelling_table
 from topicloom.llm.store import stored
 
+#: Bytes of text that are taken apart at once: scoring, and learning the lexicon.
+SCORE_BYTES = 2 << 20
+LEARN_BYTES = 256 << 10
 #: Labelled documents to learn from, at most (in expectation).
 MOST_ROWS = 20_000
 #: Terms of the lexicon, at most.
@@ -176,7 +179,7 @@ def learn_lexicon(
     """
 
     def run(batches):
-        for rows, data, offsets in blocks(batches, "text"):
+        for rows, data, offsets in blocks(batches, "text", LEARN_BYTES):
             tokens = tokens_of(data, offsets)
             words = [tokens.word(i) for i in range(len(tokens.starts))]
             found = [[{"word": words[i],
@@ -224,7 +227,7 @@ def _crowded(words: DataFrame, terms: list[str]) -> set[tuple[int, int]]:
 
     def run(batches):
         table, seen = shared.value, set()
-        for _, data, offsets in blocks(batches, "word"):
+        for _, data, offsets in blocks(batches, "word", SCORE_BYTES):
             tokens = tokens_of(data, offsets)
             _, term, edits = table.read(tokens.codes, tokens.starts, tokens.ends)
             seen.update(zip(term.tolist(), edits.tolist()))
@@ -247,7 +250,7 @@ def fit_toxicity(
 
     def run(batches):
         table = shared.value
-        for rows, data, offsets in blocks(batches, "text"):
+        for rows, data, offsets in blocks(batches, "text", SCORE_BYTES):
             tokens = tokens_of(data, offsets)
             found = dict(_matches(tokens, table))
             # What an edited match says is learned from texts without an exact one.
@@ -318,7 +321,7 @@ def score_toxicity(
             ("term", pa.string()), ("found", pa.string()), ("word", pa.int32()),
             ("edits", pa.int32()), ("signs", pa.list_(pa.string())),
         ]))
-        for rows, data, offsets in blocks(batches, text):
+        for rows, data, offsets in blocks(batches, text, SCORE_BYTES):
             tokens = tokens_of(data, offsets)
             scores = np.full(len(rows), model.base)
             matches: list[list[dict]] = [[] for _ in range(len(rows))]
