@@ -213,7 +213,25 @@ def signature_rows(docs: DataFrame, key: str, text: str, words: int, percent: in
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that link: common share of their sets is at least ``percent`` percent."""
+    """Pairs (a, b) that link: common share of their sets is at least ``percent`` percent.
+
+    Short codes of the elements go first: equal elements have equal codes, so they give an
+    upper bound of what is common, and only pairs that reach the share get their whole sets.
+    """
+
+    @F.arrow_udf("boolean")
+    def may(left: pa.Array, right: pa.Array) -> pa.Array:
+        out = []
+        seen = np.zeros(1 << 16, dtype=bool)
+        for x, y in zip(left, right):
+            a = np.frombuffer(x.as_buffer(), dtype=np.uint16)
+            b = np.frombuffer(y.as_buffer(), dtype=np.uint16)
+            seen[b] = True
+            both = int(seen[a].sum())
+            seen[b] = False
+            both = min(both, len(b))
+            out.append(both > 0 and 100 * both >= percent * (len(a) + len(b) - both))
+        return pa.array(out, pa.bool_())
 
     @F.arrow_udf("boolean")
     def linked(left: pa.Array, right: pa.Array) -> pa.Array:
@@ -221,34 +239,39 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for x, y in zip(left, right):
             a = np.frombuffer(x.as_buffer(), dtype=np.uint64)
             b = np.frombuffer(y.as_buffer(), dtype=np.uint64)
-            small, large = (a, b) if len(a) <= len(b) else (b, a)
-            if 100 * len(small) < percent * len(large):
-                out.append(False)
-                continue
-            place = np.searchsorted(large, small)
-            place[place == len(large)] = 0
-            both = int((large[place] == small).sum())
+            place = np.searchsorted(b, a)
+            place[place == len(b)] = 0
+            both = int((b[place] == a).sum())
             out.append(both > 0 and 100 * both >= percent * (len(a) + len(b) - both))
         return pa.array(out, pa.bool_())
 
-    left = sets.select(F.col("doc").alias("a"), F.col("shingles").alias("left"))
-    right = sets.select(F.col("doc").alias("b"), F.col("shingles").alias("right"))
-    joined = pairs.select("a", "b").join(left, "a").join(right, "b")
-    return joined.where(linked("left", "right")).select("a", "b").distinct()
+    def with_both(pairs: DataFrame, column: str) -> DataFrame:
+        left = sets.select(F.col("doc").alias("a"), F.col(column).alias("left"))
+        right = sets.select(F.col("doc").alias("b"), F.col(column).alias("right"))
+        return pairs.select("a", "b").join(left, "a").join(right, "b")
+
+    near = with_both(pairs, "codes").where(may("left", "right"))
+    near = stored(near.select("a", "b").distinct(), "jaccard-near")
+    return with_both(near, "shingles").where(linked("left", "right")).select("a", "b").distinct()
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """(doc, shingles): the sets of the wanted documents, as bytes."""
+    """(doc, shingles, codes): the sets of the wanted documents, as bytes.
+
+    ``codes`` has the upper 16 bits of each element.
+    """
 
     def run(batches):
         for rows, sets in shingle_sets(batches, "doc", text, words):
             yield pa.RecordBatch.from_arrays(
-                [rows.column("doc"), pa.array([s.tobytes() for s in sets], pa.binary())],
-                names=["doc", "shingles"],
+                [rows.column("doc"), pa.array([s.tobytes() for s in sets], pa.binary()),
+                 pa.array([(s >> np.uint64(48)).astype(np.uint16).tobytes() for s in sets],
+                          pa.binary())],
+                names=["doc", "shingles", "codes"],
             )
 
     chosen = docs.select(F.col(key).cast("long").alias("doc"), text).join(wanted, "doc", "semi")
-    return chosen.mapInArrow(run, "doc long, shingles binary")
+    return chosen.mapInArrow(run, "doc long, shingles binary, codes binary")
 
 
 def jaccard_groups(
@@ -368,7 +391,7 @@ def _bounds(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 names=["doc", "elements"],
             )
 
-    wanted = sets.join(open_.select("doc").distinct(), "doc", "semi")
+    wanted = sets.select("doc", "shingles").join(open_.select("doc").distinct(), "doc", "semi")
     single = wanted.mapInArrow(elements, "doc long, elements array<long>").select(
         "doc", F.explode("elements").alias("element")
     ).groupBy("element").agg(F.min("doc").alias("doc"), F.count("*").alias("n")).where("n = 1")
