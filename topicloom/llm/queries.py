@@ -7,12 +7,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicloom.llm.decontamination import find_benchmark, items_digest
+from topicloom.llm.html_content import extract_content, learn_content
 from topicloom.llm.jaccard_join import jaccard_groups
 from topicloom.llm.labelled import fold
 from topicloom.llm.packing import pack_documents
 from topicloom.llm.quality import quality_scores
 from topicloom.llm.registry import query, table
 from topicloom.llm.secrets import find_secrets, span_names, train_markov
+from topicloom.llm.sharding import place_on_shards
+from topicloom.llm.top_k import top_k
 from topicloom.llm.toxicity import toxicity_scores
 from topicloom.llm.urls import BLOCKED_WORDS, default_rules, host_rule, judge_urls
 
@@ -178,3 +181,42 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = [host_rule(action, rule) for action, rule in URL_RULES] + default_rules()
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return judge_urls(pages, rules).drop("url")
+
+
+_NEAREST = """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding,
+    lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(coalesce(list_sum(list_transform(
+    range(1, least(len(q.x), len(c.x)) + 1), lambda i: q.x[i] * c.x[i])), 0) AS BIGINT) AS score
+  FROM whole q JOIN whole c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank
+  FROM scored
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+@query(_NEAREST)
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten vectors with the greatest inner product, for every hundredth vector."""
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query()
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard of every document, of 256 shards of equal weight."""
+    shards = {f"shard-{n:03d}": 1 for n in range(256)}
+    return place_on_shards(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", shards)
+
+
+@query()
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return extract_content(pages, learn_content(pages))
