@@ -128,7 +128,7 @@ def shingle_hashes(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
             begin = words.first[:-1][long]
             lengths = runs[long]
             inner = np.arange(int(lengths.sum())) - np.repeat(
-                np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths
+                np.cumsum(lengths) - lengths, lengths
             )
             source = np.repeat(begin, lengths) + inner
             target = np.repeat(first[:-1][long], lengths) + inner

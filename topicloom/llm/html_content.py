@@ -195,8 +195,8 @@ LONG = 80
 _START = {
     "furniture": ((0.01, 0.01, 0.98), (0.005, 0.015, 0.98), (0.005, 0.005, 0.99)),
     "article": ((0.1, 0.88, 0.02), (0.005, 0.975, 0.02), (0.02, 0.08, 0.9)),
-    "text": ((0.05, 0.5, 0.45), (0.005, 0.975, 0.02), (0.005, 0.005, 0.99)),
-    "other": ((0.6, 0.15, 0.25), (0.01, 0.96, 0.03), (0.01, 0.01, 0.98)),
+    "text": ((0.05, 0.5, 0.45), (0.002, 0.99, 0.008), (0.005, 0.005, 0.99)),
+    "other": ((0.6, 0.15, 0.25), (0.003, 0.992, 0.005), (0.01, 0.01, 0.98)),
 }
 #: The same for a node by its class words.
 _START_WORD = {"furniture": (0.02, 0.002, 1.0), "article": (0.1, 1.0, 0.002),

@@ -4,10 +4,12 @@ Everything is a DataFrame expression. A pattern's matches and the text between t
 places of the matches. Further candidates are long runs of letters, digits and a few signs;
 they are judged by two Markov models of adjacent characters, one of random strings and one
 of ordinary identifiers, by the logarithm of the ratio of their likelihoods. The labelled
-samples are what the fixed patterns find (random) and all other candidates (ordinary).
+samples are what the fixed patterns find (random) and words of letters that are too short
+to be candidates (ordinary).
 
-Bounded: the models are trained on about ``MOST_ROWS`` documents, chosen by a hash of the
-text; every document is searched over its whole text.
+Bounded: the models are trained on about ``MOST_ROWS`` documents for the random strings and
+``WORD_ROWS`` for the ordinary ones, chosen by a hash of the text; every document is
+searched over its whole text.
 
 Defined cases: a null text counts as empty and has no span. Matches of a pattern do not
 overlap; those of different patterns may. A string that overlaps a match of a fixed pattern
@@ -35,12 +37,17 @@ HEX = r"[0-9a-f]{16,}"
 
 #: Runs that the models judge.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
-#: Documents that the models are trained on, at most (in expectation).
+#: Words that the model of ordinary identifiers learns from.
+ORDINARY = r"(?<![A-Za-z0-9+/_=-])[A-Za-z_-]{6,19}(?![A-Za-z0-9+/_=-])"
+#: Documents that the two models are trained on, at most (in expectation).
 MOST_ROWS = 20_000
+WORD_ROWS = 1_000
 #: Least logarithm of the likelihood ratio, natural, that counts as random.
 LEAST_RATIO = 12.0
 #: Share of the uniform distribution that is mixed into the model of random strings.
-UNIFORM = 0.2
+UNIFORM = 0.5
+#: What the share of a single character weighs against the pairs seen, in pairs.
+BACK_OFF = 5.0
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 _SIZE = len(ALPHABET) + 1
@@ -154,10 +161,14 @@ def _code(letter: Column) -> Column:
 def train_markov(docs: DataFrame, text: str = "text", most_rows: int = MOST_ROWS) -> MarkovModel:
     """Count adjacent characters of random and ordinary strings in a sample of documents."""
     rows = docs.count()
-    share = min(_STEPS, _STEPS * most_rows // max(rows, 1))
-    chosen = docs.select(F.col(text).alias("text")).where(
-        F.pmod(F.xxhash64(F.lit("sample"), text), F.lit(_STEPS)) < share
-    )
+
+    def sample(most: int) -> DataFrame:
+        share = min(_STEPS, _STEPS * most // max(rows, 1))
+        return docs.select(F.col(text).alias("text")).where(
+            F.pmod(F.xxhash64(F.lit("sample"), text), F.lit(_STEPS)) < share
+        )
+
+    chosen = sample(most_rows)
     found = _with_matches(chosen, "text")
     value = F.col("text")
     random = F.transform("_spans", lambda s: F.struct(
@@ -167,9 +178,10 @@ def train_markov(docs: DataFrame, text: str = "text", most_rows: int = MOST_ROWS
     random = F.transform(random, lambda r: F.struct(
         F.regexp_extract(r["run"], r"""[A-Za-z0-9+/_.=-]+$""", 0).alias("run"),
         r["random"].alias("random")))
-    ordinary = F.transform("_runs", lambda r: F.struct(
-        r["run"].alias("run"), F.lit(0).alias("random")))
-    strings = found.select(F.explode(F.concat(random, ordinary)).alias("s")).select("s.*")
+    strings = found.select(F.explode(random).alias("s")).select("s.*")
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(ORDINARY), F.lit(0))
+    ordinary = sample(min(most_rows, WORD_ROWS)).select(F.explode(words).alias("run"))
+    strings = strings.unionByName(ordinary.withColumn("random", F.lit(0)))
     strings = strings.where(F.length("run") > 1)
     run = F.col("run")
     pairs = strings.select("random", F.explode(F.transform(
@@ -186,12 +198,17 @@ def train_markov(docs: DataFrame, text: str = "text", most_rows: int = MOST_ROWS
 
 
 def _log_ratios(counts: dict[tuple[int, int, int], int]) -> list[float]:
+    """Pairs that were not seen count by their second character, then all alike."""
+    single = {k: [1.0] * _SIZE for k in (0, 1)}
+    for (k, _, b), n in counts.items():
+        single[k][b] += n
+    share = {k: [n / sum(row) for n in row] for k, row in single.items()}
     out = []
     for a in range(_SIZE):
-        totals = [sum(counts.get((k, a, b), 0) for b in range(_SIZE)) for k in (0, 1)]
+        total = [sum(counts.get((k, a, b), 0) for b in range(_SIZE)) for k in (0, 1)]
         for b in range(_SIZE):
-            ordinary = (counts.get((0, a, b), 0) + 0.5) / (totals[0] + 0.5 * _SIZE)
-            random = (counts.get((1, a, b), 0) + 0.5) / (totals[1] + 0.5 * _SIZE)
+            ordinary, random = ((counts.get((k, a, b), 0) + BACK_OFF * share[k][b])
+                                / (total[k] + BACK_OFF) for k in (0, 1))
             random = (1 - UNIFORM) * random + UNIFORM / _SIZE
             out.append(math.log(random / ordinary))
     return out
