@@ -5,7 +5,8 @@ linked sets are in the same band or in adjacent ones. For a band the link thresh
 the number of elements by which two sets differ. The domain of the hashes is cut into
 ``first`` partitions of ``second`` parts each; a signature is the part of a set that falls
 into a partition, without ``skipped`` of its parts, for every choice of skipped parts. The
-numbers are chosen so that linked sets agree in at least one signature of elements.
+numbers are chosen so that linked sets agree in at least so many signatures of elements as
+can be told for each set alone; a set with fewer shared ones has no link there.
 
 Documents that agree in a signature are compared with the smallest one of them. Where a
 signature still joins different groups, they are compared with the one that has the fewest
@@ -107,11 +108,14 @@ def _partitioning(percent: int, least: int, most: int) -> Partitioning:
     return best
 
 
-def signatures(shingles: np.ndarray, instance: int, cut: Partitioning) -> np.ndarray:
-    """Signatures of one sorted set of distinct hashes under one instance of the scheme.
+def signatures(
+    shingles: np.ndarray, instance: int, cut: Partitioning
+) -> tuple[np.ndarray, int]:
+    """(signatures, needed) of one sorted set of distinct hashes under one instance.
 
-    Empty signatures are left out, unless the set has more partitions with empty ones than
-    there are spare partitions.
+    ``needed``: how many of them any linked set has as well, at least. Empty signatures are
+    left out, unless the set has more partitions with empty ones than there are spare
+    partitions.
     """
     cells = cut.first * cut.second
     with np.errstate(over="ignore"):
@@ -128,9 +132,10 @@ def signatures(shingles: np.ndarray, instance: int, cut: Partitioning) -> np.nda
             found.append(mix(part[:, chosen].sum(axis=1, dtype=np.uint64) + seed))
             held.append(size[:, chosen].sum(axis=1))
     found, held = np.array(found), np.array(held)
-    if int((held == 0).any(axis=0).sum()) > cut.spare:
-        return found.ravel()
-    return found[held > 0]
+    empty = int((held == 0).any(axis=0).sum())
+    if empty > cut.spare:
+        return found.ravel(), 1
+    return found[held > 0], 1 + cut.spare - empty
 
 
 def shingle_sets(batches, key, text, words, extra=()):
@@ -163,11 +168,16 @@ def set_sizes(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
     )
 
 
+_MEMBER = "struct<doc: bigint, own: boolean, needed: int>"
+
+
 def signature_rows(docs: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
-    """(sig, doc, more) rows. ``more``: documents of the same block that share ``sig``.
+    """(sig, own, member, more) rows: documents of one block that share ``sig``.
 
-    The smallest document of a block stands for the others of the block, so a hot signature
-    is one row per block and not one per document.
+    An instance of the scheme is for the sets of its own band and of the band below; two
+    sets of the band below are compared in their own instance. The first document of a
+    block, if possible one of the own band (``own``), stands for the others, so a hot
+    signature is one row per block and not one per document.
     """
 
     def run(batches):
@@ -176,40 +186,69 @@ def signature_rows(docs: DataFrame, key: str, text: str, words: int, percent: in
         starts = np.concatenate([[1], ends[:-1] + 1])
         for rows, sets in shingle_sets(batches, key, text, words):
             keys = rows.column(key)
-            sigs, docs_, seen = [], [], set()
+            parts, seen = [], set()
             for k, s in zip(keys.to_pylist(), sets):
                 if k is None or not len(s):
                     continue
-                same = s.tobytes()
-                same = (len(s), hash(same))
-                if same in seen and len(s) > 1:
+                same = (len(s), s.tobytes())
+                if same in seen:
                     # Equal sets are grouped by their identity already.
                     continue
                 seen.add(same)
                 band = int(np.searchsorted(ends, len(s)))
                 for i in (band, band + 1):
                     least = int(starts[i - 1]) if i else 1
-                    found = signatures(s, i, scheme.partitioning(least, int(ends[i])))
-                    sigs.append(found)
-                    docs_.append(np.full(len(found), k, dtype=np.int64))
-            if not sigs:
+                    found, needed = signatures(s, i, scheme.partitioning(least, int(ends[i])))
+                    parts.append((found, k, i == band, needed))
+            if not parts:
                 continue
-            sig, doc = np.concatenate(sigs), np.concatenate(docs_)
-            order = np.lexsort((doc, sig))
-            sig, doc = sig[order], doc[order]
-            heads = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-            offsets = np.append(heads, len(sig))
-            rest = np.delete(doc, heads)
-            sizes = np.diff(offsets) - 1
-            starts_ = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            more = pa.ListArray.from_arrays(pa.array(starts_), pa.array(rest))
+            sizes = [len(found) for found, _, _, _ in parts]
+            sig = np.concatenate([found for found, _, _, _ in parts])
+            doc, own, needed = (np.repeat(np.array([part[j] for part in parts]), sizes)
+                                for j in (1, 2, 3))
+            order = np.lexsort((doc, ~own, sig))
+            sig, doc, own, needed = sig[order], doc[order], own[order], needed[order]
+            first = np.concatenate([[True], sig[1:] != sig[:-1]])
+            heads = np.flatnonzero(first)
+            others = np.diff(np.append(heads, len(sig))) - 1
+
+            def members(chosen) -> pa.StructArray:
+                return pa.StructArray.from_arrays(
+                    [pa.array(doc[chosen], pa.int64()), pa.array(own[chosen]),
+                     pa.array(needed[chosen].astype(np.int32))],
+                    names=["doc", "own", "needed"],
+                )
+
+            offsets = np.concatenate([[0], np.cumsum(others)]).astype(np.int32)
+            more = pa.ListArray.from_arrays(pa.array(offsets), members(~first))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(sig[heads].view(np.int64)), pa.array(doc[heads]), more],
-                names=["sig", "doc", "more"],
+                [pa.array(sig[heads].view(np.int64)), pa.array(own[heads]), members(first), more],
+                names=["sig", "own", "member", "more"],
             )
 
     narrow = docs.select(F.col(key).cast("long").alias(key), F.col(text).alias(text))
-    return narrow.mapInArrow(run, "sig long, doc long, more array<long>")
+    return narrow.mapInArrow(
+        run, f"sig long, own boolean, member {_MEMBER}, more array<{_MEMBER}>"
+    )
+
+
+def shared_members(rows: DataFrame, alias: DataFrame) -> DataFrame:
+    """(sig, doc, own): signatures that may join two documents, with their documents.
+
+    At least one of them is of the own band. A document stays in an instance only if it has
+    as many such signatures there as any link needs. ``alias`` names the documents that
+    another one with an equal set stands for.
+    """
+    found = rows.selectExpr(
+        "sig", "member", "more", "count(1) over (partition by sig) as blocks",
+        "bool_or(own) over (partition by sig) as any_own",
+    ).where("any_own and (blocks > 1 or size(more) > 0)")
+    each = found.select("sig", F.explode(F.concat(F.array("member"), "more")).alias("m"))
+    each = each.select("sig", "m.doc", "m.own", "m.needed").join(alias, "doc", "left")
+    each = each.select(F.coalesce("rep", "doc").alias("doc"), "sig", "own", "needed").distinct()
+    counted = each.selectExpr(
+        "sig", "doc", "own", "needed", "count(1) over (partition by doc, own) as n")
+    return counted.where("n >= needed").select("sig", "doc", "own")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -301,21 +340,14 @@ def jaccard_groups(
         F.col(key).cast("long").alias("doc"), "rep"
     ).distinct()
 
-    sig_rows = signature_rows(docs, key, text, words, percent)
-    shared = sig_rows.selectExpr(
-        "sig", "doc", "more",
-        "min(doc) over (partition by sig) as least", "count(1) over (partition by sig) as n",
-    ).where("n > 1 or size(more) > 0")
-    members = shared.select(
-        "sig", F.explode(F.concat(F.array("doc"), "more")).alias("doc")
+    members = stored(
+        shared_members(signature_rows(docs, key, text, words, percent), alias),
+        "jaccard-members",
     )
-    # From here on a document is its representative.
-    members = members.join(alias, "doc", "left").select(
-        "sig", F.coalesce("rep", "doc").alias("doc")
-    ).distinct()
-    members = stored(members, "jaccard-members")
-    centers = members.groupBy("sig").agg(F.min("doc").alias("least"), F.max("doc").alias("most"))
-    centers = centers.where("least <> most").select("sig", "least")
+    centers = members.groupBy("sig").agg(
+        F.min(F.when(F.col("own"), F.col("doc"))).alias("least"), F.count("*").alias("n")
+    ).where("least is not null and n > 1").select("sig", "least")
+    members = members.select("sig", "doc")
     stars = members.join(centers, "sig").where("doc <> least")
     edges = stored(
         stars.groupBy(F.col("doc").alias("a"), F.col("least").alias("b")).count(), "jaccard-edges"
@@ -434,10 +466,23 @@ def _hub_pairs(open_: DataFrame, bounds: DataFrame, percent: int) -> DataFrame:
 
 
 def _between_groups(open_: DataFrame, bounds: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different groups that share a signature and may link."""
+    """Pairs of different groups that share a signature and may link, each of them once.
+
+    A pair comes from the smallest signature that both have.
+    """
     near = open_.join(bounds, "doc")
-    pairs = _side(near, "a").join(_side(near, "b"), "sig").where("a > b and label_a <> label_b")
-    return pairs.where(_may_link(percent)).select("a", "b").distinct()
+    sigs = near.groupBy("doc").agg(F.collect_set("sig").alias("sigs"))
+    near = near.join(sigs, "doc")
+
+    def side(name: str) -> DataFrame:
+        return near.select("sig", F.col("doc").alias(name), *(
+            F.col(c).alias(f"{c}_{name}") for c in ("label", "size", "most", "sigs")))
+
+    first = F.array_min(F.array_intersect("sigs_a", "sigs_b")) == F.col("sig")
+    may = (F.col("a") > F.col("b")) & (F.col("label_a") != F.col("label_b")) & _may_link(percent)
+    pairs = side("a").withColumnRenamed("sig", "_sig").join(
+        side("b"), (F.col("_sig") == F.col("sig")) & may & first)
+    return pairs.select("a", "b")
 
 
 def keep_one(docs: DataFrame, groups: DataFrame, key: str = "doc_id") -> DataFrame:
