@@ -41,6 +41,8 @@ def main() -> None:
         .config("spark.sql.adaptive.enabled", "true")
         # One file per table would be one task: cut scans so that every core has work.
         .config("spark.sql.files.maxPartitionBytes", "2m")
+        # These files have one row group each, which no split size can cut.
+        .config("spark.topicloom.spread", cpus)
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
     )

@@ -27,9 +27,13 @@ RULES = [
 TEXT_TABLES = {"documents", "pages", "conversations"}
 
 
+#: Session setting: number of partitions that text tables are spread over, unset for none.
+SPREAD = "spark.topicloom.spread"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    path = f"{sf_dir}/{name}.parquet"
-    return read_parquet(spark, path) if name in TEXT_TABLES else spark.read.parquet(path)
+    spread = spark.conf.get(SPREAD, None) if name in TEXT_TABLES else None
+    return read_parquet(spark, f"{sf_dir}/{name}.parquet", int(spread) if spread else None)
 
 
 def rules(spark: SparkSession) -> DataFrame:
@@ -183,9 +187,9 @@ def visible_sql(page: str) -> str:
     text = f"regexp_replace({page}, '{hidden}', '', 'g')"
     text = f"regexp_replace({text}, '{inline}', '', 'g')"
     text = f"regexp_replace({text}, '<[^>]+>', ' ', 'g')"
-    for entity, char in [("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&nbsp;", " "),
-                         ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")]:
-        text = f"replace({text}, '{entity}', '{char}')"
+    for name, char in [("quot", '"'), ("copy", "©"), ("middot", "·"), ("nbsp", " "),
+                       ("lt", "<"), ("gt", ">"), ("amp", "&")]:
+        text = f"regexp_replace({text}, '&{name};?', '{char}', 'g')"
     return rf"trim(regexp_replace({text}, '[ \t\n\f\r]+', ' ', 'g'))"
 
 

@@ -1,26 +1,30 @@
-"""Training, evaluation, prediction and the prediction stream."""
+"""Training, evaluation, prediction and the prediction stream.
+
+The fitted coefficients are not stated in SQL; the queries show what must hold for any of
+them: which rows are learned from and scored, and how the results hang together.
+"""
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalog.inputs import joined, table, topic_tokens, word_vectors
+from catalog.inputs import TOPIC_PAGES_SQL, joined, table, topic_tokens, word_vectors
+from catalog.pages import _LABEL_SQL, SPLIT_SQL
 from catalog.registry import query
 from topicloom.operators import classifier, embeddings, labels, sequences, splits, vocabulary
-from topicloom.session import scratch_path
+from topicloom.session import scratch_path, shared_folder
+from topicloom.sources.materialize import Step
 from topicloom.streaming.predict import read_page_stream
 from topicloom.streaming.predict import stream_predict as start_stream
 
 ITERATIONS = 20
-_trained: dict[tuple[str, str], tuple[classifier.TopicModel, DataFrame]] = {}
 
 
-def _train(spark: SparkSession, sf_dir: str) -> tuple[classifier.TopicModel, DataFrame]:
-    """The model for the documents' topics and its validation rows, once per session."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key in _trained:
-        return _trained[key]
+def _training_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
+    """Words, matrix, numbered labels, weights and labelled page vectors of the documents."""
     pages = topic_tokens(spark, sf_dir)
     counted, rows = vocabulary.tokens_and_vocab(pages)
     vectors = word_vectors(spark, sf_dir)
@@ -33,73 +37,121 @@ def _train(spark: SparkSession, sf_dir: str) -> tuple[classifier.TopicModel, Dat
     matrix = embeddings.embedding_matrix(words, dim)
     counts = labels.category_counts(pages)
     numbered = labels.label_index(counts)
-    names = labels.label_list(numbered)
     weights = labels.weights_by_index(
         labels.class_weights(counts).withColumnRenamed("category", "label"), numbered
     )
-    made = sequences.sequence_features(rows, words, names)
+    made = sequences.sequence_features(rows, words, labels.label_list(numbered))
     pooled = scratch_path(spark, "pooled")
     parts = splits.split_dataset(made)
     classifier.labelled_vectors(parts, matrix, dim, weights, keep=["split"]).write.parquet(pooled)
-    labelled = spark.read.parquet(pooled)
-    fitted = classifier.fit_classifier(labelled.where("split = 'train'"), ITERATIONS)
-    model = classifier.TopicModel(words, matrix, names, fitted, dim)
-    _trained[key] = (model, labelled.where("split = 'valid'"))
-    return _trained[key]
+    return words, matrix, numbered, weights, spark.read.parquet(pooled)
+
 
+def _model_folder(spark: SparkSession, sf_dir: str) -> str:
+    name = hashlib.sha256(sf_dir.encode()).hexdigest()[:16]
+    return f"{shared_folder(spark)}/topic-model-{name}"
+
+
+def _train(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Train, save model and validation rows, and report (label, idx, rows, weight, better)."""
+    words, matrix, numbered, weights, labelled = _training_rows(spark, sf_dir)
+    folder = _model_folder(spark, sf_dir)
+    training = labelled.where("split = 'train'")
+    fitted = classifier.fit_classifier(training, ITERATIONS)
+    dim = fitted.numFeatures
+    names = labels.label_list(numbered)
+    classifier.TopicModel(words, matrix, names, fitted, dim).save(f"{folder}/model")
+    labelled.where("split = 'valid'").write.mode("overwrite").parquet(f"{folder}/validation")
+    # The first loss is that of a model which only knows the shares of the classes.
+    losses = list(fitted.summary.objectiveHistory)
+    rows = training.groupBy(F.col("label").cast("int").alias("idx")).agg(
+        F.count("*").alias("rows"))
+    return numbered.join(rows, "idx").join(weights, "idx").select(
+        "label", "idx", "rows", "weight", F.lit(losses[-1] < losses[0]).alias("better")
+    )
 
-@query()
+
+def _trained(spark: SparkSession, sf_dir: str) -> tuple[classifier.TopicModel, DataFrame]:
+    """The saved model of a folder of tables and its validation rows; trains if there is none."""
+    folder = _model_folder(spark, sf_dir)
+    Step(spark, [f"{folder}/validation"]).run(lambda: _train(spark, sf_dir))
+    model = classifier.TopicModel.load(spark, f"{folder}/model")
+    return model, spark.read.parquet(f"{folder}/validation")
+
+
+@query(f"""{_LABEL_SQL}, parts AS (SELECT topic, {SPLIT_SQL} AS split FROM topic_pages)
+  SELECT label, idx, count(*) FILTER (split = 'train') AS rows,
+    max(count(*)) OVER ()::DOUBLE / count(*) AS weight, true AS better
+  FROM parts JOIN label_index ON label = topic GROUP BY label, idx""")
 def fit_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(label, intercept, norm) per class of the fitted model."""
-    model, _ = _train(spark, sf_dir)
-    weights = model.classifier.coefficientMatrix.toArray()
-    rows = [
-        (label, float(bias), float((row ** 2).sum() ** 0.5))
-        for label, bias, row in zip(model.labels, model.classifier.interceptVector, weights)
-    ]
-    return spark.createDataFrame(rows, "label string, intercept double, norm double")
+    """Training rows and weight of each class, and whether the loss fell."""
+    return _train(spark, sf_dir)
 
 
-@query()
+@query(f"""{_LABEL_SQL}, parts AS (SELECT topic, {SPLIT_SQL} AS split FROM topic_pages)
+  SELECT idx AS label, count(*)::BIGINT AS rows, true AS consistent
+  FROM parts JOIN label_index ON label = topic WHERE split = 'valid' GROUP BY idx""")
 def evaluate_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model, validation = _train(spark, sf_dir)
+    """Rows of each true class, and whether accuracy and loss agree with the confusion counts."""
+    model, validation = _trained(spark, sf_dir)
     metrics, confusion = classifier.evaluate_classifier(model.classifier, validation)
-    return confusion.withColumn("accuracy", F.lit(metrics["accuracy"])).withColumn(
-        "weighted_loss", F.lit(metrics["weighted_loss"])
-    )
+    right = F.sum(F.when(F.col("label") == F.col("predicted"), F.col("rows")).otherwise(0))
+    share = confusion.agg(right / F.sum("rows")).scalar()
+    consistent = (F.abs(share - metrics["accuracy"]) < 1e-9) & F.lit(metrics["weighted_loss"] > 0)
+    sums = confusion.groupBy("label").agg(F.sum("rows").alias("rows"))
+    return sums.withColumn("consistent", consistent)
 
 
 def _shown(scored: DataFrame, key: str) -> DataFrame:
+    """What every scored row must fulfil: whole scores, and the best two topics first."""
+    best = F.array_max("predictions")
+    total = F.aggregate("predictions", F.lit(0.0), lambda a, x: a + x)
+    first = F.element_at("predictions", F.array_position(
+        "labels", F.element_at("max2", 1)).cast("int"))
     return scored.select(
         key,
         F.size("predictions").alias("n_scores"),
-        joined("labels").alias("labels"),
-        joined("max2").alias("max2"),
-        F.round(F.array_max("predictions").cast("double"), 4).alias("best"),
+        joined(F.array_sort("labels")).alias("labels"),
+        (F.abs(total - 1) < 1e-4).alias("sums_to_one"),
+        (first == best).alias("best_first"),
     )
 
 
-@query()
+def _shown_sql(key: str, source: str) -> str:
+    return f"""WITH {TOPIC_PAGES_SQL}, names AS (
+    SELECT count(*)::INTEGER AS n, string_agg(topic, ',' ORDER BY topic) AS labels
+    FROM (SELECT DISTINCT topic FROM topic_pages))
+  SELECT {key}, n AS n_scores, labels, true AS sums_to_one, true AS best_first
+  FROM {source}, names"""
+
+
+@query(_shown_sql("doc_id", "documents"))
 def predict_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model, _ = _train(spark, sf_dir)
+    model, _ = _trained(spark, sf_dir)
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     return _shown(model.predict_texts(documents), "doc_id")
 
 
-@query()
+@query(_shown_sql("page_id", "pages"))
 def predict_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model, _ = _train(spark, sf_dir)
+    model, _ = _trained(spark, sf_dir)
     return _shown(model.predict_pages(table(spark, sf_dir, "pages")), "page_id")
 
 
-@query()
+@query("SELECT page_id, 1::BIGINT AS rows, true AS as_batch FROM pages")
 def stream_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model, _ = _train(spark, sf_dir)
-    schema = table(spark, sf_dir, "pages").schema
-    stream = read_page_stream(spark, f"{sf_dir}/pages.parquet", schema, "parquet")
+    """Rows that the stream wrote per page, and whether they equal those of the batch."""
+    model, _ = _trained(spark, sf_dir)
+    pages = table(spark, sf_dir, "pages")
+    stream = read_page_stream(spark, f"{sf_dir}/pages.parquet", pages.schema, "parquet")
     output = scratch_path(spark, "predicted")
     started = start_stream(
         stream, model, output, scratch_path(spark, "predicted-progress"), available_now=True
     )
     started.awaitTermination()
-    return _shown(spark.read.parquet(output), "page_id")
+    batch = model.predict_pages(pages).select(
+        "page_id", F.col("max2").alias("in_batch"))
+    streamed = spark.read.parquet(output).select("page_id", "max2")
+    return streamed.join(batch, "page_id").groupBy("page_id").agg(
+        F.count("*").alias("rows"), F.bool_and(F.col("max2") == F.col("in_batch")).alias("as_batch")
+    )

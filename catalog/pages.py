@@ -76,8 +76,7 @@ def _trigram_sql(key: str, text: str, source: str) -> str:
 @query(f"""WITH counts AS (
     SELECT lang, gram, count(*) AS n FROM {_trigram_sql("lang", "text", "documents")}
     GROUP BY lang, gram),
-  profile AS (SELECT gram FROM counts GROUP BY gram ORDER BY sum(n) DESC, gram
-              LIMIT {language.PROFILE_SIZE}),
+  profile AS (SELECT DISTINCT gram FROM counts),
   weights AS (SELECT lang, max(count(*)) OVER () / count(*)::DOUBLE AS w
               FROM documents GROUP BY lang),
   sums AS (SELECT lang, any_value(w) * sum(n) + (SELECT count(*) FROM profile) AS total
@@ -230,8 +229,9 @@ def weights_by_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.weights_by_index(*_source_weights(spark, sf_dir))
 
 
-SPLIT_SQL = """CASE WHEN ('0x' || substr(md5(uri), 1, 8))::BIGINT % 100 < 10 THEN 'valid'
-  WHEN ('0x' || substr(md5(uri), 1, 8))::BIGINT % 100 < 20 THEN 'test' ELSE 'train' END"""
+SPLIT_SQL = """CASE WHEN ('0x' || substr(md5(uri), 1, 8))::BIGINT < 0.1 * 4294967296 THEN 'valid'
+  WHEN ('0x' || substr(md5(uri), 1, 8))::BIGINT < 0.2 * 4294967296 THEN 'test'
+  ELSE 'train' END"""
 
 
 @query(f"WITH {TOPIC_PAGES_SQL} SELECT uri, topic, {SPLIT_SQL} AS split FROM topic_pages")
@@ -250,3 +250,19 @@ def split_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
   FROM names a JOIN names b ON a.n <= b.n""")
 def split_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.split_report(splits.split_dataset(topic_pages(spark, sf_dir)))
+
+
+@query("""SELECT part, true AS near, (SELECT count(*) FROM documents) AS total
+  FROM (VALUES ('valid'), ('test'), ('train')) t(part)""")
+def random_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of a drawn split: near their share (four standard deviations), whole together."""
+    shares = {"valid": 0.1, "test": 0.1, "train": 0.8}
+    drawn = splits.random_split(table(spark, sf_dir, "documents").select("doc_id"), shares, 5)
+    share = F.element_at(F.create_map(*[F.lit(x) for kv in shares.items() for x in kv]), F.col("part"))
+    sizes = drawn.groupBy(F.col("split").alias("part")).agg(F.count("*").alias("n"))
+    total = F.col("total")
+    return sizes.withColumn("total", sizes.agg(F.sum("n")).scalar()).select(
+        "part",
+        (F.abs(F.col("n") - share * total) <= 4 * F.sqrt(total * share * (1 - share))).alias("near"),
+        "total",
+    )

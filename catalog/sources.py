@@ -22,7 +22,7 @@ from catalog.registry import query
 from topicloom.operators import embeddings, labels, splits
 from topicloom.session import scratch_path
 from topicloom.sources import readers, writers
-from topicloom.sources import materialize as guard
+from topicloom.sources.materialize import Step
 
 
 @query(f"WITH {CRAWLED_SQL} SELECT orig_domain AS domain, categories FROM crawled")
@@ -192,7 +192,7 @@ def materialize(spark: SparkSession, sf_dir: str) -> DataFrame:
     def write() -> None:
         writers.write_parquet(table(spark, sf_dir, "pages"), path)
 
-    ran = [(run, int(guard.materialize(spark, [path], write))) for run in (1, 2)]
+    ran = [(run, int(Step(spark, [path]).run(write))) for run in (1, 2)]
     rows = spark.read.parquet(path).agg(F.count("*").alias("rows"))
     runs = F.array(*[F.struct(F.lit(n).alias("run"), F.lit(r).alias("ran")) for n, r in ran])
     return rows.select(F.inline(runs), "rows")

@@ -157,10 +157,10 @@ def token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded.select("doc_id", joined("ids").alias("ids"))
 
 
-@query(f"""WITH {DOCUMENT_VOCABULARY_SQL}, total AS (SELECT count(*) AS n FROM documents),
+@query(f"""WITH {DOCUMENT_TOKENS_SQL}, total AS (SELECT count(*) AS n FROM documents),
   tf AS (SELECT doc_id, word, count(*) AS tf
          FROM (SELECT doc_id, unnest(tokens) AS word FROM document_tokens)
-         WHERE word IN (SELECT word FROM vocabulary) GROUP BY doc_id, word),
+         GROUP BY doc_id, word),
   df AS (SELECT word, count(*) AS df FROM tf GROUP BY word)
   SELECT doc_id, word, tf, round(tf * ln((n + 1.0::DOUBLE) / (df + 1)), 6) AS tfidf
   FROM tf JOIN df USING (word), total""")

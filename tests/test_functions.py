@@ -62,6 +62,9 @@ def test_stopwords_keep_repeats_and_you(spark):
         ("  lots \n\t of   space ", "lots of space"),
         ("<!DOCTYPE html><?xml version='1'?>t", "t"),
         ("", ""),
+        ("a &copy 2020 &copyright &amp b &#233 c", "a © 2020 ©right & b é c"),
+        ("&notit; x&am", "¬it; x&am"),
+        ("tail <div class=x", "tail"),
     ],
 )
 def test_html_to_text(spark, page, visible):

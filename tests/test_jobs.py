@@ -5,6 +5,7 @@ import json
 import pytest
 
 from topicloom.functions.html import html_to_text
+from topicloom.operators import embeddings, sequences
 from topicloom.operators.language import fit_language_model
 from topicloom.operators.splits import split_report
 from topicloom.operators.classifier import TopicModel
@@ -85,7 +86,7 @@ def test_jobs_go_on_where_they_stopped(spark, world):
     assert sorted(again.collect()) == before
 
 
-def test_train_predict_and_stream(spark, world):
+def test_train_predict_and_stream(spark, world, monkeypatch):
     root = world[0]
     model, metrics, confusion = jobs.train_topics(spark, f"{root}/out", f"{root}/model", 20, 30)
     assert metrics["accuracy"] == 1.0
@@ -112,6 +113,15 @@ def test_train_predict_and_stream(spark, world):
                        available_now=True).awaitTermination()
     scored = spark.read.parquet(f"{root}/scored").select("page_id", "predictions", "max2").collect()
     assert sorted(scored) == sorted(batch)
+    # A model beyond every bound is joined instead of sent; the stream must not notice.
+    monkeypatch.setattr(sequences, "bounded_arrow", lambda *args: None)
+    monkeypatch.setattr(embeddings, "bounded_arrow", lambda *args: None)
+    for _ in range(2):
+        stream_predict(stream, model, f"{root}/scored-large", f"{root}/progress-large",
+                       available_now=True).awaitTermination()
+    large = spark.read.parquet(f"{root}/scored-large").select("page_id", "max2").collect()
+    assert sorted(large) == sorted((r.page_id, r.max2) for r in batch)
+    monkeypatch.undo()
     texts_of_pages = pages.select("page_id", html_to_text(F.col("html")).alias("text"))
     same = model.predict_texts(texts_of_pages).select("page_id", "predictions", "max2").collect()
     assert sorted(same) == sorted(batch)

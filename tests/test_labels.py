@@ -59,6 +59,15 @@ def test_hash_split_sizes_and_no_leak(spark):
     assert again * 2 == report["test", "test"][0]
 
 
+def test_small_parts_and_rows_without_a_key(spark):
+    pages = spark.range(20_000).select(F.concat(F.lit("http://"), "id").alias("uri"))
+    cut = splits.split_dataset(pages, bounds=(0.0, 0.004, 0.008, 1.0))
+    sizes = {row.split: row["count"] for row in cut.groupBy("split").count().collect()}
+    assert abs(sizes["valid"] - 80) <= 36 and abs(sizes["test"] - 80) <= 36
+    none = spark.createDataFrame([(None,)], "uri string")
+    assert splits.split_dataset(none).first().split is None
+
+
 def test_split_report_finds_a_leak(spark):
     rows = spark.createDataFrame([("a", "train"), ("a", "test"), ("b", "test")],
                                  "uri string, split string")
@@ -68,8 +77,9 @@ def test_split_report_finds_a_leak(spark):
 
 
 def test_random_split(spark):
-    parts = splits.random_split(spark.range(10_000), seed=5)
-    sizes = {name: part.count() for name, part in parts.items()}
+    shares = {"valid": 0.1, "test": 0.1, "train": 0.8}
+    drawn = splits.random_split(spark.range(10_000), shares, seed=5)
+    sizes = {row.split: row["count"] for row in drawn.groupBy("split").count().collect()}
     assert sum(sizes.values()) == 10_000
     assert abs(sizes["train"] - 8_000) <= 800
     assert abs(sizes["test"] - 1_000) <= 100 and abs(sizes["valid"] - 1_000) <= 100

@@ -1,5 +1,6 @@
 """Joins and numbering must not depend on which way is taken."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from topicloom.scale import (
@@ -8,7 +9,9 @@ from topicloom.scale import (
     dense_index,
     explode_once,
     filter_once,
+    fits_broadcast,
     lookup_join,
+    salted_join,
 )
 
 
@@ -34,6 +37,25 @@ def test_lookup_join_same_rows_salted_or_broadcast(spark):
         assert "BroadcastHashJoin" not in large._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_salted_join_splits_one_partition_and_refuses_outer_kinds(spark):
+    facts = spark.range(1000, numPartitions=1).select("id", F.lit(1).alias("k"))
+    lookup = spark.createDataFrame([(1, "x")], "k int, v string")
+    joined = salted_join(facts, lookup, "k", salts=8)
+    assert joined.count() == 1000
+    salts = facts.withColumn("s", F.pmod(F.xxhash64(F.spark_partition_id(), "id", "k"), F.lit(8)))
+    assert salts.select("s").distinct().count() == 8
+    for how in ("right", "full", "outer", "right_outer"):
+        with pytest.raises(ValueError):
+            salted_join(facts, lookup, "k", how)
+
+
+def test_known_rows_do_not_skip_the_byte_check(spark):
+    facts = spark.range(10).withColumnRenamed("id", "k")
+    wide = spark.range(3).select(F.col("id").alias("k"), F.repeat(F.lit("x"), 1000).alias("v"))
+    assert not fits_broadcast(wide, max_bytes=100)
+    assert lookup_join(facts, wide, "k", known_rows=3).count() == 3
+
+
 def test_dense_index_distributed_equals_window(spark):
     df = spark.range(1000, numPartitions=9).select((F.col("id") * 7919 % 1000).alias("n"))
     order = [F.desc(F.col("n") % 10), F.asc("n")]

@@ -151,13 +151,29 @@ def test_mean_vectors_both_ways(spark):
             assert row.meanVector == pytest.approx(expected[row.n])
 
 
+def test_sparse_ids_need_no_large_matrix(spark):
+    far = 2_000_000_000
+    matrix = spark.createDataFrame([(1, [1.0]), (far, [3.0])], "id int, vector array<float>")
+    df = spark.createDataFrame([([1, far, 7],), (None,)], "ids array<int>")
+    means = [r.meanVector for r in embeddings.mean_vectors(df, matrix, 1).collect()]
+    assert means == [[2.0], [0.0]]
+
+
+def test_tf_idf_vectors(spark):
+    df = spark.createDataFrame([(["a", "a", "b"],), (["a"],)], "tokens array<string>")
+    model = tfidf.fit_tf_idf(df, vocabulary.build_vocabulary(df))
+    rows = model.transform(df).select(F.unwrap_udt("tfidf").alias("v")).collect()
+    assert sorted(rows[0].v["values"]) == pytest.approx([0.0, math.log(3 / 2)])
+
+
 def test_tf_idf(spark):
     lists = {1: ["a", "a", "b"], 2: ["a"], 3: []}
     df = spark.createDataFrame(list(lists.items()), "n int, tokens array<string>")
     expected = {(1, "a"): 2 * math.log(4 / 3), (1, "b"): math.log(4 / 2), (2, "a"): math.log(4 / 3)}
     found = {(r.n, r.word): r.tfidf for r in tfidf.tf_idf(df, "n").collect()}
     assert found == pytest.approx(expected)
-    one = tfidf.tf_idf(df, "n", size=1).select("word").distinct().collect()
+    top = vocabulary.build_vocabulary(df, 1)
+    one = tfidf.tf_idf(df, "n", vocabulary=top).select("word").distinct().collect()
     assert one == [("a",)]
 
 

@@ -28,9 +28,16 @@ _SEPARATING = (
 # Up to the closing bracket; a bracket inside a quoted attribute value does not close.
 _TAG_REST = r"""[^>=]*+(?:=\s*+(?:"[^"]*+"|'[^']*+')?+[^>=]*+)*+>"""
 _SEPARATING_TAG = rf"(?i)</?(?:{_SEPARATING})(?=[\s/>]){_TAG_REST}|<[!?][^>]*+>"
-_OTHER_TAG = rf"</?[a-zA-Z]{_TAG_REST}"
+# A tag that the page ends in is no text either.
+_OTHER_TAG = rf"</?[a-zA-Z]{_TAG_REST}|</?[a-zA-Z][^>]*+\z"
 
-_ENTITY = r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]*);"
+# Old names are entities without the semicolon, too; the longest one counts.
+_BARE = sorted((n for n in html.entities.html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
+_ENTITY = (
+    r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]*(?=;)|" + "|".join(_BARE) + r");?+"
+)
+
+_OLD_NAME = "^(" + "|".join(_BARE) + ")"
 
 # Often used names come first because the lookup scans in order.
 _FREQUENT = ["nbsp", "amp", "quot", "lt", "gt", "copy", "middot", "raquo", "laquo", "ndash",
@@ -55,7 +62,12 @@ def _decode_entity(entity: Column) -> Column:
     name = F.regexp_extract(entity, _ENTITY, 1)
     digits = F.regexp_extract(name, "^#([0-9]+)$", 1)
     hexits = F.regexp_extract(name, "^#[xX]([0-9a-fA-F]+)$", 1)
-    named = F.coalesce(F.element_at(_entity_table(), name), entity)
+    known = F.element_at(_entity_table(), name)
+    # An unknown name may begin with an old one.
+    old = F.regexp_extract(name, _OLD_NAME, 1)
+    begun = F.concat(F.element_at(_entity_table(), old), F.substring(entity, F.length(old) + 2,
+                                                                     F.length(entity)))
+    named = F.coalesce(known, F.when(old != "", begun), entity)
     return (
         F.when(digits != "", _code_point(digits.try_cast("long")))
         .when(hexits != "", _code_point(F.conv(hexits, 16, 10).try_cast("long")))

@@ -6,7 +6,6 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +17,9 @@ from topicloom.operators.scoring import top_labels
 from topicloom.operators.sequences import SEQUENCE_LENGTH, encode
 from topicloom.scale import lookup_join
 
+# Fixed value: least probability that enters the logarithmic loss.
+LEAST_LIKELY = 1e-15
+
 
 def page_vectors(
     features: DataFrame, matrix: DataFrame, dim: int, ids: str = "paddedWords"
@@ -132,12 +134,33 @@ def fit_classifier(
 def evaluate_classifier(
     model: LogisticRegressionModel, validation: DataFrame
 ) -> tuple[dict[str, float], DataFrame]:
-    """({accuracy, weighted_loss}, confusion): confusion counts are (label, predicted, rows)."""
-    scored = model.transform(validation)
-    accuracy = MulticlassClassificationEvaluator(metricName="accuracy")
-    loss = MulticlassClassificationEvaluator(metricName="logLoss", weightCol="weight")
-    confusion = scored.groupBy(
-        F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("predicted")
-    ).agg(F.count("*").alias("rows"))
-    metrics = {"accuracy": accuracy.evaluate(scored), "weighted_loss": loss.evaluate(scored)}
+    """({accuracy, weighted_loss}, confusion): confusion counts are (label, predicted, rows).
+
+    The rows are scored once; all three results come from sums per pair of classes.
+    """
+    place = F.col("label").cast("int")
+    likely = F.element_at(vector_to_array("probability"), place + 1)
+    loss = -F.log(F.greatest(likely, F.lit(LEAST_LIKELY)))
+    sums = (
+        model.transform(validation)
+        .groupBy(place.alias("label"), F.col("prediction").cast("int").alias("predicted"))
+        .agg(
+            F.count("*").alias("rows"),
+            F.sum("weight").alias("weight"),
+            F.sum(F.col("weight") * loss).alias("loss"),
+        )
+    )
+    # One row per pair of classes.
+    found = sums.collect()
+    rows = sum(row["rows"] for row in found)
+    weight = sum(row.weight for row in found)
+    right = sum(row["rows"] for row in found if row.label == row.predicted)
+    metrics = {
+        "accuracy": right / rows if rows else 0.0,
+        "weighted_loss": sum(row.loss for row in found) / weight if weight else 0.0,
+    }
+    counts = [(row.label, row.predicted, row["rows"]) for row in found]
+    confusion = validation.sparkSession.createDataFrame(
+        counts, "label int, predicted int, rows long"
+    )
     return metrics, confusion

@@ -15,6 +15,7 @@ from topicloom.operators.vocabulary import dense_word_ids
 from topicloom.scale import bounded_arrow, lookup_join, salted_join, with_row_key
 
 BROADCAST_FLOATS = 50_000_000
+GATHERED_FLOATS = 2_000_000
 
 
 def vector_dim_check(vectors: DataFrame) -> DataFrame:
@@ -85,24 +86,35 @@ def mean_vectors(
                           max_floats // max(dim, 1))
     if known is None:
         return mean_vectors_by_join(df, matrix, dim, ids, out)
-    numbers = known["id"].to_numpy()
-    table = np.zeros((int(numbers.max(initial=0)) + 1, dim), dtype=np.float32)
-    table[numbers] = np.asarray(pc.list_flatten(known["vector"].combine_chunks())).reshape(-1, dim)
-    shared = df.sparkSession.sparkContext.broadcast(table)
+    block = max(1, GATHERED_FLOATS // max(dim, 1))
+    in_order = known.sort_by("id")
+    # Looked up by their order, so gaps between the ids cost nothing.
+    numbers = in_order["id"].to_numpy().astype(np.int64)
+    flat = np.asarray(pc.list_flatten(in_order["vector"].combine_chunks()), dtype=np.float32)
+    shared = df.sparkSession.sparkContext.broadcast((numbers, flat.reshape(len(numbers), dim)))
 
     @F.arrow_udf(T.ArrayType(T.DoubleType()))
     def average(lists: pa.Array) -> pa.Array:
         import numpy as np
         import pyarrow as pa
-
-        vectors = shared.value
-        means = np.zeros((len(lists), vectors.shape[1]))
-        # One row at a time keeps the gathered vectors as small as one text.
-        for row, words in enumerate(lists):
-            found = np.asarray(words.values) if words.is_valid else np.empty(0, dtype=np.int32)
-            found = found[(found > 0) & (found < len(vectors))]
-            if len(found):
-                means[row] = vectors[found].mean(axis=0, dtype=np.float64)
+        import pyarrow.compute as pc
+
+        numbers, vectors = shared.value
+        words = np.asarray(lists.flatten(), dtype=np.int64)
+        sizes = np.asarray(pc.fill_null(pc.list_value_length(lists), 0))
+        row = np.repeat(np.arange(len(lists)), sizes)
+        place = np.searchsorted(numbers, words)
+        place[place == len(numbers)] = 0
+        found = (numbers[place] == words) if len(numbers) else np.zeros(len(words), dtype=bool)
+        row, place = row[found], place[found]
+        sums = np.zeros((len(lists), vectors.shape[1]))
+        # A bounded number of gathered vectors at a time.
+        for low in range(0, len(row), block):
+            part = row[low:low + block]
+            heads = np.flatnonzero(np.diff(part, prepend=-1))
+            gathered = vectors[place[low:low + block]].astype(np.float64)
+            sums[part[heads]] += np.add.reduceat(gathered, heads, axis=0)
+        means = sums / np.maximum(np.bincount(row, minlength=len(lists)), 1)[:, None]
         offsets = np.arange(len(lists) + 1, dtype=np.int32) * vectors.shape[1]
         return pa.ListArray.from_arrays(offsets, means.ravel())
 

@@ -7,10 +7,6 @@ from pyspark.sql import functions as F
 
 from topicloom.scale import dense_index, lookup_join
 
-# One-hot arrays are as long as the label list, so the list is small by construction.
-LABEL_ROWS = 100_000
-
-
 def category_counts(pages: DataFrame) -> DataFrame:
     """(category, count) over the category arrays of all rows."""
     return (
@@ -33,11 +29,8 @@ def label_index(counts: DataFrame) -> DataFrame:
 
 
 def label_list(labels: DataFrame) -> list[str]:
-    """Labels in class order; refuses a list too long to be one-hot encoded."""
-    rows = labels.orderBy("idx").limit(LABEL_ROWS + 1).collect()
-    if len(rows) > LABEL_ROWS:
-        raise ValueError(f"more than {LABEL_ROWS} labels")
-    return [row.label for row in rows]
+    """Labels in class order. Every feature row has an array as long as this list."""
+    return [row.label for row in labels.orderBy("idx").collect()]
 
 
 def known_labels_only(weights: DataFrame, labels: DataFrame) -> DataFrame:

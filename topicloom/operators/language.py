@@ -9,26 +9,19 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pyarrow as pa
 from pyspark.ml.classification import NaiveBayes, NaiveBayesModel
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicloom.operators.labels import category_counts, class_weights
 from topicloom.operators.vocabulary import word_vectorizer
-from topicloom.scale import bounded_arrow, bounded_rows, explode_once, filter_once
-from topicloom.session import scratch_path
-from topicloom.sources.materialize import clear
+from topicloom.scale import explode_once, filter_once
 
 ENGLISH = "en"
 # Fixed value: least probability of a language that counts as detected.
 LEAST_PROBABILITY = 0.5
-PROFILE_SIZE = 1 << 18
-MAX_LANGUAGES = 1_000
-MAX_CELLS = 20_000_000
 
 # All overlapping groups of three characters; a group does not start inside a character.
 _TRIGRAM = r"(?s)(?=([^\x{DC00}-\x{DFFF}]..))"
@@ -94,58 +87,45 @@ class LanguageModel:
 
 
 def fit_language_model(
-    labelled: DataFrame, text: str = "text", language: str = "lang", size: int = PROFILE_SIZE
+    labelled: DataFrame, text: str = "text", language: str = "lang", size: int | None = None
 ) -> LanguageModel:
     """Train on texts with a known language.
 
-    Languages weigh the same however many texts they have. ``size`` trigrams, the most
-    frequent ones, make up the profile. The texts are read once, into a table of counts
-    per language; the classifier is then fitted on one count vector per language.
+    Languages weigh the same however many texts they have. All trigrams make up the
+    profile, or the ``size`` most frequent ones. The counts stay in the tasks: only the
+    trigrams and one sum per trigram and language reach the driver.
     """
     known = labelled.select(F.col(language).alias("language"), F.col(text).alias("text")).where(
         "language is not null and text is not null"
     )
-    counts_path = scratch_path(labelled.sparkSession, "trigrams")
-    explode_once(known, trigrams(F.col("text")), "word").groupBy("language", "word").agg(
-        F.count("*").alias("count")
-    ).write.parquet(counts_path)
-    counts = labelled.sparkSession.read.parquet(counts_path)
-
     texts = category_counts(known.select(F.array("language").alias("categories")))
-    weights = bounded_rows(class_weights(texts), MAX_LANGUAGES)
-    if not weights:
-        raise ValueError(f"between 1 and {MAX_LANGUAGES} languages are needed")
-    weight_of = {row.category: row.weight for row in weights}
+    weight_of = {row.category: row.weight for row in class_weights(texts).collect()}
+    if not weight_of:
+        raise ValueError("no text has a language")
     languages = sorted(weight_of)
 
-    totals = counts.groupBy("word").agg(F.sum("count").alias("count"))
-    frequent = totals.orderBy(F.desc("count"), F.asc("word")).limit(size)
-    vectorizer = word_vectorizer(frequent, "_grams", "_counts")
-    grams = vectorizer.vocabulary
-    profile = labelled.sparkSession.createDataFrame(
-        pa.table({"word": grams, "idx": range(len(grams))})
+    grams = explode_once(known, trigrams(F.col("text")), "word").groupBy("word")
+    profile = grams.agg(F.count("*").alias("count"))
+    if size is not None:
+        profile = profile.orderBy(F.desc("count"), F.asc("word")).limit(size)
+    vectorizer = word_vectorizer(profile, "_grams", "_counts")
+    pairs = [F.lit(x) for n, name in enumerate(languages) for x in (name, float(n))]
+    weights = [F.lit(x) for name in languages for x in (name, weight_of[name])]
+    rows = vectorizer.transform(known.withColumn("_grams", trigrams(F.col("text")))).select(
+        "_counts",
+        F.element_at(F.create_map(*pairs), F.col("language")).alias("label"),
+        F.element_at(F.create_map(*weights), F.col("language")).alias("weight"),
     )
-    cells = bounded_arrow(counts.join(F.broadcast(profile), "word"), MAX_CELLS)
-    if cells is None:
-        raise ValueError(f"more than {MAX_CELLS} counts; choose a smaller profile size")
-    found = cells.select(["idx", "language", "count"]).to_pandas().sort_values("idx")
-    rows = []
-    for label, name in enumerate(languages):
-        part = found[found["language"] == name]
-        weighted = part["count"].to_numpy() * weight_of[name]
-        rows.append((float(label), Vectors.sparse(len(grams), part["idx"].to_numpy(), weighted)))
     bayes = NaiveBayes(
         featuresCol="_counts",
         labelCol="label",
+        weightCol="weight",
         probabilityCol="_probability",
         rawPredictionCol="_raw",
         predictionCol="_prediction",
         smoothing=1.0,
     )
-    training = labelled.sparkSession.createDataFrame(rows, ["label", "_counts"])
-    classifier = bayes.fit(training).setPredictionCol("")
-    clear(labelled.sparkSession, [counts_path])
-    return LanguageModel(languages, vectorizer, classifier)
+    return LanguageModel(languages, vectorizer, bayes.fit(rows).setPredictionCol(""))
 
 
 def english_only(pages: DataFrame, model: LanguageModel) -> DataFrame:

@@ -8,11 +8,10 @@ from pyspark.sql import functions as F
 from topicloom.functions.arrays import one_hot, pad_pre
 from topicloom.operators.sequences import token_ids
 from topicloom.operators.vocabulary import answer_index, first_seen_index
-from topicloom.scale import bounded_rows, lookup_join
+from topicloom.scale import lookup_join
 
 # Fixed value: default number of ids per question.
 QUESTION_LENGTH = 45
-MAX_ANSWERS = 100_000
 
 # Fixed value: characters between the words of a question; "," and "." belong to words.
 _SEPARATORS = "[;? ']+"
@@ -47,21 +46,18 @@ def question_features(
     """
     lowered = questions.withColumn("tokens", question_tokens(F.col("question")))
     index = first_seen_index(lowered, order_key)
-    answers = bounded_rows(answer_index(questions), MAX_ANSWERS)
-    if answers is None:
-        raise ValueError(f"more than {MAX_ANSWERS} answers cannot be one-hot encoded")
-    spark = questions.sparkSession
-    lookup = spark.createDataFrame(answers, "answer string, idx int")
+    lookup = answer_index(questions)
+    answers = lookup.count()
     if as_written:
         worded = questions.withColumn("tokens", question_tokens(F.col("question"), lower=False))
     else:
         worded = lowered.withColumn("tokens", F.filter("tokens", lambda w: w != ""))
     slim = worded.select(order_key, "answer", "tokens")
-    numbered = lookup_join(slim, lookup, "answer", "left", known_rows=len(answers))
+    numbered = lookup_join(slim, lookup, "answer", "left", known_rows=answers)
     return token_ids(numbered, index).select(
         order_key,
         pad_pre(F.col("ids"), length).alias("ids"),
-        one_hot(F.col("idx"), len(answers)).alias("answer"),
+        one_hot(F.col("idx"), answers).alias("answer"),
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,9 +12,9 @@ BOUNDS = (0.0, 0.1, 0.2, 1.0)
 NAMES = ("valid", "test", "train")
 
 
-def hash_percent(key: Column) -> Column:
-    """A stable number from 0 to 99 for a key."""
-    return F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("bigint") % 100
+def hash_number(key: Column) -> Column:
+    """A stable number from 0 to 2**32 - 1 for a key."""
+    return F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("bigint")
 
 
 def split_dataset(
@@ -26,24 +26,30 @@ def split_dataset(
     """Add ``split``. All rows of one page get the same part, in every run.
 
     The parts depend on the key alone, so there is no shuffle and no leak between parts
-    when a page appears under several topics.
+    when a page appears under several topics. Rows without a key have no part (null),
+    because nothing could tell whether they leak.
     """
-    percent = hash_percent(F.col(key))
-    part = F.lit(names[-1])
+    number = hash_number(F.col(key))
+    part = F.when(number.isNotNull(), F.lit(names[-1]))
     for name, upper in reversed(list(zip(names[:-1], bounds[1:-1]))):
-        part = F.when(percent < round(upper * 100), F.lit(name)).otherwise(part)
+        part = F.when(number < round(upper * (1 << 32)), F.lit(name)).otherwise(part)
     return df.withColumn("split", part)
 
 
-def random_split(
-    df: DataFrame,
-    seed: int,
-    bounds: Sequence[float] = BOUNDS,
-    names: Sequence[str] = NAMES,
-) -> dict[str, DataFrame]:
-    """The row-level random form; rows of one page may land in different parts."""
-    weights = [upper - lower for lower, upper in zip(bounds, bounds[1:])]
-    return dict(zip(names, df.randomSplit(weights, seed)))
+def random_split(df: DataFrame, shares: Mapping[str, float], seed: int) -> DataFrame:
+    """Add ``split``, drawn for each row: a part as often as its share says.
+
+    Rows of one page may land in different parts; ``split_dataset`` keeps them together.
+    """
+    draw, total = F.col("_draw") * sum(shares.values()), 0.0
+    part = F.lit(list(shares)[-1])
+    limits = []
+    for name, share in shares.items():
+        total += share
+        limits.append((name, total))
+    for name, limit in reversed(limits[:-1]):
+        part = F.when(draw < limit, F.lit(name)).otherwise(part)
+    return df.withColumn("_draw", F.rand(seed)).withColumn("split", part).drop("_draw")
 
 
 def split_report(df: DataFrame, key: str = "uri", names: Sequence[str] = NAMES) -> DataFrame:

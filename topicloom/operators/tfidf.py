@@ -7,40 +7,43 @@ from pyspark.ml.feature import IDF
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.operators.vocabulary import VOCABULARY_SIZE, build_vocabulary, word_vectorizer
+from topicloom.operators.vocabulary import word_vectorizer
 from topicloom.scale import explode_once, lookup_join
+from topicloom.session import scratch_path
 
 
 def fit_tf_idf(
-    tokenised: DataFrame,
-    size: int = VOCABULARY_SIZE,
-    tokens: str = "tokens",
-    out: str = "tfidf",
+    tokenised: DataFrame, vocabulary: DataFrame, tokens: str = "tokens", out: str = "tfidf"
 ) -> PipelineModel:
-    """Fit ``tf * ln((N + 1) / (df + 1))`` over the ``size`` most frequent words.
+    """Fit ``tf * ln((N + 1) / (df + 1))`` over the words of a vocabulary.
 
-    The fitted stages turn a row's tokens into a sparse vector without a shuffle.
+    The fitted stages turn a row's tokens into a sparse vector without a shuffle, so the
+    vocabulary has to fit the driver; ``tf_idf`` has no such bound.
     """
-    counter = word_vectorizer(build_vocabulary(tokenised, size, tokens), tokens, "_tf")
+    counter = word_vectorizer(vocabulary, tokens, "_tf")
     idf = IDF(inputCol="_tf", outputCol=out).fit(counter.transform(tokenised))
     return PipelineModel([counter, idf])
 
 
 def tf_idf(
-    tokenised: DataFrame, key: str, size: int = VOCABULARY_SIZE, tokens: str = "tokens"
+    tokenised: DataFrame, key: str, tokens: str = "tokens", vocabulary: DataFrame | None = None
 ) -> DataFrame:
-    """(key, word, tf, tfidf): one row per text and vocabulary word in it."""
-    model = fit_tf_idf(tokenised.select(tokens), size, tokens)
-    words = tokenised.sparkSession.createDataFrame(
-        list(enumerate(model.stages[0].vocabulary)), "i int, word string"
-    )
-    scored = model.transform(tokenised.select(key, tokens)).select(
-        key, F.unwrap_udt("_tf").alias("tf"), F.unwrap_udt("tfidf").alias("w")
-    )
-    entries = F.arrays_zip(
-        F.col("tf.indices").alias("i"), F.col("tf.values").alias("tf"), F.col("w.values").alias("w")
-    )
-    weighted = explode_once(scored, entries, "e").select(key, "e.*")
-    return lookup_join(weighted, words, "i", known_rows=size).select(
-        key, "word", F.col("tf").cast("long").alias("tf"), F.col("w").alias("tfidf")
+    """(key, word, tf, tfidf): one row per text and word in it.
+
+    All words count, or those of ``vocabulary`` if it is given. Words are counted per text
+    before anything moves; the counts are written once, for the number of texts with a word
+    and for the result. The weight of a word joins as a lookup of any size.
+    """
+    words = explode_once(tokenised.select(key, tokens), F.col(tokens), "word")
+    counts = words.groupBy(key, "word").agg(F.count("*").alias("tf"))
+    if vocabulary is not None:
+        counts = lookup_join(counts, vocabulary.select("word").distinct(), "word", "left_semi")
+    path = scratch_path(tokenised.sparkSession, "term-counts")
+    counts.write.parquet(path)
+    written = tokenised.sparkSession.read.schema(counts.schema).parquet(path)
+    texts = tokenised.count()
+    weight = F.log(F.lit(texts + 1.0) / (F.count("*") + 1))
+    weights = written.groupBy("word").agg(weight.alias("idf"))
+    return lookup_join(written, weights, "word").select(
+        key, "word", "tf", (F.col("tf") * F.col("idf")).alias("tfidf")
     )

@@ -3,16 +3,14 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
 from topicloom.functions.text import clean_tokens
 from topicloom.scale import dense_index, explode_once
 
 # Fixed value: default number of words in a vocabulary.
 VOCABULARY_SIZE = 20_000
-PLACE_BITS = 26
 
 
 def word_counts(tokenised: DataFrame, tokens: str = "tokens") -> DataFrame:
@@ -64,27 +62,11 @@ def first_seen_index(df: DataFrame, order_key: str, tokens: str = "tokens") -> D
     """
     unique = df.select(order_key, F.array_distinct(tokens).alias("words"))
     places = explode_once(unique, F.col("words"), "word", "pos").where("word <> ''")
-    first = places.groupBy("word").agg(F.min(_place(df, order_key)).alias("first"))
+    first = places.groupBy("word").agg(F.min(F.struct(F.col(order_key).alias("row"), "pos")).alias("first"))
     numbered = dense_index(first, ["first"], "id", start=1)
     return numbered.select("word", F.col("id").cast("int").alias("id"))
 
 
-def _place(df: DataFrame, order_key: str) -> Column:
-    """Sort key of (row, place). Whole numbers are packed into one where they fit.
-
-    The minimum of a number is kept in place by the hash aggregation; the minimum of a
-    struct would make Spark sort all words first.
-    """
-    row = F.col(order_key)
-    if df.schema[order_key].dataType in (ByteType(), ShortType(), IntegerType(), LongType()):
-        least, most = df.agg(F.min(row), F.max(row)).first()
-        if least is not None and 0 <= least and most < 1 << (63 - PLACE_BITS):
-            fits = F.col("pos") < 1 << PLACE_BITS
-            packed = row.cast("long") * (1 << PLACE_BITS) + F.col("pos")
-            return F.when(fits, packed).otherwise(F.raise_error(F.lit("row with too many words")))
-    return F.struct(row.alias("row"), "pos")
-
-
 def answer_index(df: DataFrame, column: str = "answer") -> DataFrame:
     """(answer, idx): 0-based number of each distinct answer, in the order of answers."""
     distinct = df.select(F.col(column).alias("answer")).where("answer is not null").distinct()

@@ -1,6 +1,6 @@
 """The batch jobs: crawled pages to topic pages, topic pages to features, features to a model.
 
-Each step is guarded by ``materialize``, so a job that was cut short goes on where it
+Each part is a ``Step``, so a job that was cut short goes on where it
 stopped.
 """
 
@@ -24,7 +24,7 @@ from topicloom.operators.sequences import SEQUENCE_LENGTH, sequence_features
 from topicloom.operators.splits import split_dataset
 from topicloom.operators.taxonomy import map_to_topics
 from topicloom.operators.vocabulary import VOCABULARY_SIZE, build_vocabulary
-from topicloom.sources.materialize import materialize
+from topicloom.sources.materialize import Step
 from topicloom.sources.readers import (
     load_rules,
     load_word_vectors,
@@ -61,8 +61,8 @@ def process_pages(
         pages = spark.read.parquet(text_output)
         write_parquet(map_to_topics(pages, rules, segment_aware, dedupe), clean_output)
 
-    materialize(spark, [text_output], extract, dependents=[clean_output])
-    materialize(spark, [clean_output], classify)
+    Step(spark, [text_output], later=[clean_output]).run(extract)
+    Step(spark, [clean_output]).run(classify)
     return spark.read.parquet(clean_output)
 
 
@@ -120,9 +120,9 @@ def build_features(
         write_features(split_dataset(made), features_path)
 
     later = [*dictionary_paths, features_path]
-    materialize(spark, [tokens_path], tokenise, dependents=later)
-    materialize(spark, dictionary_paths, dictionaries, dependents=[features_path])
-    materialize(spark, [features_path], features)
+    Step(spark, [tokens_path], later=later).run(tokenise)
+    Step(spark, dictionary_paths, later=[features_path]).run(dictionaries)
+    Step(spark, [features_path]).run(features)
     return read_features(spark, output_path)
 
 

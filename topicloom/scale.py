@@ -21,6 +21,7 @@ BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 128 << 20
 ONE_TASK_ROWS = 1_000_000
 LEAST_SALTS = 32
+_SALTED_KINDS = {"inner", "left", "leftouter", "leftsemi", "semi", "leftanti", "anti"}
 
 
 def bounded_rows(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> list[Row] | None:
@@ -58,14 +59,11 @@ def lookup_join(
     """Join a large, possibly skewed table with a lookup table.
 
     The lookup is broadcast when its size is within the bound, else the join is salted.
-    ``known_rows`` is an upper bound of its rows that the caller already has, for lookups
-    of short rows; without it the lookup is measured, up to one row past the bound.
+    ``known_rows`` is an upper bound of its rows that the caller already has: beyond the
+    bound nothing is measured.
     """
-    if known_rows is None:
-        small = fits_broadcast(lookup, max_broadcast_rows)
-    else:
-        small = known_rows <= max_broadcast_rows
-    if small:
+    small = known_rows is None or known_rows <= max_broadcast_rows
+    if small and fits_broadcast(lookup, max_broadcast_rows):
         return facts.join(F.broadcast(lookup), [on] if isinstance(on, str) else list(on), how)
     return salted_join(facts, lookup, on, how, salts)
 
@@ -80,13 +78,19 @@ def salted_join(
     """Join with a lookup of any size; hot keys of ``facts`` spread over ``salts`` tasks.
 
     The lookup is copied once per salt, so the number of salts follows the cores of the
-    cluster slowly; adaptive execution cuts partitions that are still too large. The salt is the input partition number: stable
-    under task retries, and it also separates exact copies of a row.
+    cluster slowly; adaptive execution cuts partitions that are still too large. The salt
+    is a hash of the row and its input partition: stable under task retries, and it splits
+    a hot key whether its rows come from one partition or from many. Kinds of join that
+    keep lookup rows without a partner would keep one per copy and are refused.
     """
+    if how.replace("_", "").lower() not in _SALTED_KINDS:
+        raise ValueError(f"a {how} join cannot be salted")
     keys = [on] if isinstance(on, str) else list(on)
     if salts is None:
         salts = max(LEAST_SALTS, facts.sparkSession.sparkContext.defaultParallelism // 32)
-    salted_facts = facts.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
+    parts = [F.col(f"`{f.name}`") for f in facts.schema if "map" not in f.dataType.simpleString()]
+    mixed = F.xxhash64(F.spark_partition_id(), *parts)
+    salted_facts = facts.withColumn("_salt", F.pmod(mixed, F.lit(salts)).cast("int"))
     salted_lookup = lookup.withColumn(
         "_salt", F.explode(F.array(*[F.lit(n) for n in range(salts)]))
     )

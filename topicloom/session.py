@@ -37,6 +37,9 @@ def shared_folder(spark: SparkSession) -> str:
     executors share one machine, may fall back to a temporary folder.
     """
     global _local_scratch
+    set_by_code = spark.sparkContext.getCheckpointDir()
+    if set_by_code is not None:
+        return set_by_code
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
@@ -44,8 +47,7 @@ def shared_folder(spark: SparkSession) -> str:
         if _local_scratch is None:
             _local_scratch = tempfile.mkdtemp(prefix="topicloom-")
         folder = _local_scratch
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
+    spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 

@@ -13,8 +13,6 @@ from topicloom.functions.text import trim_line
 
 Paths = str | list[str]
 
-SPREAD_BYTES = 256 << 20
-
 
 def line_order() -> Column:
     """Sort key that follows file name, then the order of lines within a file."""
@@ -25,23 +23,14 @@ def line_order() -> Column:
     )
 
 
-def folder_bytes(spark: SparkSession, path: str) -> int:
-    """Total size of a file, or of all files below a folder."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return files.getContentSummary(place).getLength()
-
-
-def read_parquet(spark: SparkSession, path: str, spread_below: int = SPREAD_BYTES) -> DataFrame:
-    """A Parquet table; a small one is dealt out to all cores.
+def read_parquet(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
+    """A Parquet table.
 
-    Parquet is split between row groups only, so a small file is often one task however
-    much work its texts are. Large tables have row groups enough and are not moved.
+    Parquet is split between row groups only, so a file with one row group is one task
+    however much work its texts are; ``partitions`` spreads its rows for what follows.
     """
-    table = spark.read.parquet(path)
-    if folder_bytes(spark, path) < spread_below:
-        return table.repartition(spark.sparkContext.defaultParallelism)
-    return table
+    rows = spark.read.parquet(path)
+    return rows.repartition(partitions) if partitions else rows
 
 
 def read_seeds(spark: SparkSession, path: Paths) -> DataFrame:

@@ -3,12 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-
-from topicloom import schemas
-from topicloom.operators.labels import LABEL_ROWS
-from topicloom.scale import bounded_rows
-
-SINGLE_FILE_ROWS = 1_000_000
+from pyspark.sql import functions as F
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "error") -> None:
@@ -28,12 +23,12 @@ def write_features(features: DataFrame, path: str, mode: str = "error") -> None:
     features.write.mode(mode).partitionBy("split").json(path)
 
 
-def single_file(df: DataFrame, max_rows: int = SINGLE_FILE_ROWS) -> DataFrame:
-    """One partition for a small dictionary; a larger one keeps its partitions.
+def single_file(df: DataFrame, single: bool = True) -> DataFrame:
+    """One partition, and so one file, if the caller says so.
 
     Rows carry their number, so nothing depends on the file they end up in.
     """
-    return df.coalesce(1) if df.limit(max_rows + 1).count() <= max_rows else df
+    return df.coalesce(1) if single else df
 
 
 def write_dictionaries(
@@ -43,18 +38,16 @@ def write_dictionaries(
     labels: DataFrame,
     weights: DataFrame,
     mode: str = "error",
+    single: bool = True,
 ) -> None:
     """Write vocabulary, embedding matrix, labels and class weights below ``path``.
 
-    ``weights`` has one row per label and is written as one map.
+    Labels and vocabulary are one file each, unless ``single`` is false. ``weights`` has
+    one row per label and is written as one map.
     """
     matrix.select("id", "vector").write.mode(mode).json(f"{path}/embeddings")
-    single_file(labels.select("label", "idx")).write.mode(mode).csv(f"{path}/labels")
-    single_file(vocabulary.select("word", "id")).write.mode(mode).json(f"{path}/vocabulary")
-    named = bounded_rows(weights.select("category", "weight"), LABEL_ROWS)
-    if named is None:
-        raise ValueError(f"more than {LABEL_ROWS} labels do not fit one map")
-    one_map = {row.category: row.weight for row in named}
-    weights.sparkSession.createDataFrame(
-        [("classWeights", one_map)], schemas.CLASS_WEIGHTS
-    ).coalesce(1).write.mode(mode).json(f"{path}/class-weights")
+    single_file(labels.select("label", "idx"), single).write.mode(mode).csv(f"{path}/labels")
+    single_file(vocabulary.select("word", "id"), single).write.mode(mode).json(f"{path}/vocabulary")
+    pairs = F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", "weight"))))
+    one_map = weights.agg(F.lit("classWeights").alias("name"), pairs.alias("weights"))
+    one_map.coalesce(1).write.mode(mode).json(f"{path}/class-weights")

@@ -38,18 +38,21 @@ def stream_predict(
     available_now: bool = False,
     interval: str = "1 minute",
 ) -> StreamingQuery:
-    """Start scoring a stream of pages into Parquet files.
+    """Start scoring a stream of pages into Parquet files, one folder per micro-batch.
 
-    The same functions as in ``predict_pages``. All of them work row by row, so the
-    stream keeps no state; each page file is scored exactly once.
+    Every micro-batch is scored by ``predict_pages`` as a batch, so a model of any size will
+    do. A batch that is repeated after a failure replaces its own folder: each page file is
+    scored exactly once in the output.
     """
-    scored = model.predict_pages(pages, page)
+
+    def score(batch: DataFrame, number: int) -> None:
+        scored = model.predict_pages(batch, page)
+        scored.write.mode("overwrite").parquet(f"{output}/batch={number}")
+
     trigger = {"availableNow": True} if available_now else {"processingTime": interval}
     return (
-        scored.writeStream.format("parquet")
-        .option("path", output)
+        pages.writeStream.foreachBatch(score)
         .option("checkpointLocation", checkpoint)
-        .outputMode("append")
         .trigger(**trigger)
         .start()
     )
