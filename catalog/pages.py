@@ -111,39 +111,24 @@ def english_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {RULES_SQL}, paths AS (
     SELECT doc_id, 'Top/' || lang || '/' || source AS category FROM documents)
-  SELECT doc_id, category, name, ({match_sql("category")})::INTEGER AS matches FROM paths, rules r""")
+  SELECT doc_id, category, (SELECT coalesce(string_agg(name, ',' ORDER BY rule), '') FROM rules r
+    WHERE {match_sql("category")}) AS names FROM paths""")
 def rule_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The names of the rules that each document's category matches."""
     path = F.concat(F.lit("Top/"), F.col("lang"), F.lit("/"), F.col("source"))
-    known = F.array(*[
-        F.struct(
-            F.lit(r.name).alias("name"),
-            F.array(*map(F.lit, r.includes)).cast("array<string>").alias("includes"),
-            F.array(*map(F.lit, r.excludes)).cast("array<string>").alias("excludes"),
+    matches = F.array(*[
+        F.when(
+            categories.rule_match(
+                F.col("category"),
+                F.array(*map(F.lit, r.includes)).cast("array<string>"),
+                F.array(*map(F.lit, r.excludes)).cast("array<string>"),
+            ),
+            F.lit(r.name),
         )
         for r in rules(spark).collect()
     ])
-    return (
-        table(spark, sf_dir, "documents")
-        .select("doc_id", path.alias("category"), F.inline(known))
-        .select(
-            "doc_id",
-            "category",
-            "name",
-            categories.rule_match(
-                F.col("category"), F.col("includes"), F.col("excludes")
-            ).cast("int").alias("matches"),
-        )
-    )
-
-
-def _shown(mapped: DataFrame) -> DataFrame:
-    return mapped.select(
-        "uri",
-        F.col("origUri").alias("orig_uri"),
-        joined("categories").alias("topic"),
-        joined("origCategories", ";").alias("orig_categories"),
-        "text",
-    )
+    documents = table(spark, sf_dir, "documents").select("doc_id", path.alias("category"))
+    return documents.select("doc_id", "category", joined(F.array_compact(matches)).alias("names"))
 
 
 _MAPPED_SQL = f"""WITH {TOPIC_PAGES_SQL} SELECT uri, orig_uri, topic,

@@ -121,9 +121,10 @@ def write_feature_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {TOPIC_PAGES_SQL}, {DOCUMENT_VOCABULARY_SQL}, counts AS (
     SELECT topic, count(*) AS count, row_number() OVER (ORDER BY count(*) DESC, topic) - 1 AS idx
     FROM topic_pages GROUP BY topic)
-  SELECT 'embedding' AS kind, (vec_id + 1)::VARCHAR AS name, embedding[1]::DOUBLE AS value
-  FROM embeddings
-  UNION ALL SELECT 'embedding', '0', 0
+  SELECT 'embedding' AS kind, id || ':' || pos AS name, value FROM (
+    SELECT vec_id + 1 AS id, unnest(range(len(embedding))) AS pos,
+      unnest(embedding)::DOUBLE AS value FROM embeddings
+    UNION ALL SELECT 0, unnest(range((SELECT max(len(embedding)) FROM embeddings))), 0)
   UNION ALL SELECT 'label', topic, idx FROM counts
   UNION ALL SELECT 'weight', topic, (SELECT max(count) FROM counts)::DOUBLE / count FROM counts
   UNION ALL SELECT 'word', word, id FROM vocabulary""")
@@ -148,11 +149,13 @@ def write_dictionaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     matrix = readers.read_json_lines(
         spark, f"{path}/embeddings", "id int, vector array<float>"
     )
+    components = matrix.select("id", F.posexplode("vector").alias("pos", "value")).select(
+        F.concat_ws(":", "id", "pos").alias("name"), "value")
     numbered = spark.read.schema("label string, idx int").csv(f"{path}/labels")
     weights = readers.read_class_weights(spark, f"{path}/class-weights")
     words = readers.read_vocabulary(spark, f"{path}/vocabulary")
     return readers.concat_sources([
-        shown(matrix, "embedding", "id", "vector[0]"),
+        shown(components, "embedding", "name", "value"),
         shown(numbered, "label", "label", "idx"),
         shown(weights, "weight", "label", "weight"),
         shown(words, "word", "word", "id"),

@@ -51,14 +51,17 @@ def dense_word_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {TOPIC_PAGES_SQL},
   topic_tokens AS (SELECT uri, orig_uri, topic, {tokens_sql("text")} AS tokens FROM topic_pages),
   {vocabulary_sql("SELECT tokens FROM topic_tokens")}
-  SELECT 'word' AS kind, word AS name, '' AS category, count AS n FROM counted
-  UNION ALL SELECT 'row', uri, topic, len(tokens) FROM topic_tokens""")
+  SELECT 'word' AS kind, word AS name, '' AS category, count AS n, '' AS tokens FROM counted
+  UNION ALL SELECT 'row', uri, topic, len(tokens), array_to_string(tokens, ' ')
+  FROM topic_tokens""")
 def tokens_and_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     words, rows = vocabulary.tokens_and_vocab(topic_pages(spark, sf_dir))
     shown_words = words.select(F.lit("word").alias("kind"), F.col("word").alias("name"),
-                               F.lit("").alias("category"), F.col("count").alias("n"))
+                               F.lit("").alias("category"), F.col("count").alias("n"),
+                               F.lit("").alias("tokens"))
     shown_rows = rows.select(F.lit("row").alias("kind"), F.col("uri").alias("name"), "category",
-                             F.size("tokens").cast("long").alias("n"))
+                             F.size("tokens").cast("long").alias("n"),
+                             joined("tokens", " ").alias("tokens"))
     return shown_words.unionByName(shown_rows)
 
 
@@ -101,13 +104,12 @@ def _embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"{_EMBEDDED_SQL} SELECT word, id, len(vector)::INTEGER AS dim, vector[1]::DOUBLE AS head "
-       "FROM embedded")
+@query(f"""{_EMBEDDED_SQL} SELECT word, id, pos, value FROM (
+    {_COMPONENTS_SQL.format(key="word, id", vector="vector", source="embedded")})""")
 def vocab_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _embedded(spark, sf_dir).select(
-        "word", "id", F.size("vector").alias("dim"),
-        F.element_at("vector", 1).cast("double").alias("head"),
-    )
+        "word", "id", F.posexplode("vector").alias("pos", "value")
+    ).withColumn("value", F.col("value").cast("double"))
 
 
 @query(f"""{_EMBEDDED_SQL}, matrix AS (
@@ -126,12 +128,10 @@ def _numbered_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("SELECT (vec_id + 1)::INTEGER AS id, embedding[1]::DOUBLE AS head FROM embeddings "
-       "ORDER BY id")
+@query(_COMPONENTS_SQL.format(key="id", vector="vector", source="""(
+    SELECT (vec_id + 1)::INTEGER AS id, embedding AS vector FROM embeddings ORDER BY id)"""))
 def sort_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embeddings.sort_matrix(_numbered_vectors(spark, sf_dir)).select(
-        "id", F.element_at("vector", 1).cast("double").alias("head")
-    )
+    return components(embeddings.sort_matrix(_numbered_vectors(spark, sf_dir)), "id")
 
 
 @query(_COMPONENTS_SQL.format(key="id", vector="vector", source="""(

@@ -118,6 +118,15 @@ def test_features_one_folder_per_split(spark, tmp_path):
     assert [(r.uri, r.paddedWords) for r in train] == [("u", [1, 0])]
 
 
+def test_files_whose_line_number_counts(spark, tmp_path):
+    labels = put(tmp_path / "labels.txt", "b\na\nc, d\n")
+    assert sorted(readers.read_label_lines(spark, labels).collect()) == [
+        ("a", 1), ("b", 0), ("c, d", 2)]
+    matrix = put(tmp_path / "matrix.jl", '{"vector": [0, 0]}\n{"vector": [2, 1]}\n')
+    assert sorted(map(tuple, readers.read_matrix_lines(spark, matrix).collect())) == [
+        (0, [0.0, 0.0]), (1, [2.0, 1.0])]
+
+
 def test_single_file_on_request(spark):
     df = spark.range(100, numPartitions=4)
     assert writers.single_file(df).rdd.getNumPartitions() == 1

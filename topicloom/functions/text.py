@@ -12,20 +12,24 @@ SITE_MARKERS = r"\.net|\.com|www\.|\.org|\.gov|\.co\.uk|\.uk"
 
 # English stop words ("yo" is in the list, "you" is not). The single
 # letters a to z are added by rule.
-_STOP_WORDS_TEXT = """
-i me my myself we our ours ourselves yo your yours yourself
-their theirs themselves what which who whom this that these those am is
-yourselves he him his himself she her hers herself it its itself they them
-are was were be been being have has had having do does did doing a
-about against between into through during before after above below to from
-an the and but if or because as until while of at by for with
-there when where why how all any both each few more most other some such
-up down in out on off over under again further then once here
-should now d ll m o re ve y ain aren couldn didn doesn hadn
-no nor not only own same so than too very s t can will just don
-hasn haven isn ma mightn mustn needn shan shouldn wasn weren won wouldn
-"""
-STOP_WORDS = sorted(set(_STOP_WORDS_TEXT.split()) | set(string.ascii_lowercase))
+_ENGLISH_STOP_WORDS = [
+    "i", "me", "my", "myself", "we", "our", "ours", "ourselves", "yo", "your", "yours",
+    "yourself", "yourselves", "he", "him", "his", "himself", "she", "her", "hers",
+    "herself", "it", "its", "itself", "they", "them", "their", "theirs", "themselves",
+    "what", "which", "who", "whom", "this", "that", "these", "those", "am", "is", "are",
+    "was", "were", "be", "been", "being", "have", "has", "had", "having", "do", "does",
+    "did", "doing", "a", "an", "the", "and", "but", "if", "or", "because", "as", "until",
+    "while", "of", "at", "by", "for", "with", "about", "against", "between", "into",
+    "through", "during", "before", "after", "above", "below", "to", "from", "up", "down",
+    "in", "out", "on", "off", "over", "under", "again", "further", "then", "once", "here",
+    "there", "when", "where", "why", "how", "all", "any", "both", "each", "few", "more",
+    "most", "other", "some", "such", "no", "nor", "not", "only", "own", "same", "so",
+    "than", "too", "very", "s", "t", "can", "will", "just", "don", "should", "now", "d",
+    "ll", "m", "o", "re", "ve", "y", "ain", "aren", "couldn", "didn", "doesn", "hadn",
+    "hasn", "haven", "isn", "ma", "mightn", "mustn", "needn", "shan", "shouldn", "wasn",
+    "weren", "won", "wouldn",
+]
+STOP_WORDS = sorted(set(_ENGLISH_STOP_WORDS) | set(string.ascii_lowercase))
 
 # A run of capitals that does not run into a lower-case letter, or a word with at most
 # one leading capital. Everything that is not an ASCII letter separates.

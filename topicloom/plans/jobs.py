@@ -46,14 +46,16 @@ def process_pages(
     language_model: LanguageModel,
     segment_aware: bool = False,
     dedupe: bool = False,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Crawled pages to English text, then to one row per page and topic.
 
-    Neither step shuffles: rows go from input file to output file in one task.
+    Neither step shuffles: rows go from input file to output file in one task. Gzipped
+    crawls are one task per file, unless ``partitions`` spreads their rows first.
     """
 
     def extract() -> None:
-        pages = extract_pages(read_pages(spark, raw_input))
+        pages = extract_pages(read_pages(spark, raw_input, partitions))
         write_parquet(english_only(pages, language_model), text_output)
 
     def classify() -> None:
@@ -73,6 +75,7 @@ def build_features(
     output_path: str,
     vocabulary_size: int = VOCABULARY_SIZE,
     sequence_length: int = SEQUENCE_LENGTH,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Topic pages to padded sequences with one-hot topics, split by page.
 
@@ -93,7 +96,7 @@ def build_features(
 
     def dictionaries() -> None:
         rows = spark.read.parquet(tokens_path)
-        vectors = load_word_vectors(spark, vectors_path, with_line=True)
+        vectors = load_word_vectors(spark, vectors_path, partitions=partitions, with_line=True)
         vocabulary = build_vocabulary(rows, vocabulary_size)
         # The embedded vocabulary is used twice and is small: keep one copy on disk.
         embedded_path = f"{output_path}/embedded"

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from topicloom import schemas
 from topicloom.functions.arrays import parse_floats
 from topicloom.functions.text import trim_line
+from topicloom.scale import dense_index
 
 Paths = str | list[str]
 
@@ -125,6 +126,20 @@ def read_labels(spark: SparkSession, path: Paths) -> list[str]:
     return [row.label for row in rows]
 
 
+def read_label_lines(spark: SparkSession, path: Paths) -> DataFrame:
+    """(label, idx) of a file with one label per line; the line number is the class."""
+    lines = spark.read.text(path).select(F.col("value").alias("label"), line_order().alias("line"))
+    numbered = dense_index(lines, ["line"], "idx")
+    return numbered.select("label", F.col("idx").cast("int").alias("idx"))
+
+
+def read_matrix_lines(spark: SparkSession, path: Paths) -> DataFrame:
+    """(id, vector) of a JSON lines file with one vector per line; the line number is the id."""
+    lines = spark.read.schema("vector array<float>").json(path)
+    numbered = dense_index(lines.select("vector", line_order().alias("line")), ["line"], "id")
+    return numbered.select(F.col("id").cast("int").alias("id"), "vector")
+
+
 def read_class_weights(spark: SparkSession, path: Paths) -> DataFrame:
     """(label, weight) from the weights file, one row per label."""
     return (
