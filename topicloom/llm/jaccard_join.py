@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from topicloom.llm.blocks import blocks, bytes_in, find_words, lower_ascii, mix, shingle_hashes
 from topicloom.llm.components import connected_components
-from topicloom.llm.store import stored
+from topicloom.llm.store import Scratch, stored
 
 #: Words are runs of anything but ASCII white space.
 NOT_SPACE = ~bytes_in((0x20, 0x20), (0x09, 0x0D))
@@ -168,15 +168,16 @@ def set_sizes(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
     )
 
 
-_MEMBER = "struct<doc: bigint, own: boolean, needed: int>"
-
-
 def signature_rows(docs: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
-    """(sig, own, member, more) rows: documents of one block that share ``sig``.
+    """(sig, doc, info, more) rows: documents of one block that share ``sig``.
+
+    ``info`` is twice the number of signatures that a link needs, plus one for the own band;
+    ``more`` has (doc, info) of further documents, null if there are none. Rows are as small
+    as can be, and those of a document stand together, so that they compress well.
 
     An instance of the scheme is for the sets of its own band and of the band below; two
     sets of the band below are compared in their own instance. The first document of a
-    block, if possible one of the own band (``own``), stands for the others, so a hot
+    block, if possible one of the own band, stands for the others, so a hot
     signature is one row per block and not one per document.
     """
 
@@ -199,36 +200,39 @@ def signature_rows(docs: DataFrame, key: str, text: str, words: int, percent: in
                 for i in (band, band + 1):
                     least = int(starts[i - 1]) if i else 1
                     found, needed = signatures(s, i, scheme.partitioning(least, int(ends[i])))
-                    parts.append((found, k, i == band, needed))
+                    parts.append((found, k, 2 * needed + (i == band)))
             if not parts:
                 continue
-            sizes = [len(found) for found, _, _, _ in parts]
-            sig = np.concatenate([found for found, _, _, _ in parts])
-            doc, own, needed = (np.repeat(np.array([part[j] for part in parts]), sizes)
-                                for j in (1, 2, 3))
-            order = np.lexsort((doc, ~own, sig))
-            sig, doc, own, needed = sig[order], doc[order], own[order], needed[order]
+            sizes = [len(found) for found, _, _ in parts]
+            sig = np.concatenate([found for found, _, _ in parts]) >> np.uint64(16)
+            doc = np.repeat(np.array([k for _, k, _ in parts], dtype=np.int64), sizes)
+            info = np.repeat(np.array([x for _, _, x in parts], dtype=np.int32), sizes)
+            place = np.arange(len(sig))
+            order = np.lexsort((doc, 1 - info % 2, sig))
+            sig, doc, info, place = sig[order], doc[order], info[order], place[order]
             first = np.concatenate([[True], sig[1:] != sig[:-1]])
+            head_of = np.cumsum(first) - 1
             heads = np.flatnonzero(first)
-            others = np.diff(np.append(heads, len(sig))) - 1
-
-            def members(chosen) -> pa.StructArray:
-                return pa.StructArray.from_arrays(
-                    [pa.array(doc[chosen], pa.int64()), pa.array(own[chosen]),
-                     pa.array(needed[chosen].astype(np.int32))],
-                    names=["doc", "own", "needed"],
-                )
-
-            offsets = np.concatenate([[0], np.cumsum(others)]).astype(np.int32)
-            more = pa.ListArray.from_arrays(pa.array(offsets), members(~first))
+            back = np.argsort(place[heads], kind="stable")
+            rank = np.empty(len(heads), dtype=np.int64)
+            rank[back] = np.arange(len(heads))
+            rest = np.flatnonzero(~first)
+            rest = rest[np.argsort(rank[head_of[rest]], kind="stable")]
+            others = np.bincount(rank[head_of[rest]], minlength=len(heads))
+            offsets = pa.array(np.concatenate([[0], np.cumsum(others)]).astype(np.int32))
+            further = pa.StructArray.from_arrays(
+                [pa.array(doc[rest]), pa.array(info[rest])], names=["doc", "info"])
+            more = pa.ListArray.from_arrays(offsets, further, mask=pa.array(others == 0))
+            heads = heads[back]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(sig[heads].view(np.int64)), pa.array(own[heads]), members(first), more],
-                names=["sig", "own", "member", "more"],
+                [pa.array(sig[heads].view(np.int64)), pa.array(doc[heads]),
+                 pa.array(info[heads]), more],
+                names=["sig", "doc", "info", "more"],
             )
 
     narrow = docs.select(F.col(key).cast("long").alias(key), F.col(text).alias(text))
     return narrow.mapInArrow(
-        run, f"sig long, own boolean, member {_MEMBER}, more array<{_MEMBER}>"
+        run, "sig long, doc long, info int, more array<struct<doc: bigint, info: int>>"
     )
 
 
@@ -240,18 +244,24 @@ def shared_members(rows: DataFrame, alias: DataFrame) -> DataFrame:
     another one with an equal set stands for.
     """
     found = rows.selectExpr(
-        "sig", "member", "more", "count(1) over (partition by sig) as blocks",
-        "bool_or(own) over (partition by sig) as any_own",
-    ).where("any_own and (blocks > 1 or size(more) > 0)")
-    each = found.select("sig", F.explode(F.concat(F.array("member"), "more")).alias("m"))
-    each = each.select("sig", "m.doc", "m.own", "m.needed").join(alias, "doc", "left")
+        "sig", "doc", "info", "more", "count(1) over (partition by sig) as blocks",
+        "max(info % 2) over (partition by sig) as any_own",
+    ).where("any_own = 1 and (blocks > 1 or more is not null)")
+    none = F.array().cast("array<struct<doc: bigint, info: int>>")
+    members = F.concat(F.array(F.struct("doc", "info")), F.coalesce("more", none))
+    each = found.select("sig", F.explode(members).alias("m")).select(
+        "sig", "m.doc", (F.col("m.info") % 2 == 1).alias("own"),
+        F.shiftright("m.info", 1).alias("needed"),
+    ).join(alias, "doc", "left")
     each = each.select(F.coalesce("rep", "doc").alias("doc"), "sig", "own", "needed").distinct()
     counted = each.selectExpr(
         "sig", "doc", "own", "needed", "count(1) over (partition by doc, own) as n")
     return counted.where("n >= needed").select("sig", "doc", "own")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _verified(
+    pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch
+) -> DataFrame:
     """Pairs (a, b) that link: common share of their sets is at least ``percent`` percent.
 
     Short codes of the elements go first: equal elements have equal codes, so they give an
@@ -290,7 +300,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         return pairs.select("a", "b").join(left, "a").join(right, "b")
 
     near = with_both(pairs, "codes").where(may("left", "right"))
-    near = stored(near.select("a", "b").distinct(), "jaccard-near")
+    near = scratch.keep(near.select("a", "b").distinct(), "jaccard-near")
     return with_both(near, "shingles").where(linked("left", "right")).select("a", "b").distinct()
 
 
@@ -310,7 +320,8 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, key: str, text: str, words: int
             )
 
     chosen = docs.select(F.col(key).cast("long").alias("doc"), text).join(wanted, "doc", "semi")
-    return chosen.mapInArrow(run, "doc long, shingles binary, codes binary")
+    # The join has brought the rows of a document together.
+    return chosen.dropDuplicates(["doc"]).mapInArrow(run, "doc long, shingles binary, codes binary")
 
 
 def jaccard_groups(
@@ -326,7 +337,8 @@ def jaccard_groups(
     ``n_links`` counts the verified links of the document's set that were needed to find
     the groups: a lower bound of all its links, 0 only if it has none.
     """
-    sized = stored(set_sizes(docs, key, text, words), "jaccard-sizes")
+    scratch = Scratch(docs.sparkSession)
+    sized = scratch.keep(set_sizes(docs, key, text, words), "jaccard-sizes")
     # Equal sets: the smallest key stands for all.
     named = sized.where("n_shingles > 0").groupBy("n_shingles", "low", "high").agg(
         F.min(F.col(key).cast("long")).alias("rep")
@@ -340,7 +352,7 @@ def jaccard_groups(
         F.col(key).cast("long").alias("doc"), "rep"
     ).distinct()
 
-    members = stored(
+    members = scratch.keep(
         shared_members(signature_rows(docs, key, text, words, percent), alias),
         "jaccard-members",
     )
@@ -349,37 +361,39 @@ def jaccard_groups(
     ).where("least is not null and n > 1").select("sig", "least")
     members = members.select("sig", "doc")
     stars = members.join(centers, "sig").where("doc <> least")
-    edges = stored(
+    edges = scratch.keep(
         stars.groupBy(F.col("doc").alias("a"), F.col("least").alias("b")).count(), "jaccard-edges"
     )
     wanted = edges.select(F.col("a").alias("doc")).union(edges.select("b")).distinct()
-    sets = stored(_sets_of(docs, wanted, key, text, words).dropDuplicates(["doc"]),
-                  "jaccard-sets")
+    sets = scratch.keep(_sets_of(docs, wanted, key, text, words), "jaccard-sets")
 
     # First the most promising comparison of each document, then what is still apart.
     best = edges.groupBy("a").agg(F.max_by("b", F.struct("count", -F.col("b"))).alias("b"))
-    links = stored(_verified(best, sets, percent), "jaccard-links")
+    links = scratch.keep(_verified(best, sets, percent, scratch), "jaccard-links")
     groups = connected_components(links)
     apart = _apart(edges.select("a", "b").join(best, ["a", "b"], "anti"), groups)
-    more = stored(_verified(apart, sets, percent), "jaccard-links")
+    more = scratch.keep(_verified(apart, sets, percent, scratch), "jaccard-links")
     links = links.union(more)
     groups = connected_components(links)
-    open_ = _open_members(members, groups)
-    bounds = _bounds(open_, sets, percent)
-    hubs = stored(_hub_pairs(open_, bounds, percent), "jaccard-hubs")
-    more = stored(_verified(hubs, sets, percent), "jaccard-links")
+    open_ = scratch.keep(_open_members(members, groups), "jaccard-open")
+    bounds = scratch.keep(_bounds(open_, sets, percent), "jaccard-bounds")
+    hubs = scratch.keep(_hub_pairs(open_, bounds, percent), "jaccard-hubs")
+    more = scratch.keep(_verified(hubs, sets, percent, scratch), "jaccard-links")
     links = links.union(more)
     groups = connected_components(links)
-    rest = _between_groups(_open_members(open_.select("sig", "doc"), groups), bounds, percent)
+    open_ = scratch.keep(_open_members(open_.select("sig", "doc"), groups), "jaccard-open")
+    rest = _between_groups(open_, bounds, percent)
     tested = edges.select("a", "b").union(hubs.select("a", "b"))
-    more = stored(_verified(rest.join(tested, ["a", "b"], "anti"), sets, percent),
-                  "jaccard-links")
+    rest = rest.join(tested, ["a", "b"], "anti")
+    more = scratch.keep(_verified(rest, sets, percent, scratch), "jaccard-links")
     links = links.union(more)
     groups = connected_components(links)
 
     ends = links.select(F.col("a").alias("rep")).union(links.select("b"))
     degree = ends.groupBy("rep").agg(F.count("*").alias("n_links"))
-    labels = groups.withColumnRenamed("node", "rep").join(degree, "rep")
+    labels = stored(groups.withColumnRenamed("node", "rep").join(degree, "rep"),
+                    "jaccard-groups")
+    scratch.clear()
     return rows.join(labels, "rep", "left").select(
         key, "n_shingles", F.coalesce("n_links", F.lit(0)).alias("n_links"),
         F.coalesce("label", "rep").alias("component_id"),
@@ -402,7 +416,7 @@ def _open_members(members: DataFrame, groups: DataFrame) -> DataFrame:
         "sig", "doc", F.coalesce("label", "doc").alias("label")
     )
     mixed = labelled.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y"))
-    return stored(labelled.join(mixed.where("x <> y").select("sig"), "sig"), "jaccard-open")
+    return labelled.join(mixed.where("x <> y").select("sig"), "sig")
 
 
 def _bounds(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -433,7 +447,7 @@ def _bounds(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         "doc", "size", (F.col("size") - F.coalesce("single", F.lit(0))).alias("most")
     )
     may_link = F.col("most") * 100 >= F.col("size") * percent
-    return stored(bounds.where(may_link), "jaccard-bounds")
+    return bounds.where(may_link)
 
 
 def _may_link(percent: int):

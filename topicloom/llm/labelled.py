@@ -21,7 +21,8 @@ def labelled_sample(
     """(key, text, label) of about ``most_rows`` labelled documents at most.
 
     Rows are chosen by a hash of the key, so the same rows give the same sample. Of several
-    labels of a key the largest counts; null and other labels than 0 and 1 count as none.
+    labels of a key the largest counts, of several texts the first in order; null labels
+    and others than 0 and 1 count as none.
     """
     known = labels.select(F.col(key), F.col(label).cast("int").alias("label")).where(
         F.col(key).isNotNull() & F.col("label").isin(0, 1) & allowed
@@ -30,7 +31,8 @@ def labelled_sample(
     rows = known.count()
     share = min(_STEPS, _STEPS * most_rows // max(rows, 1))
     chosen = known.where(F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(_STEPS)) < share)
-    # The bound holds for what is sent; repeated documents of a chosen key come along.
-    return docs.select(key, text).join(F.broadcast(chosen), key).select(
-        key, F.coalesce(F.col(text), F.lit("")).alias("text"), "label"
-    )
+    # One row per key, however many rows a key has: the bound is one of rows.
+    found = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return found.join(F.broadcast(chosen), key).groupBy(key, "label").agg(
+        F.min("text").alias("text")
+    ).select(key, "text", "label")

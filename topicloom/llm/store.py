@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import topicloom
 from topicloom.session import scratch_path
+from topicloom.sources.materialize import Place
 
 _shipped: set[str] = set()
 
@@ -28,6 +29,27 @@ def ship_package(spark: SparkSession) -> None:
     context.addPyFile(str(target))
 
 
+class Scratch:
+    """Intermediate tables in the shared folder that go when they have been read."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.places: list[Place] = []
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """``stored``, until ``clear``."""
+        path = scratch_path(self.spark, name)
+        self.places.append(Place(self.spark, path))
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        """Delete the tables; what was made from them must have been written."""
+        for place in self.places:
+            place.remove()
+        self.places.clear()
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back.
 

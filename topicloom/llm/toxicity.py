@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from topicloom.llm.blocks import blocks
 from topicloom.llm.labelled import labelled_sample
 from topicloom.llm.spelling import SpellingTable, allowed_edits, spelling_table
-from topicloom.llm.store import stored
+from topicloom.llm.store import Scratch
 
 #: Bytes of text that are taken apart at once: scoring, and learning the lexicon.
 SCORE_BYTES = 2 << 20
@@ -166,7 +166,7 @@ def _matches(tokens: Tokens, table: SpellingTable):
 
 
 def learn_lexicon(
-    sample: DataFrame, most_terms: int = MOST_TERMS
+    sample: DataFrame, scratch: Scratch, most_terms: int = MOST_TERMS
 ) -> tuple[list[str], set[tuple[int, int]]]:
     """Words of a stored sample (text, label) that mark its toxic texts, sorted.
 
@@ -196,7 +196,7 @@ def learn_lexicon(
         run, "words array<struct<word: string, near: string>>, label int"
     ).select(F.explode("words").alias("w"), "label").select("w.word", F.xxhash64("w.near").alias(
         "near"), "label").distinct()
-    counts = stored(words.groupBy("word").agg(
+    counts = scratch.keep(words.groupBy("word").agg(
         F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("other")
     ), "sample-words")
     total = counts.agg(
@@ -355,10 +355,12 @@ def toxicity_scores(
     threshold: float = THRESHOLD,
 ) -> DataFrame:
     """(key, held_out, score, predicted, matches); ``held_out`` rows are not learned from."""
-    sample = stored(
+    scratch = Scratch(docs.sparkSession)
+    sample = scratch.keep(
         labelled_sample(docs, labels, key, text, label, ~held_out, most_rows), "toxicity-sample"
     )
-    model = fit_toxicity(sample, *learn_lexicon(sample))
+    model = fit_toxicity(sample, *learn_lexicon(sample, scratch))
+    scratch.clear()
     return score_toxicity(docs, model, key, text).select(
         key, held_out.alias("held_out"), "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"), "matches",
