@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from topicloom.llm.blocks import blocks, bytes_in, find_words, lower_ascii, mix, shingle_hashes
 from topicloom.llm.components import connected_components
 from topicloom.llm.store import Scratch, stored
+from topicloom.scale import lookup_join
 
 #: Words are runs of anything but ASCII white space.
 NOT_SPACE = ~bytes_in((0x20, 0x20), (0x09, 0x0D))
@@ -319,8 +320,9 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, key: str, text: str, words: int
                 names=["doc", "shingles", "codes"],
             )
 
-    chosen = docs.select(F.col(key).cast("long").alias("doc"), text).join(wanted, "doc", "semi")
-    # The join has brought the rows of a document together.
+    # The list is sent where its measured size allows, so only the chosen texts move.
+    named = docs.select(F.col(key).cast("long").alias("doc"), text)
+    chosen = lookup_join(named, wanted, "doc", "left_semi")
     return chosen.dropDuplicates(["doc"]).mapInArrow(run, "doc long, shingles binary, codes binary")
 
 
