@@ -160,6 +160,19 @@ def test_top_k_like_brute_force(spark, shard, block):
     assert top_k.top_k(table.where("false"), F.col("vec_id") % 100 == 0).collect() == []
 
 
+@pytest.mark.parametrize("spread", [1, 3, 4000])
+def test_list_reads_like_brute_force(spread):
+    draw = np.random.default_rng(spread)
+    rows = draw.integers(-spread, spread + 1, (2000, 7)).astype(np.int64)
+    ids = draw.permutation(2000).astype(np.int64)
+    lists = top_k.sorted_lists(rows)
+    for own in range(0, 200, 10):
+        query = draw.integers(-spread, spread + 1, 7).astype(np.int64)
+        score = rows @ query
+        best = sorted((-s, i) for s, i in zip(score.tolist(), ids.tolist()) if i != own)[:3]
+        assert top_k.best_of_shard(ids, rows, own, query, 3, lists) == [(i, -s) for s, i in best]
+
+
 def test_shards(spark):
     names = {f"s{n}": 1 for n in range(10)}
     owner = sharding.fill_slots(names, 1009)
