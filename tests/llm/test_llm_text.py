@@ -92,7 +92,8 @@ def test_linked_sets_share_a_signature():
         out = {}
         for i in (band, band + 1):
             cut = scheme.partitioning(starts[max(i - 1, 0)], ends[i])
-            found, needed = jaccard_join.signatures(np.sort(values), i, cut)
+            spare = scheme.spare(cut, len(values), ends[i])
+            found, needed = jaccard_join.signatures(np.sort(values), i, cut, spare)
             out[i] = (set(found.tolist()), needed)
         return out
 

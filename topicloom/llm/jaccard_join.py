@@ -40,8 +40,6 @@ from topicloom.scale import lookup_join
 NOT_SPACE = ~bytes_in((0x20, 0x20), (0x09, 0x0D))
 #: Share of sets for which empty parts alone may be what two linked sets agree in.
 RARE = 1e-6
-#: Elements that a signature should hold on average, at least.
-LEAST_ELEMENTS = 4.0
 
 
 @dataclass(frozen=True)
@@ -51,7 +49,6 @@ class Partitioning:
     first: int
     second: int
     skipped: int
-    spare: int
 
     @property
     def subsets(self) -> list[tuple[int, ...]]:
@@ -75,48 +72,70 @@ class Scheme:
     def partitioning(self, least: int, most: int) -> Partitioning:
         return _partitioning(self.percent, least, most)
 
+    def spare(self, cut: Partitioning, size: int, most: int) -> int:
+        """Partitions in which a set agrees with any linked one, beyond the first."""
+        return _spare(self.percent, cut.first, cut.skipped, size, most)
+
+
+def _spare(percent: int, first: int, skipped: int, size: int, most: int) -> int:
+    """Of ``first`` partitions, those that the differences of linked sets must leave, less one.
+
+    The other set has at most ``size * 100 / percent`` elements, and at most ``most``.
+    """
+    both = size + min(most, size * 100 // percent)
+    differ = both * (100 - percent) // (100 + percent)
+    return first - 1 - differ // (skipped + 1)
+
+
+def _tail(mean: float, most: int) -> float:
+    """Chance of more than ``most`` rare events where ``mean`` are expected."""
+    term, tail = exp(-mean), 1.0
+    for seen in range(most + 1):
+        tail -= term
+        term *= mean / (seen + 1)
+    return max(tail, 0.0)
+
 
 @lru_cache(maxsize=None)
 def _partitioning(percent: int, least: int, most: int) -> Partitioning:
-    """The cheapest cut for sets of ``least`` to ``most`` elements.
+    """The cut with the fewest signatures for sets of ``least`` to ``most`` elements.
 
     Linked sets differ in at most ``differ`` elements, so that at most
     ``differ // (skipped + 1)`` partitions have more differences than parts may be skipped.
-    ``spare`` further partitions make up for those where a signature may be empty.
+    Further partitions make up for those where a signature may be empty, so that sets of all
+    sizes agree in one of elements, but for a share of ``RARE``.
     """
     differ = 2 * most * (100 - percent) // (100 + percent)
+    sizes = {least, (3 * least + most) // 4, (least + most) // 2, (least + 3 * most) // 4, most}
     best, cost = None, None
     for skipped in range(0, min(differ, 4) + 1):
-        bad = differ // (skipped + 1)
         for second in range(skipped + 1, skipped + 5):
             choices = comb(second, skipped)
-            for spare in range(0, 60):
-                first = bad + 1 + spare
-                elements = least * (second - skipped) / (first * second)
-                empty = first * choices * exp(-elements)
-                term, tail = exp(-empty), 1.0
-                for seen in range(spare + 1):
-                    tail -= term
-                    term *= empty / (seen + 1)
-                if tail <= RARE or differ == 0:
-                    here = first * choices * (1 + max(0.0, LEAST_ELEMENTS - elements))
-                    if cost is None or here < cost:
-                        best, cost = Partitioning(first, second, skipped, spare), here
+            for more in (*range(60), *range(60, 600, 15)):
+                first = differ // (skipped + 1) + 1 + more
+                if cost is not None and first * choices >= cost:
+                    break
+                empty = {size: first * choices * exp(
+                    -size * (second - skipped) / (first * second)) for size in sizes}
+                if differ == 0 or all(
+                    _tail(empty[size], _spare(percent, first, skipped, size, most)) <= RARE
+                    for size in sizes
+                ):
+                    best, cost = Partitioning(first, second, skipped), first * choices
                     break
     if best is None:
         skipped = min(differ, 4)
-        best = Partitioning(differ // (skipped + 1) + 1, skipped + 3, skipped, 0)
+        best = Partitioning(differ // (skipped + 1) + 1, skipped + 3, skipped)
     return best
 
 
 def signatures(
-    shingles: np.ndarray, instance: int, cut: Partitioning
+    shingles: np.ndarray, instance: int, cut: Partitioning, spare: int
 ) -> tuple[np.ndarray, int]:
     """(signatures, needed) of one sorted set of distinct hashes under one instance.
 
     ``needed``: how many of them any linked set has as well, at least. Empty signatures are
-    left out, unless the set has more partitions with empty ones than there are spare
-    partitions.
+    left out, unless the set has more partitions with empty ones than ``spare`` ones.
     """
     cells = cut.first * cut.second
     with np.errstate(over="ignore"):
@@ -134,9 +153,9 @@ def signatures(
             held.append(size[:, chosen].sum(axis=1))
     found, held = np.array(found), np.array(held)
     empty = int((held == 0).any(axis=0).sum())
-    if empty > cut.spare:
+    if empty > spare:
         return found.ravel(), 1
-    return found[held > 0], 1 + cut.spare - empty
+    return found[held > 0], 1 + spare - empty
 
 
 def shingle_sets(batches, key, text, words, extra=()):
@@ -200,7 +219,10 @@ def signature_rows(docs: DataFrame, key: str, text: str, words: int, percent: in
                 band = int(np.searchsorted(ends, len(s)))
                 for i in (band, band + 1):
                     least = int(starts[i - 1]) if i else 1
-                    found, needed = signatures(s, i, scheme.partitioning(least, int(ends[i])))
+                    most = int(ends[i])
+                    cut = scheme.partitioning(least, most)
+                    spare = scheme.spare(cut, len(s), most)
+                    found, needed = signatures(s, i, cut, spare)
                     parts.append((found, k, 2 * needed + (i == band)))
             if not parts:
                 continue
