@@ -51,6 +51,18 @@ def test_spelling_like_edit_distance(terms, words):
         assert edits(words[i], table.terms[t]) == e
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.text("abcé", min_size=2, max_size=9), min_size=1, max_size=9, unique=True),
+       st.lists(st.text("abcéx", min_size=1, max_size=11), min_size=1, max_size=12))
+def test_spelling_in_blocks(terms, words):
+    whole, cut = spelling.spelling_table(terms, 99), spelling.spelling_table(terms, 2)
+    codes = np.array([ord(c) for c in "".join(words)], dtype=np.uint32)
+    ends = np.cumsum([len(w) for w in words])
+    for one, other in zip(*(t.read(codes, ends - [len(w) for w in words], ends)
+                            for t in (whole, cut))):
+        assert one.tolist() == other.tolist()
+
+
 def toxic_rows(n=400, seed=5):
     draw = random.Random(seed)
     plain = [a + b for a in ("bar", "den", "fol", "gim", "lor", "mun") for b in ("do", "ka", "pel")]
@@ -90,6 +102,29 @@ def test_toxicity(spark):
     assert toxicity.toxicity_scores(table.where("false"), known, held).collect() == []
 
 
+def test_toxicity_keeps_every_term(spark):
+    draw = random.Random(3)
+    planted = ["".join(draw.choice("bdfgklmnprstvz") for _ in range(8)) for _ in range(240)]
+    # Three vowels are more edits from a planted term than any of them allows.
+    plain = ["".join(draw.choice("bdfgklm") + draw.choice("aou") for _ in range(3))
+             for _ in range(400)]
+    docs = [(" ".join(draw.choice(plain) for _ in range(30)), 0) for _ in range(2000)]
+    for i in range(15 * len(planted)):
+        words = [draw.choice(plain) for _ in range(4)]
+        docs.append((" ".join([*words[:2], planted[i % len(planted)], *words[2:]]), 1))
+    table = spark.createDataFrame(
+        [(i, text) for i, (text, _) in enumerate(docs)]
+        + [(10_000 + i, f"{plain[0]} {t[:4]}{t[5:]} {plain[1]}") for i, t in enumerate(planted)],
+        "doc_id long, text string")
+    known = spark.createDataFrame([(i, label) for i, (_, label) in enumerate(docs)],
+                                  "doc_id long, toxic int")
+    rows = toxicity.toxicity_scores(table, known, F.col("doc_id") >= 10_000).where("held_out")
+    found = {r.doc_id - 10_000: r for r in rows.collect()}
+    assert len(found) == len(planted)
+    for i, term in enumerate(planted):
+        assert [m.term for m in found[i].matches] == [term] and found[i].predicted == 1
+
+
 def test_held_out_labels(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(
         f"{SF}/labels.parquet")

@@ -3,6 +3,9 @@
 A state is a set of (trie node, edits so far): where in the lexicon a token may be. The sets
 that can be reached are numbered once, which gives one table from state and character to the
 next state. Many tokens are then read at the same time, one character per step.
+
+The number of sets grows faster than the number of terms, so there is one table per block of
+terms. Every token is read with all blocks, and the closest term of all counts.
 """
 
 from __future__ import annotations
@@ -11,6 +14,9 @@ from dataclasses import dataclass
 
 import numpy as np
 
+#: Terms of one block.
+BLOCK_TERMS = 32
+
 
 def allowed_edits(term: str) -> int:
     """Edits within which a token counts as this term."""
@@ -38,50 +44,72 @@ class _Trie:
 
 
 @dataclass(frozen=True)
-class SpellingTable:
-    """The numbered states. State 0 is dead, state 1 the start."""
+class _Block:
+    """The numbered states of a block of terms. State 0 is dead, state 1 the start."""
 
-    terms: list[str]
-    letters: np.ndarray
     step: np.ndarray
     term: np.ndarray
     edits: np.ndarray
+    longest: int
 
-    @property
-    def longest(self) -> int:
-        return max((len(t) + allowed_edits(t) for t in self.terms), default=0)
-
-    def read(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray):
-        """(tokens, terms, edits): the tokens that match, by index, with the closest term."""
-        column = np.searchsorted(self.letters, codes)
-        column[column == len(self.letters)] = 0
-        other = self.letters[column] != codes if len(self.letters) else np.ones(len(codes), bool)
-        column[other] = len(self.letters)
-        length = ends - starts
+    def read(self, column: np.ndarray, starts: np.ndarray, length: np.ndarray):
+        """Yield (tokens, states) of the tokens that match, by index; each token once."""
         alive = np.flatnonzero((length > 0) & (length <= self.longest))
         state = np.ones(len(alive), dtype=np.int32)
-        done_token, done_state = [], []
         at = 0
         while len(alive):
             state = self.step[state, column[starts[alive] + at]]
             at += 1
             over = length[alive] == at
             hit = over & (self.term[state] >= 0)
-            done_token.append(alive[hit])
-            done_state.append(state[hit])
+            yield alive[hit], state[hit]
             keep = ~over & (state > 0)
             alive, state = alive[keep], state[keep]
-        if not done_token:
-            none = np.empty(0, dtype=np.int64)
-            return none, none, none
-        token, state = np.concatenate(done_token), np.concatenate(done_state)
-        order = np.argsort(token, kind="stable")
-        return token[order], self.term[state[order]], self.edits[state[order]]
 
 
-def spelling_table(terms: list[str]) -> SpellingTable:
-    """Build the table; its size follows from the lexicon."""
+@dataclass(frozen=True)
+class SpellingTable:
+    """All terms in order, their letters, and the states of each block of terms."""
+
+    terms: list[str]
+    letters: np.ndarray
+    blocks: list[_Block]
+
+    def read(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+        """(tokens, terms, edits): the tokens that match, by index, with the closest term.
+
+        Of several terms as close the first in order counts.
+        """
+        column = np.searchsorted(self.letters, codes)
+        column[column == len(self.letters)] = 0
+        other = self.letters[column] != codes if len(self.letters) else np.ones(len(codes), bool)
+        column[other] = len(self.letters)
+        length = ends - starts
+        none = np.iinfo(np.int64).max
+        # Edits first, then the number of the term.
+        best = np.full(len(starts), none, dtype=np.int64)
+        n = max(len(self.terms), 1)
+        for block in self.blocks:
+            for token, state in block.read(column, starts, length):
+                found = block.edits[state].astype(np.int64) * n + block.term[state]
+                best[token] = np.minimum(best[token], found)
+        token = np.flatnonzero(best < none)
+        return token, best[token] % n, best[token] // n
+
+
+def spelling_table(terms: list[str], block_terms: int = BLOCK_TERMS) -> SpellingTable:
+    """Build the tables; their size is in proportion to the lexicon."""
     terms = sorted(set(terms))
+    letters = sorted({c for t in terms for c in t})
+    return SpellingTable(
+        terms, np.array([ord(c) for c in letters], dtype=np.uint32),
+        [_block(terms[low:low + block_terms], low, letters)
+         for low in range(0, len(terms), block_terms)],
+    )
+
+
+def _block(terms: list[str], first: int, letters: list[str]) -> _Block:
+    """States of the terms of a block, numbered from ``first``."""
     trie = _Trie(terms)
 
     def closed(places: dict[int, int]) -> frozenset[tuple[int, int]]:
@@ -110,30 +138,30 @@ def spelling_table(terms: list[str]) -> SpellingTable:
                 reach(child, edits if c == letter else edits + 1)
         return closed(places)
 
-    letters = sorted({c for t in terms for c in t})
     start = closed({0: 0})
     number = {frozenset(): 0, start: 1}
     rows: list[list[int]] = [[0] * (len(letters) + 1), []]
     todo = [start]
     while todo:
         state = todo.pop()
-        row = []
-        for letter in [*letters, None]:
+        # A letter that no place goes on with leads where any other letter leads.
+        going_on = {c for node, _ in state for c in trie.next[node]}
+        numbers = {}
+        for letter in [None, *sorted(going_on)]:
             target = after(state, letter)
             if target not in number:
                 number[target] = len(rows)
                 rows.append([])
                 todo.append(target)
-            row.append(number[target])
-        rows[number[state]] = row
+            numbers[letter] = number[target]
+        rows[number[state]] = [numbers.get(c, numbers[None]) for c in [*letters, None]]
     best_term = np.full(len(rows), -1, dtype=np.int32)
     best_edits = np.zeros(len(rows), dtype=np.int32)
     for state, at in number.items():
         ends = [(edits, trie.term[node]) for node, edits in state
                 if trie.term[node] >= 0 and edits <= allowed_edits(terms[trie.term[node]])]
         if ends:
-            best_edits[at], best_term[at] = min(ends)
-    return SpellingTable(
-        terms, np.array([ord(c) for c in letters], dtype=np.uint32),
-        np.array(rows, dtype=np.int32), best_term, best_edits,
-    )
+            edits, term = min(ends)
+            best_edits[at], best_term[at] = edits, first + term
+    longest = max(len(t) + allowed_edits(t) for t in terms)
+    return _Block(np.array(rows, dtype=np.int32), best_term, best_edits, longest)

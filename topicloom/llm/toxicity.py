@@ -35,8 +35,6 @@ SCORE_BYTES = 2 << 20
 LEARN_BYTES = 256 << 10
 #: Labelled documents to learn from, at most (in expectation).
 MOST_ROWS = 20_000
-#: Terms of the lexicon, at most.
-MOST_TERMS = 200
 #: Chance that any word at all becomes a term by accident.
 CHANCE = 0.01
 #: Least score that counts as toxic.
@@ -166,9 +164,9 @@ def _matches(tokens: Tokens, table: SpellingTable):
 
 
 def learn_lexicon(
-    sample: DataFrame, scratch: Scratch, most_terms: int = MOST_TERMS
-) -> tuple[list[str], set[tuple[int, int]]]:
-    """Words of a stored sample (text, label) that mark its toxic texts, sorted.
+    sample: DataFrame, scratch: Scratch
+) -> tuple[SpellingTable, set[tuple[int, int]]]:
+    """The table of all words of a stored sample (text, label) that mark its toxic texts.
 
     Also the (term, edits) by which an ordinary word of the other texts comes close to one.
 
@@ -203,7 +201,7 @@ def learn_lexicon(
         F.count("*").alias("words"), F.sum("toxic").alias("toxic"), F.sum("other").alias("other")
     ).first()
     if not total.toxic or not total.other:
-        return [], set()
+        return spelling_table([]), set()
     base = total.toxic / (total.toxic + total.other)
     least = float(np.log(total.words / CHANCE))
     n = F.col("toxic") + F.col("other")
@@ -214,15 +212,13 @@ def learn_lexicon(
         + F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - base))).otherwise(0.0)
     )
     marked = counts.where((F.col("toxic") > F.col("other")) & (F.length("word") > 1))
-    terms = [row.word for row in marked.where(odd > least).orderBy(odd.desc(), "word").limit(
-        most_terms).collect()]
-    terms.sort()
-    return terms, _crowded(counts.where("other > 0").select("word"), terms)
+    # Every word that passes is a term; the sample bounds how many there can be.
+    table = spelling_table([row.word for row in marked.where(odd > least).collect()])
+    return table, _crowded(counts.where("other > 0").select("word"), table)
 
 
-def _crowded(words: DataFrame, terms: list[str]) -> set[tuple[int, int]]:
+def _crowded(words: DataFrame, table: SpellingTable) -> set[tuple[int, int]]:
     """(term, edits) that some word of other texts is as close to."""
-    table = spelling_table(terms)
     shared = words.sparkSession.sparkContext.broadcast(table)
 
     def run(batches):
@@ -242,10 +238,10 @@ def _crowded(words: DataFrame, terms: list[str]) -> set[tuple[int, int]]:
 
 
 def fit_toxicity(
-    sample: DataFrame, terms: list[str], crowded: set[tuple[int, int]]
+    sample: DataFrame, table: SpellingTable, crowded: set[tuple[int, int]]
 ) -> ToxicityModel:
     """Learn the weights of matches on a bounded sample (text, label)."""
-    table = spelling_table(terms)
+    terms = table.terms
     shared = sample.sparkSession.sparkContext.broadcast(table)
 
     def run(batches):
