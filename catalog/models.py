@@ -16,11 +16,13 @@ from catalog.pages import _LABEL_SQL, SPLIT_SQL
 from catalog.registry import query
 from topicloom.operators import classifier, embeddings, labels, sequences, splits, vocabulary
 from topicloom.session import scratch_path, shared_folder
-from topicloom.sources.materialize import Step
+from topicloom.sources.materialize import Place, Step
 from topicloom.streaming.predict import read_page_stream
 from topicloom.streaming.predict import stream_predict as start_stream
 
 ITERATIONS = 20
+#: Tables that the model is made from.
+LEARNED_FROM = ("documents", "conversations", "embeddings")
 
 
 def _training_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
@@ -48,14 +50,18 @@ def _training_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
 
 
 def _model_folder(spark: SparkSession, sf_dir: str) -> str:
-    name = hashlib.sha256(sf_dir.encode()).hexdigest()[:16]
+    """The folder for what is learned from the tables as they are now.
+
+    Its name follows from the files that are learned from: path, size, modification time.
+    """
+    files = [Place(spark, f"{sf_dir}/{name}.parquet").files() for name in LEARNED_FROM]
+    name = hashlib.sha256(repr((sf_dir, files)).encode()).hexdigest()[:16]
     return f"{shared_folder(spark)}/topic-model-{name}"
 
 
-def _train(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _train(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
     """Train, save model and validation rows, and report (label, idx, rows, weight, better)."""
     words, matrix, numbered, weights, labelled = _training_rows(spark, sf_dir)
-    folder = _model_folder(spark, sf_dir)
     training = labelled.where("split = 'train'")
     fitted = classifier.fit_classifier(training, ITERATIONS)
     dim = fitted.numFeatures
@@ -72,9 +78,9 @@ def _train(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _trained(spark: SparkSession, sf_dir: str) -> tuple[classifier.TopicModel, DataFrame]:
-    """The saved model of a folder of tables and its validation rows; trains if there is none."""
+    """The saved model of these very tables and its validation rows; trains if there is none."""
     folder = _model_folder(spark, sf_dir)
-    Step(spark, [f"{folder}/validation"]).run(lambda: _train(spark, sf_dir))
+    Step(spark, [f"{folder}/validation"]).run(lambda: _train(spark, sf_dir, folder))
     model = classifier.TopicModel.load(spark, f"{folder}/model")
     return model, spark.read.parquet(f"{folder}/validation")
 
@@ -85,7 +91,7 @@ def _trained(spark: SparkSession, sf_dir: str) -> tuple[classifier.TopicModel, D
   FROM parts JOIN label_index ON label = topic GROUP BY label, idx""")
 def fit_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Training rows and weight of each class, and whether the loss fell."""
-    return _train(spark, sf_dir)
+    return _train(spark, sf_dir, _model_folder(spark, sf_dir))
 
 
 @query(f"""{_LABEL_SQL}, parts AS (SELECT topic, {SPLIT_SQL} AS split FROM topic_pages)

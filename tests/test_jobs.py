@@ -4,6 +4,7 @@ import json
 
 import pytest
 
+from catalog import models
 from topicloom.functions.html import html_to_text
 from topicloom.operators import embeddings, sequences
 from topicloom.operators.language import fit_language_model
@@ -125,3 +126,25 @@ def test_train_predict_and_stream(spark, world, monkeypatch):
     texts_of_pages = pages.select("page_id", html_to_text(F.col("html")).alias("text"))
     same = model.predict_texts(texts_of_pages).select("page_id", "predictions", "max2").collect()
     assert sorted(same) == sorted(batch)
+
+
+def test_saved_models_follow_the_tables(spark, tmp_path, monkeypatch):
+    source = "/root/testdata/sf0.001"
+    for name in models.LEARNED_FROM:
+        spark.read.parquet(f"{source}/{name}.parquet").coalesce(1).write.parquet(
+            f"{tmp_path}/{name}.parquet")
+    trained = []
+
+    def train(session, sf_dir, folder):
+        trained.append(session.read.parquet(f"{sf_dir}/documents.parquet").count())
+        session.range(trained[-1]).write.parquet(f"{folder}/validation")
+
+    monkeypatch.setattr(models, "_train", train)
+    monkeypatch.setattr(models.classifier.TopicModel, "load", staticmethod(lambda *_: None))
+    n = spark.read.parquet(f"{source}/documents.parquet").count()
+    assert models._trained(spark, str(tmp_path))[1].count() == n
+    assert models._trained(spark, str(tmp_path))[1].count() == n and trained == [n]
+    more = spark.read.parquet(f"{source}/documents.parquet").limit(10)
+    more.write.mode("append").parquet(f"{tmp_path}/documents.parquet")
+    assert models._trained(spark, str(tmp_path))[1].count() == n + 10
+    assert trained == [n, n + 10]
