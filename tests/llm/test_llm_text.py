@@ -163,6 +163,20 @@ def test_benchmark_windows_like_brute_force(spark):
     assert decontamination.find_benchmark(frame(spark, []), table).collect() == []
 
 
+def test_benchmark_items_without_an_id(spark):
+    draw = random.Random(6)
+    lost, named, word = prose(draw, 12), prose(draw, 11), prose(draw, 10)
+    docs = frame(spark, [(1, lost), (2, f"{named} {lost}"), (3, named), (4, "else"), (5, word)])
+    for rows, kind in (([(None, lost), (7, named), (None, word)], "long"),
+                       ([("none", lost), ("7", named), (None, word)], "string")):
+        items = spark.createDataFrame(rows, f"item_id {kind}, text string")
+        for block in (200_000, 2):
+            found = decontamination.find_benchmark(docs, items, block_windows=block).collect()
+            assert {r.doc_id: (r.n_hit, list(r["items"]), r.unnamed) for r in found} == {
+                1: (12, [], True), 2: (23, [7], True), 3: (11, [7], False),
+                4: (0, [], False), 5: (10, [], True)}
+
+
 def test_token_ids_like_the_tokenizer():
     import pyarrow as pa
     from tokenizers import Tokenizer

@@ -10,8 +10,9 @@ must be the same there.
 Only the shingles of the items are counted and only windows of the items are sent to the
 tasks, in blocks of bounded size; documents are not moved.
 
-Defined cases: a null text has no words; an item without words has no window. Repeated
-items or ids count once. Repeated documents are reported each. Other columns are not read.
+Defined cases: a null text has no words; an item without words has no window. An item
+without an id, or whose id is no whole number, is looked for like any other and its words
+count as hit, but no id of it is listed. Repeated items or ids count once. Repeated documents are reported each. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -45,7 +46,10 @@ _HIT = "array<struct<first: int, last: int>>"
 
 
 def item_windows(items: DataFrame, key: str, text: str, window: int) -> DataFrame:
-    """(words, lengths, items): distinct windows as word hashes and byte lengths, with their items."""
+    """(words, lengths, items, unnamed): distinct windows as word hashes and byte lengths.
+
+    ``items`` has the ids of their items, ``unnamed`` tells whether one of these has none.
+    """
 
     def run(batches):
         lower = lower_ascii()
@@ -65,11 +69,11 @@ def item_windows(items: DataFrame, key: str, text: str, window: int) -> DataFram
                 names=["words", "lengths", "item"],
             )
 
-    narrow = items.select(F.col(key).cast("long").alias(key), F.col(text).alias(text))
-    windows = narrow.where(F.col(key).isNotNull()).mapInArrow(
-        run, "words array<long>, lengths array<int>, item long"
-    )
-    return windows.groupBy("words", "lengths").agg(F.collect_set("item").alias("items"))
+    narrow = items.select(F.col(key).try_cast("long").alias(key), F.col(text).alias(text))
+    windows = narrow.mapInArrow(run, "words array<long>, lengths array<int>, item long")
+    # Null ids are left out of the list only.
+    return windows.groupBy("words", "lengths").agg(
+        F.collect_set("item").alias("items"), F.bool_or(F.col("item").isNull()).alias("unnamed"))
 
 
 class Windows:
@@ -77,6 +81,7 @@ class Windows:
 
     def __init__(self, rows: list) -> None:
         self.items = [sorted(row.items) for row in rows]
+        self.unnamed = np.array([row.unnamed for row in rows], dtype=bool)
         self.words = [np.array(row.words, dtype=np.int64).view(np.uint64) for row in rows]
         self.lengths = [np.array(row.lengths, dtype=np.int64) for row in rows]
         hashes, window, place, sizes = [], [], [], []
@@ -153,7 +158,7 @@ def _shingle_counts(docs: DataFrame, text: str, shared) -> dict[int, int]:
 
 
 def _matches(docs: DataFrame, keys: list[str], text: str, shared) -> DataFrame:
-    """(keys, n_words, n_hit, items, hits) of every document for one block of windows."""
+    """(keys, n_words, n_hit, items, unnamed, hits) of every document for a block of windows."""
 
     def run(batches):
         windows = shared.value
@@ -202,6 +207,7 @@ def _matches(docs: DataFrame, keys: list[str], text: str, shared) -> DataFrame:
             total = np.cumsum(covered)
             n_hit = total[found.first[1:]] - total[found.first[:-1]]
             items, hits = [[] for _ in n_hit], [[] for _ in n_hit]
+            unnamed = np.zeros(len(n_hit), dtype=bool)
             doc = text_of[start] if len(start) else start
             order = np.argsort(doc, kind="stable")
             doc, number = doc[order], number[order]
@@ -211,20 +217,22 @@ def _matches(docs: DataFrame, keys: list[str], text: str, shared) -> DataFrame:
                 seen = {i for n in np.unique(number[bounds[d]:bounds[d + 1]])
                         for i in windows.items[n]}
                 items[d] = sorted(seen)
+                unnamed[d] = windows.unnamed[number[bounds[d]:bounds[d + 1]]].any()
                 change = np.flatnonzero(np.diff(covered[a + 1:b + 1], prepend=0, append=0))
                 hits[d] = [{"first": int(x), "last": int(y) - 1}
                            for x, y in zip(change[::2], change[1::2])]
             yield pa.RecordBatch.from_arrays(
                 [*(rows.column(k) for k in keys), pa.array(np.diff(found.first), pa.int64()),
                  pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.int64())),
-                 pa.array(hits, pa.list_(pa.struct([("first", pa.int32()),
+                 pa.array(unnamed), pa.array(hits, pa.list_(pa.struct([("first", pa.int32()),
                                                     ("last", pa.int32())])))],
-                names=[*keys, "n_words", "n_hit", "items", "hits"],
+                names=[*keys, "n_words", "n_hit", "items", "unnamed", "hits"],
             )
 
     kinds = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys)
     return docs.select(*keys, text).mapInArrow(
-        run, f"{kinds}, n_words long, n_hit long, items array<long>, hits {_HIT}"
+        run, f"{kinds}, n_words long, n_hit long, items array<long>, unnamed boolean, "
+        f"hits {_HIT}"
     )
 
 
@@ -238,10 +246,10 @@ def find_benchmark(
     window: int = 10,
     block_windows: int = BLOCK_WINDOWS,
 ) -> DataFrame:
-    """(key, n_words, n_hit, items, hits) per document.
+    """(key, n_words, n_hit, items, unnamed, hits) per document.
 
     ``n_hit``: words inside any occurrence of a window; ``items``: ids of the items with
-    such windows; ``hits``: the first and last word of each run of hit words.
+    such windows; ``unnamed``: whether an item without an id has one; ``hits``: the first and last word of each run of hit words.
 
     Items are looked for in blocks of windows. With more than one block the runs of each
     document are brought together by a row key.
@@ -290,7 +298,8 @@ def _matches_none(docs: DataFrame, keys: list[str], text: str) -> DataFrame:
     counted = docs.select(*keys, text).mapInArrow(run, f"{kinds}, n_words long")
     return counted.select(
         "*", F.lit(0).cast("long").alias("n_hit"),
-        F.array().cast("array<long>").alias("items"), F.array().cast(_HIT).alias("hits"),
+        F.array().cast("array<long>").alias("items"),
+        F.lit(False).alias("unnamed"), F.array().cast(_HIT).alias("hits"),
     )
 
 
@@ -314,11 +323,11 @@ def _merge(found: DataFrame, key: str) -> DataFrame:
     grouped = found.groupBy("_row").agg(
         F.first(key).alias(key), F.first("n_words").alias("n_words"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        joined.alias("hits"),
+        F.bool_or("unnamed").alias("unnamed"), joined.alias("hits"),
     )
     hit = F.aggregate("hits", F.lit(0).cast("long"),
                       lambda sum_, run: sum_ + run["last"] - run["first"] + 1)
-    return grouped.select(key, "n_words", hit.alias("n_hit"), "items", "hits")
+    return grouped.select(key, "n_words", hit.alias("n_hit"), "items", "unnamed", "hits")
 
 
 def items_digest(items):

@@ -102,7 +102,9 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     """Words of documents that lie in a 10-word window of a benchmark item."""
     found = find_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
-        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        "doc_id", "n_words", "n_hit",
+        # All items without an id count as one.
+        (F.size("items") + F.col("unnamed").cast("int")).cast("long").alias("n_items"),
         items_digest(F.col("items")).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
