@@ -296,3 +296,16 @@ def test_secrets_like_brute_force(spark):
     assert clean[6] == "😀 [secret] AKIA AKIAABC [secret] ABCDEF0123456789"
     empty = docs.where("false")
     assert secrets.find_secrets(empty, secrets.train_markov(empty)).collect() == []
+
+
+def test_random_string_around_a_fixed_pattern(spark):
+    random_string = "Zq8x7Lk2Pv9Rt4Wm1Yb6/0123456789abcdef"
+    docs = frame(spark, [(1, f"see {random_string} there"), (2, "commit 0123456789abcdef0123 of")])
+    filler = [(100 + i, f"identifier_{w}_{v} averylongword{w}thatgoeson{v} token = \"{h}\"")
+              for i, (w, v) in enumerate((a, b) for a in WORDS for b in WORDS[:4])
+              for h in [hashlib.sha1(f"{w}{v}".encode()).hexdigest()]]
+    found = secrets.find_secrets(docs, secrets.train_markov(frame(spark, filler)))
+    spans = {r.doc_id: [tuple(s) for s in r.spans] for r in found.collect()}
+    assert spans == {1: [(4, 3, 4 + len(random_string)), (25, 2, 41)], 2: [(7, 2, 27)]}
+    clean = {r.doc_id: r.text for r in secrets.redact(found).collect()}
+    assert clean == {1: "see [secret] there", 2: "commit [secret] of"}

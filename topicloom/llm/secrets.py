@@ -12,8 +12,8 @@ Bounded: the models are trained on about ``MOST_ROWS`` documents for the random
 searched over its whole text.
 
 Defined cases: a null text counts as empty and has no span. Matches of a pattern do not
-overlap; those of different patterns may. A string that overlaps a match of a fixed pattern
-is not added. Places count code points from 0, the end is exclusive. Repeated rows are
+overlap; those of different patterns may. A string that lies within a match of a fixed pattern
+is not added; one that only overlaps it is judged whole and added beside it. Places count code points from 0, the end is exclusive. Repeated rows are
 searched each; null keys and other columns are kept.
 """
 
@@ -129,7 +129,7 @@ def _with_matches(docs: DataFrame, text: str) -> DataFrame:
     placed = cut.select(*docs.columns, spans.alias("_spans"), judged.alias("_judged"))
     return placed.select(*docs.columns, "_spans", F.filter(
         "_judged", lambda r: ~F.exists(
-            "_spans", lambda s: (s["start"] < r["end"]) & (r["start"] < s["end"])
+            "_spans", lambda s: (s["start"] <= r["start"]) & (r["end"] <= s["end"])
         )).alias("_runs"))
 
 
