@@ -3,7 +3,8 @@
 Toxic documents go; of each group of near duplicates one document stays; documents with
 benchmark passages go; secrets are replaced; what is left is packed into token sequences.
 All stages but the last return the columns of documents. A document with a null text counts
-as empty; one with a null id takes part, but no link or label is found for it by its id.
+as empty. Every row is judged by its own text, with a null or a shared id too; only labels
+are found by the id.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicloom.llm.decontamination import find_benchmark
-from topicloom.llm.jaccard_join import jaccard_groups, keep_one
+from topicloom.llm.jaccard_join import keep_one_row
 from topicloom.llm.labelled import fold
 from topicloom.llm.packing import pack_documents
 from topicloom.llm.registry import QUERIES, table
@@ -26,23 +27,21 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity operator does not reject."""
     ship_package(spark)
     held_out = fold(F.col("doc_id"), 4) == 2
-    scored = toxicity_scores(docs, table(spark, sf_dir, "labels"), held_out)
-    bad = scored.where(F.col("score") >= THRESHOLD).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "anti").select(*docs.columns)
+    scored = toxicity_scores(docs, table(spark, sf_dir, "labels"), held_out, keep=docs.columns)
+    return scored.where(F.col("score") < THRESHOLD).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by 5-word shingles at a similarity of 0.8."""
     ship_package(spark)
-    return keep_one(docs, jaccard_groups(docs)).select(*docs.columns)
+    return keep_one_row(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a word in a 10-word window of a benchmark item."""
     ship_package(spark)
-    found = find_benchmark(docs, table(spark, sf_dir, "benchmark"))
-    bad = found.where("n_hit > 0").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "anti").select(*docs.columns)
+    found = find_benchmark(docs, table(spark, sf_dir, "benchmark"), keep=docs.columns)
+    return found.where("n_hit = 0").select(*docs.columns)
 
 
 def replace_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

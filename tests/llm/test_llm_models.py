@@ -356,3 +356,33 @@ def test_pipeline_stages(spark, tmp_path):
     empty = spark.read.parquet(f"{SF}/documents.parquet").where("false")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0
+
+
+def test_pipeline_judges_rows(spark):
+    source = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet").where("toxic = 1")
+    scored = toxicity.toxicity_scores(
+        source, spark.read.parquet(f"{SF}/labels.parquet"), fold(F.col("doc_id"), 4) == 2)
+    worst = scored.join(labels.select("doc_id"), "doc_id").orderBy(F.desc("score")).first()
+    toxic = source.where(F.col("doc_id") == worst.doc_id).first().text
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    clean = "a calm walk by the river on a mild morning in may with old friends"
+    other = "seven ships sailed north before dawn carrying salt timber and wool for trade"
+
+    def rows(*pairs):
+        return spark.createDataFrame(
+            [(i, t, "en", "s", len(t)) for i, t in pairs], source.schema)
+
+    def texts(df):
+        found = df.where(F.col("doc_id").isNull() | (F.col("doc_id") < 0)).collect()
+        return sorted(r.text for r in found)
+
+    mixed = source.unionByName(rows((None, toxic), (-5, toxic), (-5, clean), (None, other)))
+    assert texts(corpus_pipeline.drop_toxic(spark, mixed, SF)) == sorted([clean, other])
+    mixed = rows((None, item), (-5, item), (-5, clean), (None, other))
+    assert texts(corpus_pipeline.drop_contaminated(spark, mixed, SF)) == sorted([clean, other])
+    mixed = rows((-5, clean), (-5, other), (-5, clean), (-4, clean), (None, clean),
+                 (-3, ""), (-3, ""), (None, ""))
+    kept = corpus_pipeline.drop_near_duplicates(spark, mixed, SF).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == [
+        (-5, clean), (-5, other), (-3, ""), (0, "")]

@@ -17,6 +17,8 @@ count as hit, but no id of it is listed. Repeated items or ids count once. Repea
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -230,7 +232,7 @@ def _matches(docs: DataFrame, keys: list[str], text: str, shared) -> DataFrame:
             )
 
     kinds = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys)
-    return docs.select(*keys, text).mapInArrow(
+    return docs.select(*dict.fromkeys([*keys, text])).mapInArrow(
         run, f"{kinds}, n_words long, n_hit long, items array<long>, unnamed boolean, "
         f"hits {_HIT}"
     )
@@ -245,6 +247,7 @@ def find_benchmark(
     item_text: str = "text",
     window: int = 10,
     block_windows: int = BLOCK_WINDOWS,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """(key, n_words, n_hit, items, unnamed, hits) per document.
 
@@ -252,25 +255,29 @@ def find_benchmark(
     such windows; ``unnamed``: whether an item without an id has one; ``hits``: the first and last word of each run of hit words.
 
     Items are looked for in blocks of windows. With more than one block the runs of each
-    document are brought together by a row key.
+    document are brought together by a row key. The columns ``keep`` of each row come along.
     """
     spark = docs.sparkSession
     windows = stored(item_windows(items, item_key, item_text, window), "windows")
     parts = -(-windows.count() // block_windows)
+    more = [c for c in dict.fromkeys(keep) if c != key]
     if parts <= 1:
-        return _find_block(docs, [key], text, windows.collect(), spark)
+        return _find_block(docs, [key, *more], text, windows.collect(), spark)
     dealt = windows.withColumn("_block", F.pmod(F.hash("words", "lengths"), F.lit(parts)))
     dealt = stored(dealt, "window-blocks")
-    keyed = with_row_key(docs.select(key, text))
+    keyed = with_row_key(docs.select(*dict.fromkeys([key, text, *more])))
     found = [
         stored(_find_block(keyed, ["_row", key], text,
                            dealt.where(F.col("_block") == block).collect(), spark), "matches")
         for block in range(parts)
     ]
     union = found[0]
-    for more in found[1:]:
-        union = union.union(more)
-    return _merge(union, key)
+    for other in found[1:]:
+        union = union.union(other)
+    merged = _merge(union, key)
+    if more:
+        merged = merged.join(keyed.select("_row", *more), "_row")
+    return merged.select(key, *more, "n_words", "n_hit", "items", "unnamed", "hits")
 
 
 def _find_block(docs, keys, text, rows, spark) -> DataFrame:
@@ -295,7 +302,7 @@ def _matches_none(docs: DataFrame, keys: list[str], text: str) -> DataFrame:
             )
 
     kinds = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys)
-    counted = docs.select(*keys, text).mapInArrow(run, f"{kinds}, n_words long")
+    counted = docs.select(*dict.fromkeys([*keys, text])).mapInArrow(run, f"{kinds}, n_words long")
     return counted.select(
         "*", F.lit(0).cast("long").alias("n_hit"),
         F.array().cast("array<long>").alias("items"),
@@ -327,7 +334,7 @@ def _merge(found: DataFrame, key: str) -> DataFrame:
     )
     hit = F.aggregate("hits", F.lit(0).cast("long"),
                       lambda sum_, run: sum_ + run["last"] - run["first"] + 1)
-    return grouped.select(key, "n_words", hit.alias("n_hit"), "items", "unnamed", "hits")
+    return grouped.select("_row", key, "n_words", hit.alias("n_hit"), "items", "unnamed", "hits")
 
 
 def items_digest(items):

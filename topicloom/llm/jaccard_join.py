@@ -532,3 +532,26 @@ def keep_one(docs: DataFrame, groups: DataFrame, key: str = "doc_id") -> DataFra
     kept = groups.where(F.col(key) == F.col("component_id")).select(key).distinct()
     first = docs.join(kept, key, "semi").dropDuplicates([key])
     return first.unionByName(docs.where(F.col(key).isNull()))
+
+
+def keep_one_row(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80
+) -> DataFrame:
+    """One row of ``docs`` of each group of near duplicates, whatever their keys.
+
+    Rows are linked by their own texts under a written row key. The row with the smallest
+    key stays, one with a null key only if no other is in the group. Of rows without words
+    all stay but repeats of a key and text.
+    """
+    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "jaccard-keyed")
+    groups = jaccard_groups(rows, "_row", text, words, percent)
+    named = groups.join(rows.select("_row", key), "_row")
+    order = F.struct(F.col(key).isNull().alias("lost"), F.col(key).alias("key"), "_row")
+    first = named.groupBy("component_id").agg(
+        F.min(order)["_row"].alias("_row"), F.max("n_shingles").alias("n_shingles"))
+    first = stored(first.select("_row", "n_shingles"), "jaccard-first")
+    kept = rows.join(first.where("n_shingles > 0").select("_row"), "_row", "semi")
+    wordless = rows.join(first.where("n_shingles = 0").select("_row"), "_row", "semi")
+    named_once = wordless.where(F.col(key).isNotNull()).dropDuplicates([key, text])
+    return kept.unionByName(named_once).unionByName(
+        wordless.where(F.col(key).isNull())).select(*docs.columns)

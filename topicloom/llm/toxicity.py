@@ -18,6 +18,7 @@ rows are scored each; a null key is kept. Other columns are not read.
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -300,15 +301,17 @@ def fit_toxicity(
 
 
 def score_toxicity(
-    docs: DataFrame, model: ToxicityModel, key: str = "doc_id", text: str = "text"
+    docs: DataFrame, model: ToxicityModel, key: str = "doc_id", text: str = "text",
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """(key, score, matches) per document.
+    """(key, score, matches) per document, with the columns ``keep`` of its row after the key.
 
     The score is that of the worst match, joined with that of texts without any. ``matches``
     has the term, the word as found, its number in the text, the edits and the signs.
     """
     # Its size follows from the lexicon.
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    kept = list(dict.fromkeys([key, *keep]))
     match = "struct<term: string, found: string, word: int, edits: int, signs: array<string>>"
 
     def run(batches):
@@ -330,13 +333,13 @@ def score_toxicity(
                     for w, t, e, s in found
                 ]
             yield pa.RecordBatch.from_arrays(
-                [rows.column(key), pa.array(scores), pa.array(matches, kind)],
-                names=[key, "score", "matches"],
+                [*(rows.column(k) for k in kept), pa.array(scores), pa.array(matches, kind)],
+                names=[*kept, "score", "matches"],
             )
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(
-        run, f"`{key}` {kind}, score double, matches array<{match}>"
+    kinds = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in kept)
+    return docs.select(*dict.fromkeys([*kept, text])).mapInArrow(
+        run, f"{kinds}, score double, matches array<{match}>"
     )
 
 
@@ -349,15 +352,19 @@ def toxicity_scores(
     label: str = "toxic",
     most_rows: int = MOST_ROWS,
     threshold: float = THRESHOLD,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """(key, held_out, score, predicted, matches); ``held_out`` rows are not learned from."""
+    """(key, held_out, score, predicted, matches); ``held_out`` rows are not learned from.
+
+    The columns ``keep`` of each row come along, after the key.
+    """
     scratch = Scratch(docs.sparkSession)
     sample = scratch.keep(
         labelled_sample(docs, labels, key, text, label, ~held_out, most_rows), "toxicity-sample"
     )
     model = fit_toxicity(sample, *learn_lexicon(sample, scratch))
     scratch.clear()
-    return score_toxicity(docs, model, key, text).select(
-        key, held_out.alias("held_out"), "score",
+    return score_toxicity(docs, model, key, text, keep).select(
+        *dict.fromkeys([key, *keep]), held_out.alias("held_out"), "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"), "matches",
     )
