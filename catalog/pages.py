@@ -135,6 +135,17 @@ _MAPPED_SQL = f"""WITH {TOPIC_PAGES_SQL} SELECT uri, orig_uri, topic,
   array_to_string(orig_categories, ';') AS orig_categories, text FROM topic_pages"""
 
 
+def _shown(mapped: DataFrame) -> DataFrame:
+    """The topic as text, and the categories that the page came with."""
+    return mapped.select(
+        "uri",
+        F.col("origUri").alias("orig_uri"),
+        joined("categories").alias("topic"),
+        joined("origCategories", ";").alias("orig_categories"),
+        "text",
+    )
+
+
 @query(_MAPPED_SQL)
 def map_to_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(topic_pages(spark, sf_dir))
