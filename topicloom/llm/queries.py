@@ -15,6 +15,7 @@ from topicloom.llm.quality import quality_scores
 from topicloom.llm.registry import query, table
 from topicloom.llm.secrets import find_secrets, span_names, train_markov
 from topicloom.llm.sharding import place_on_shards
+from topicloom.llm.token_alignment import align_tokens
 from topicloom.llm.top_k import top_k
 from topicloom.llm.toxicity import toxicity_scores
 from topicloom.llm.urls import BLOCKED_WORDS, default_rules, host_rule, judge_urls
@@ -222,3 +223,12 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return extract_content(pages, learn_content(pages))
+
+
+@query()
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links between the tokens of two tokenizers, in all documents."""
+    return align_tokens(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.path("piece_bpe_32k.model"),
+    ).documents
