@@ -10,6 +10,7 @@ from topicloom.llm.decontamination import find_benchmark, items_digest
 from topicloom.llm.html_content import extract_content, learn_content
 from topicloom.llm.jaccard_join import jaccard_groups
 from topicloom.llm.labelled import fold
+from topicloom.llm.licenses import label_list, scan_licenses
 from topicloom.llm.packing import pack_documents
 from topicloom.llm.quality import quality_scores
 from topicloom.llm.registry import query, table
@@ -232,3 +233,19 @@ def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFram
         table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
         public_tokenizers.path("piece_bpe_32k.model"),
     ).documents
+
+
+@query()
+def op12_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices in all documents."""
+    found = scan_licenses(table(spark, sf_dir, "documents"))
+    base = F.filter("hits", lambda h: h["base"])
+    first = F.transform(base, lambda h: h["first"])
+    score = F.array_max(F.transform("hits", lambda h: h["score"]))
+    return found.select(
+        "doc_id", "n_words", F.size(base).cast("long").alias("n_base"),
+        F.array_min(first).cast("long").alias("first_word"),
+        F.array_max(first).cast("long").alias("last_word"),
+        label_list(base).alias("base_labels"), label_list(F.col("hits")).alias("labels"),
+        F.coalesce(score, F.lit(0.0)).alias("score"),
+    )
