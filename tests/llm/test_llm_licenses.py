@@ -5,8 +5,11 @@ import random
 
 import pytest
 
-from topicloom.llm import licenses
-from topicloom.llm.licenses import BASE, NOTICES, SLACK, Template, words_of
+pytest.importorskip("public_tokenizers")
+
+from topicloom.llm import licenses, queries  # noqa: E402, F401
+from topicloom.llm.licenses import BASE, NOTICES, SLACK, Template, words_of  # noqa: E402
+from topicloom.llm.registry import QUERIES  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
 TEMPLATES = (*BASE, *NOTICES)
@@ -81,8 +84,6 @@ def test_notices_like_brute_force(spark):
 
 
 def test_query_like_brute_force(spark):
-    from topicloom.llm.queries import QUERIES
-
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()
     found = {r.doc_id: r for r in QUERIES["op12_license_scans"](spark, SMALL).collect()}
     assert len(found) == len(docs)
