@@ -12,10 +12,12 @@ from topicloom.llm.jaccard_join import jaccard_groups
 from topicloom.llm.labelled import fold
 from topicloom.llm.licenses import label_list, scan_licenses
 from topicloom.llm.packing import pack_documents
+from topicloom.llm.prefix_trie import prefix_trie, turn_lists, with_shared_heads
 from topicloom.llm.quality import quality_scores
 from topicloom.llm.registry import query, table
 from topicloom.llm.secrets import find_secrets, span_names, train_markov
 from topicloom.llm.sharding import place_on_shards
+from topicloom.llm.store import stored
 from topicloom.llm.token_alignment import align_tokens
 from topicloom.llm.top_k import top_k
 from topicloom.llm.toxicity import toxicity_scores
@@ -249,3 +251,57 @@ def op12_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
         label_list(base).alias("base_labels"), label_list(F.col("hits")).alias("labels"),
         F.coalesce(score, F.lit(0.0)).alias("score"),
     )
+
+
+_TRIE_NODES = r"""
+WITH turns AS (
+  SELECT conv_id, turn, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS w,
+    sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS d
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT conv_id, list(d ORDER BY turn NULLS FIRST, d) AS ds,
+    list(w ORDER BY turn NULLS FIRST, d) AS ws,
+    xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(
+      string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+      lambda crc, c: list_reduce(list_prepend(xor(crc, c), range(8)),
+        lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END))) % 4 AS h
+  FROM turns GROUP BY conv_id
+), rebuilt AS (
+  SELECT c.conv_id, list_concat(coalesce(b.ds, [])[1:c.h], c.ds[c.h + 1:]) AS ds,
+    list_concat(coalesce(b.ws, [])[1:c.h], c.ws[c.h + 1:]) AS ws
+  FROM convs c LEFT JOIN convs b ON b.conv_id = c.conv_id - c.conv_id % 20
+), places AS (
+  SELECT conv_id, ds, ws, unnest(range(len(ds) + 1)) AS k FROM rebuilt
+), prefixes AS (
+  SELECT conv_id, k, k = len(ds) AS ends, array_to_string(ds[1:k], ',') AS path,
+    CASE WHEN k > 0 THEN array_to_string(ds[1:k - 1], ',') END AS up,
+    CASE WHEN k > 0 THEN ws[k] ELSE 0 END AS w FROM places
+), nodes AS (
+  SELECT path, any_value(up) AS up, any_value(k) AS depth, min(conv_id) AS conv_id,
+    count(*) AS n_convs, (count(*) - 1) * any_value(w) AS own,
+    coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '') AS ended
+  FROM prefixes GROUP BY path
+), kids AS (
+  SELECT up AS path, count(*) AS n_children FROM nodes WHERE up IS NOT NULL GROUP BY up
+), below AS (
+  SELECT DISTINCT a.path AS top, b.path
+  FROM prefixes a JOIN prefixes b ON a.conv_id = b.conv_id AND a.k <= b.k
+), sums AS (
+  SELECT top AS path, sum(own) AS saved, count(*) FILTER (n_children IS NULL) AS n_leaves
+  FROM below JOIN nodes USING (path) LEFT JOIN kids USING (path) GROUP BY top
+)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs,
+  coalesce(c.n_children, 0) AS n_children, s.n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens,
+  sha256(n.ended) AS ends_sha256
+FROM nodes n JOIN sums s USING (path) LEFT JOIN kids c USING (path)
+LEFT JOIN nodes p ON p.path = n.up
+"""
+
+
+@query(_TRIE_NODES)
+def op13_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the trie of all conversations, some of which begin like another one."""
+    own = stored(turn_lists(table(spark, sf_dir, "conversations")), "turn-lists")
+    conv = F.col("conv_id")
+    heads = (F.crc32(conv.cast("string").cast("binary")) % 4).cast("int")
+    return prefix_trie(with_shared_heads(own, conv - conv % 20, heads, 3))
