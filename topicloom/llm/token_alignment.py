@@ -5,7 +5,7 @@ model (B). Two token occurrences whose byte ranges overlap are a link; places wh
 both end cut the text into groups.
 
 * Texts are cut at spaces where neither tokenizer joins what stands before and after, so
-  equal chunks have equal tokens, groups and links, and are worked out once per worker.
+  equal chunks have equal tokens, groups and links, and are worked out once per block of text.
 * Documents are numbered in blocks of bounded size. A block holds, for every pair of ids, the
   bitmap of its documents, merged by "or" over the chunks that hold the pair, as one plane per
   binary digit of the number of links. A plane is a list of 16-bit numbers or, where that is
@@ -26,6 +26,7 @@ from __future__ import annotations
 import hashlib
 import os
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +38,8 @@ from topicloom.llm.blocks import blocks
 from topicloom.llm.store import stored
 from topicloom.scale import lookup_join
 
-#: Remembered chunks of one Python worker, and the longest chunk that is remembered.
-MOST_CHUNKS = 300_000
-LONGEST_CHUNK = 200
+#: Bytes of text that are worked out at once.
+BLOCK_BYTES = 4 << 20
 #: Documents of a block, as slots have 16 bits, and the links of documents it is closed at.
 BLOCK_DOCS = 1 << 16
 BLOCK_LINKS = 2_000_000
@@ -73,39 +73,39 @@ def piece_bytes(piece: str, is_byte: bool) -> bytes:
 
 
 @dataclass(frozen=True)
-class Chunk:
-    """Tokens of one chunk: their numbers, groups as text, links as pair codes with counts.
+class Aligned:
+    """Distinct chunks of a block of texts, worked out for all of them at once.
 
-    The code of a pair is its A id times the number of B ids, plus its B id.
+    ``pairs`` has one code per link, chunk by chunk as ``n_links`` says: the A id times the
+    number of B ids, plus the B id. ``groups`` has the groups of each chunk, each after ";".
     """
 
-    n_a: int
-    n_b: int
-    n_groups: int
-    groups: str
+    good: np.ndarray
+    n_a: np.ndarray
+    n_b: np.ndarray
+    n_groups: np.ndarray
+    n_links: np.ndarray
     pairs: np.ndarray
-    links: np.ndarray
+    groups: list[bytes]
 
 
-def overlaps(ends_a: list[int], ends_b: list[int]) -> tuple[list[tuple[int, int]], list]:
-    """(links, cuts) of two tokenizations of the same bytes, by the ends of their tokens.
+class Table:
+    """Byte strings by number."""
 
-    A link is a pair of token places; a cut is (tokens of A, tokens of B) before it.
-    """
-    links, cuts = [], []
-    i = j = 0
-    while i < len(ends_a) and j < len(ends_b):
-        links.append((i, j))
-        x, y = ends_a[i], ends_b[j]
-        i += x <= y
-        j += y <= x
-        if x == y:
-            cuts.append((i, j))
-    return links, cuts
+    def __init__(self, strings: list[bytes]) -> None:
+        self.size = np.array([len(x) for x in strings], dtype=np.int64)
+        self.begin = np.cumsum(self.size) - self.size
+        self.data = np.frombuffer(b"".join(strings), dtype=np.uint8)
+
+    def join(self, numbers: np.ndarray) -> np.ndarray:
+        """The strings of the numbers, one after another."""
+        size = self.size[numbers]
+        moved = self.begin[numbers] - (np.cumsum(size) - size)
+        return self.data[np.repeat(moved, size) + np.arange(size.sum())]
 
 
 class Aligner:
-    """Chunks to tokens of both tokenizers, with remembered chunks."""
+    """Chunks to tokens, links and groups of both tokenizers."""
 
     def __init__(self, byte_file: str, piece_file: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -118,53 +118,79 @@ class Aligner:
         self.pieces = SentencePieceProcessor(model_file=piece_file)
         letters = byte_letters()
         vocabulary = self.byte_level.get_vocab(with_added_tokens=False)
-        self.spelled_a = {i: bytes(letters[c] for c in token) for token, i in vocabulary.items()}
-        self.spelled_b = [
-            piece_bytes(self.pieces.id_to_piece(i), self.pieces.is_byte(i))
-            for i in range(self.pieces.get_piece_size())
-        ]
-        if any("▁" in piece.lstrip("▁") for piece in map(
-                self.pieces.id_to_piece, range(self.pieces.get_piece_size()))):
+        of_id = {i: bytes(letters[c] for c in token) for token, i in vocabulary.items()}
+        self.spelled_a = [of_id.get(i, b"") for i in range(max(of_id) + 1)]
+        pieces = [self.pieces.id_to_piece(i) for i in range(self.pieces.get_piece_size())]
+        if any("▁" in piece.lstrip("▁") for piece in pieces):
             raise ValueError("pieces with a space inside: texts cannot be cut at spaces")
+        self.spelled_b = [piece_bytes(p, self.pieces.is_byte(i)) for i, p in enumerate(pieces)]
         self.space = self.pieces.piece_to_id("▁")
-        self.known: dict[bytes, Chunk | None] = {}
-
-    def chunks(self, wanted: list[bytes]) -> list[Chunk | None]:
-        """One entry per chunk, which begins with a space; None if its tokens do not spell it."""
-        new = [c for c in wanted if c not in self.known]
-        if not new:
-            return [self.known[c] for c in wanted]
-        if len(self.known) + len(new) > MOST_CHUNKS:
-            self.known.clear()
-            new = wanted
-        texts = [c.decode() for c in new]
+        self.table_a, self.table_b = Table(self.spelled_a), Table(self.spelled_b)
+        # Every number after each separator of the group text.
+        self.most = max(len(self.spelled_a), len(self.spelled_b))
+        self.decimal = Table(
+            [sep + b"%d" % n for sep in (b";", b",", b"|") for n in range(self.most)])
+
+    def align(self, chunks: pa.Array) -> Aligned:
+        """Work out chunks, which each begin with a space, as large binary values."""
+        count = len(chunks)
+        texts = chunks.cast(pa.large_string()).to_pylist()
         coded_a = self.byte_level.encode_batch_fast(texts, add_special_tokens=False)
         # The piece model puts the first space there itself.
         coded_b = self.pieces.encode([t[1:] for t in texts], num_threads=1)
-        fresh = {}
-        for chunk, a, b in zip(new, coded_a, coded_b):
-            fresh[chunk] = self._chunk(chunk, a.ids, b if len(chunk) > 1 else [self.space])
-        found = [fresh[c] if c in fresh else self.known[c] for c in wanted]
-        self.known.update((c, x) for c, x in fresh.items() if len(c) <= LONGEST_CHUNK)
-        return found
-
-    def _chunk(self, chunk: bytes, a: list[int], b: list[int]) -> Chunk | None:
-        spelled_a = [self.spelled_a[i] for i in a]
-        spelled_b = [self.spelled_b[i] for i in b]
-        if b"".join(spelled_a) != chunk or b"".join(spelled_b) != chunk:
-            return None
-        links, cuts = overlaps(
-            np.cumsum([len(x) for x in spelled_a]).tolist(),
-            np.cumsum([len(x) for x in spelled_b]).tolist(),
-        )
-        groups, i, j = [], 0, 0
-        for to_i, to_j in cuts:
-            groups.append(f"{','.join(map(str, a[i:to_i]))}|{','.join(map(str, b[j:to_j]))}")
-            i, j = to_i, to_j
-        width = len(self.spelled_b)
-        codes = np.array([a[x] * width + b[y] for x, y in links], dtype=np.int64)
-        pairs, counts = np.unique(codes, return_counts=True)
-        return Chunk(len(a), len(b), len(groups), ";".join(groups), pairs, counts)
+        n_a = np.fromiter(map(len, coded_a), np.int64, count)
+        n_b = np.fromiter(map(len, coded_b), np.int64, count)
+        a = np.fromiter(chain.from_iterable(e.ids for e in coded_a), np.int64, n_a.sum())
+        b = np.fromiter(chain.from_iterable(coded_b), np.int64, n_b.sum())
+        lone = np.flatnonzero(np.fromiter(map(len, texts), np.int64, count) == 1)
+        if len(lone):
+            b = np.insert(b, (np.cumsum(n_b) - n_b)[lone], self.space)
+            n_b[lone] = 1
+        offsets = np.frombuffer(chunks.buffers()[1], np.int64)[
+            chunks.offset:chunks.offset + count + 1]
+        data = np.frombuffer(chunks.buffers()[2], np.uint8)[offsets[0]:offsets[-1]]
+        size, good = np.diff(offsets), np.ones(count, dtype=bool)
+        each = np.arange(count)
+        for ids, n, table in ((a, n_a, self.table_a), (b, n_b, self.table_b)):
+            length = np.bincount(np.repeat(each, n), table.size[ids], count).astype(np.int64)
+            same = length == size
+            spelled = table.join(ids[np.repeat(same, n)])
+            wrong = spelled != data[np.repeat(same, size)]
+            same[np.repeat(each[same], size[same])[wrong]] = False
+            good &= same
+        a, b = a[np.repeat(good, n_a)], b[np.repeat(good, n_b)]
+        n_a, n_b = np.where(good, n_a, 0), np.where(good, n_b, 0)
+
+        # Between two neighbouring ends of any tokens lies one link.
+        ends_a, ends_b = np.cumsum(self.table_a.size[a]), np.cumsum(self.table_b.size[b])
+        ends = np.union1d(ends_a, ends_b)
+        i, j = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
+        chunk_a, chunk_b = np.repeat(each, n_a), np.repeat(each, n_b)
+        n_links = np.bincount(chunk_a[i], minlength=count)
+        pairs = a[i] * len(self.spelled_b) + b[j]
+        cuts = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        group_chunk = chunk_a[np.searchsorted(ends_a, cuts)]
+        return Aligned(good, n_a, n_b, np.bincount(group_chunk, minlength=count), n_links, pairs,
+                       self._groups(a, b, ends_a, ends_b, cuts, chunk_a, chunk_b, count))
+
+    def _groups(self, a, b, ends_a, ends_b, cuts, chunk_a, chunk_b, count) -> list[bytes]:
+        """The tokens of A, then those of B, group by group."""
+        group_a, group_b = np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b)
+        in_a = np.bincount(group_a, minlength=len(cuts))
+        in_b = np.bincount(group_b, minlength=len(cuts))
+        before_a, before_b = np.cumsum(in_a) - in_a, np.cumsum(in_b) - in_b
+        place_a = np.arange(len(a)) + before_b[group_a]
+        place_b = np.arange(len(b)) + (before_a + in_a)[group_b]
+        numbers = np.empty(len(a) + len(b), dtype=np.int64)
+        numbers[place_a] = a + np.where(np.arange(len(a)) == before_a[group_a], 0, self.most)
+        numbers[place_b] = b + np.where(
+            np.arange(len(b)) == before_b[group_b], 2 * self.most, self.most)
+        chunk = np.empty(len(numbers), dtype=np.int64)
+        chunk[place_a], chunk[place_b] = chunk_a, chunk_b
+        size = np.bincount(chunk, self.decimal.size[numbers], count).astype(np.int64)
+        text = self.decimal.join(numbers).tobytes()
+        ends = np.cumsum(size)
+        return [text[x:y] for x, y in zip((ends - size).tolist(), ends.tolist())]
 
 
 def chunk_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -282,7 +308,7 @@ def _postings(docs: DataFrame, key: str, text: str, byte_file: str, piece_file:
                     plane=pa.array(np.full(len(pairs), plane)), bits=bitmaps(slots, ends),
                     n_docs=pa.array(n_docs))
 
-        for own, data, offsets in blocks(batches, "_text"):
+        for own, data, offsets in blocks(batches, "_text", BLOCK_BYTES):
             if types is None:
                 part = own.column("part")[0].as_py()
                 types = pa.schema([
@@ -304,20 +330,14 @@ def _postings(docs: DataFrame, key: str, text: str, byte_file: str, piece_file:
             cut = pa.Array.from_buffers(pa.large_binary(), len(starts),
                                         [None, cuts.buffers()[1], pa.py_buffer(data)])
             coded = pc.dictionary_encode(cut)
-            chunks = tool.chunks(coded.dictionary.to_pylist())
+            found = tool.align(coded.dictionary)
             index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            wrong = np.array([c is None for c in chunks])[index]
-            bad = empty | (np.add.reduceat(wrong.astype(np.int64), first[:-1]) > 0)
-            blank = Chunk(0, 0, 0, "", np.empty(0, np.int64), np.empty(0, np.int64))
-            chunks = [blank if c is None else c for c in chunks]
-            sums = []
-            for name in ("n_a", "n_b", "n_groups"):
-                each = np.array([getattr(c, name) for c in chunks], dtype=np.int64)[index]
-                sums.append(np.where(bad, 0, np.add.reduceat(each, first[:-1])))
-            groups = [c.groups for c in chunks]
+            bad = empty | (np.add.reduceat(~found.good[index], first[:-1], dtype=np.int64) > 0)
+            sums = [np.where(bad, 0, np.add.reduceat(each[index], first[:-1]))
+                    for each in (found.n_a, found.n_b, found.n_groups)]
             digests = [
-                "" if bad[d] else hashlib.sha256(";".join(
-                    [groups[i] for i in index[first[d]:first[d + 1]].tolist()]).encode()
+                "" if bad[d] else hashlib.sha256(b"".join(
+                    [found.groups[i] for i in index[first[d]:first[d + 1]].tolist()])[1:]
                 ).hexdigest() for d in range(count)
             ]
             slots = np.arange(block.docs, block.docs + count)
@@ -327,16 +347,14 @@ def _postings(docs: DataFrame, key: str, text: str, byte_file: str, piece_file:
                 n_b=pa.array(sums[1]), n_groups=pa.array(sums[2]),
                 groups_sha256=pa.array(digests))
             doc = np.repeat(np.arange(count), np.diff(first))
-            good = ~bad[doc]
-            held, times = np.unique(doc[good] * len(chunks) + index[good], return_counts=True)
-            doc, chunk = held // len(chunks), held % len(chunks)
-            sizes = np.array([len(c.pairs) for c in chunks])
-            begins = np.cumsum(sizes) - sizes
-            many = sizes[chunk]
+            fine = ~bad[doc]
+            held, times = np.unique(doc[fine] * len(found.good) + index[fine], return_counts=True)
+            doc, chunk = held // len(found.good), held % len(found.good)
+            many = found.n_links[chunk]
+            begins = np.cumsum(found.n_links) - found.n_links
             source = np.repeat(begins[chunk] - (np.cumsum(many) - many), many) + np.arange(
                 many.sum())
-            pairs = np.concatenate([c.pairs for c in chunks])[source]
-            links = np.concatenate([c.links for c in chunks])[source] * np.repeat(times, many)
+            pairs, links = found.pairs[source], np.repeat(times, many)
             block.add(pairs, slots[np.repeat(doc, many)], links)
             block.docs += count
         yield from close()
