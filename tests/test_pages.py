@@ -1,5 +1,7 @@
 """Page extraction, hosts, seeds, taxonomy and language."""
 
+import re
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -122,13 +124,42 @@ def test_duplicates_dedupe_and_segments(spark, mapping):
     assert topics(mapping(rows, rules, segment_aware=True)) == [("u", "news")] * 3
 
 
-def test_many_rules_take_the_join_and_agree(spark, monkeypatch):
+def test_rules_beyond_the_bound_take_the_join_and_agree(spark):
     rules = standard_rules(spark)
     rows = page_rows(spark, [("u", ["Top/Home/Family/X", "Top/Games"]), ("v", ["Top/Arts/Music"])])
-    inline = topics(taxonomy.map_to_topics(rows, rules))
-    monkeypatch.setattr(taxonomy, "INLINE_RULES", 3)
-    assert topics(taxonomy.map_to_topics(rows, rules)) == inline
-    assert inline == [("u", "entertainment"), ("u", "parents"), ("v", "music")]
+    sent = topics(taxonomy.map_to_topics(rows, rules))
+    assert topics(taxonomy.map_to_topics(rows, rules, max_broadcast_rows=3)) == sent
+    assert sent == [("u", "entertainment"), ("u", "parents"), ("v", "music")]
+
+
+def test_many_rules_have_the_plan_of_few(spark):
+    few = [(f"r{n}", [f"A/{n}/"], [f"A/{n}/x"]) for n in range(6)]
+    many = [(f"r{n}", [f"A/{n}/"], [f"A/{n}/x"]) for n in range(30_000)]
+    rows = page_rows(spark, [("u", ["Top/A/29999/y", "A/5/x", None]), ("v", ["Top/A/3/"]),
+                             ("w", [])])
+    few, many = (taxonomy.map_to_topics(rows, rule_rows(spark, r)) for r in (few, many))
+    assert topics(few) == [("v", "r3")]
+    assert topics(many) == [("u", "r29999"), ("v", "r3")]
+    plans = [re.sub(r"[0-9]+", "", df._jdf.queryExecution().executedPlan().toString())
+             for df in (few, many)]
+    assert plans[0] == plans[1]
+    assert "Join" not in plans[0] and "Exchange" not in plans[0]
+
+
+def test_computed_lookups_are_computed_once(spark):
+    # The lookup fails on its second pass: it counts how often it was computed.
+    passes = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            passes.add(batch.num_rows)
+            yield batch
+
+    seeds = spark.createDataFrame([("a.org", "x"), ("b.org", "y")], "domain string, categories string")
+    counted = seeds.coalesce(1).mapInArrow(seen, seeds.schema)
+    fetched = spark.createDataFrame([("http://a.org/1", "t")], "url string, html string")
+    assert pages.pages_with_seeds(fetched, counted).count() == 1
+    assert passes.value == 2
 
 
 paths = st.lists(st.sampled_from("abA/"), max_size=5).map("".join)

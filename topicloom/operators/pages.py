@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from topicloom.functions.categories import split_categories
 from topicloom.functions.html import html_to_text
 from topicloom.functions.urls import host_of, is_english_host, site_of
-from topicloom.scale import lookup_join
+from topicloom.scale import lookup_join, written_lookup
 
 
 def valid_pages(raw: DataFrame) -> DataFrame:
@@ -51,9 +51,9 @@ def pages_with_seeds(
     site = site_of(host) if ignore_www else host
     seed_site = site_of(F.col("domain")) if ignore_www else F.col("domain")
     keyed = fetched.withColumn("_site", site).where("_site is not null")
-    lookup = seeds.select(
+    lookup = written_lookup(seeds.select(
         seed_site.alias("_site"), F.col("domain").alias("orig_domain"), "categories"
-    )
+    ))
     return lookup_join(keyed, lookup, "_site", known_rows=known_seeds).select(
         "orig_domain", F.col("url").alias("domain"), "categories", F.col("html").alias("text")
     )

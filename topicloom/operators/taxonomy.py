@@ -2,30 +2,52 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+
+import pyarrow as pa
 from pyspark import Row
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.functions.categories import rule_match, strip_top_prefix
-from topicloom.scale import BROADCAST_ROWS, bounded_rows, explode_once, lookup_join, with_row_key
-
-INLINE_RULES = 2_000
-
-
-def _rules_column(rules: list[Row]) -> Column:
-    def texts(values: list[str]) -> Column:
-        return F.array(*[F.lit(v) for v in values]).cast("array<string>")
-
-    return F.array(
-        *[
-            F.struct(
-                F.lit(rule.name).alias("name"),
-                texts(rule.includes).alias("includes"),
-                texts(rule.excludes).alias("excludes"),
-            )
-            for rule in rules
-        ]
-    )
+from topicloom.functions.categories import strip_top_prefix
+from topicloom.scale import (
+    BROADCAST_ROWS,
+    explode_once,
+    fits_broadcast,
+    lookup_join,
+    with_row_key,
+    written_lookup,
+)
+
+
+class PrefixMap:
+    """Rules as a dictionary of prefixes: a path costs one look-up per distinct length."""
+
+    def __init__(self, rules: list[Row], segment_aware: bool = False) -> None:
+        self.names = [rule.name for rule in rules]
+        self.segment_aware = segment_aware
+        self.rules_of: dict[str, list[tuple[int, bool]]] = defaultdict(list)
+        for number, rule in enumerate(rules):
+            for prefixes, included in ((rule.includes, True), (rule.excludes, False)):
+                for prefix in prefixes or ():
+                    if prefix is not None:
+                        self.rules_of[prefix].append((number, included))
+        self.lengths = sorted({len(prefix) for prefix in self.rules_of})
+
+    def topics(self, category: str | None) -> list[str]:
+        """Topics of the rules with an included prefix of the category and no excluded one."""
+        if category is None:
+            return []
+        path = category.removeprefix("Top/")
+        wanted, refused = set(), set()
+        for length in self.lengths:
+            if length > len(path):
+                break
+            if self.segment_aware and length < len(path) and path[length] != "/":
+                continue
+            for rule, included in self.rules_of.get(path[:length], ()):
+                (wanted if included else refused).add(rule)
+        return [self.names[rule] for rule in sorted(wanted - refused)]
 
 
 def _topic_rows(pages: DataFrame) -> DataFrame:
@@ -34,33 +56,45 @@ def _topic_rows(pages: DataFrame) -> DataFrame:
 
 
 def map_to_topics(
-    pages: DataFrame, rules: DataFrame, segment_aware: bool = False, dedupe: bool = False
+    pages: DataFrame,
+    rules: DataFrame,
+    segment_aware: bool = False,
+    dedupe: bool = False,
+    max_broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """One row per (page, category, matching rule) with the topic as only category.
 
     A page with two categories that match one rule appears twice, unless ``dedupe``.
     Other columns are carried along.
-    Rules up to ``INLINE_RULES`` become a constant of the plan: no join, no shuffle, the
-    text never leaves its task. More rules go through ``map_to_topics_by_prefix``.
+    The rules are measured and sent as a dictionary of prefixes, whether there are six or a
+    hundred thousand: no join, no shuffle, and of a page only its categories are looked at.
+    Rules beyond the bound go through ``map_to_topics_by_prefix``.
     """
-    known = bounded_rows(rules.select("name", "includes", "excludes"), INLINE_RULES)
-    if known is None:
+    known = rules.select("name", "includes", "excludes")
+    if not fits_broadcast(known, max_broadcast_rows):
         return map_to_topics_by_prefix(pages, rules, segment_aware, dedupe)
-    if not known:
-        return _topic_rows(pages.withColumn("topic", F.lit(None).cast("string"))).where("false")
-    in_plan = _rules_column(known)
-
-    def topics_of(category: Column) -> Column:
-        matching = F.filter(
-            in_plan,
-            lambda rule: rule_match(category, rule["includes"], rule["excludes"], segment_aware),
-        )
-        return F.transform(matching, lambda rule: rule["name"])
-
-    topics = F.flatten(F.transform("categories", topics_of))
+    shared = pages.sparkSession.sparkContext.broadcast(PrefixMap(known.collect(), segment_aware))
+
+    @F.arrow_udf("array<string>")
+    def topics_of(lists: pa.Array) -> pa.Array:
+        import pyarrow as pa
+
+        prefixes, known = shared.value, {}
+        out = []
+        for categories in lists.to_pylist():
+            found = []
+            for category in categories or ():
+                if category not in known:
+                    known[category] = prefixes.topics(category)
+                found += known[category]
+            out.append(found)
+        return pa.array(out, pa.list_(pa.string()))
+
+    topics = topics_of("categories")
     if dedupe:
         topics = F.array_distinct(topics)
-    return _topic_rows(explode_once(pages, topics, "topic"))
+    return _topic_rows(explode_once(pages.withColumn("_topics", topics), F.col("_topics"),
+                                    "topic").drop("_topics"))
 
 
 def category_topics(
@@ -91,7 +125,7 @@ def category_topics(
     cuts = categories.select(
         "category", path.alias("path"), F.explode(fitting).alias("n")
     ).select("category", "path", F.expr("substring(path, 1, n)").alias("prefix"))
-    hits = lookup_join(cuts, prefixes, "prefix", known_rows=None)
+    hits = lookup_join(cuts, prefixes, "prefix")
     if segment_aware:
         hits = hits.where(
             "length(path) = length(prefix) or substring(path, length(prefix) + 1, 1) = '/'"
@@ -118,7 +152,7 @@ def map_to_topics_by_prefix(
     pages may share one category.
     """
     distinct = pages.select(F.explode("categories").alias("category")).distinct()
-    mapping = category_topics(distinct, rules, segment_aware).drop("rule")
+    mapping = written_lookup(category_topics(distinct, rules, segment_aware).drop("rule"))
     keyed = with_row_key(pages) if dedupe else pages
     exploded = keyed.withColumn("category", F.explode("categories"))
     joined = lookup_join(exploded, mapping, "category", max_broadcast_rows=max_broadcast_rows)

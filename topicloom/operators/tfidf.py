@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topicloom.operators.vocabulary import word_vectorizer
-from topicloom.scale import explode_once, lookup_join
+from topicloom.scale import explode_once, lookup_join, written_lookup
 from topicloom.session import scratch_path
 
 
@@ -43,7 +43,7 @@ def tf_idf(
     written = tokenised.sparkSession.read.schema(counts.schema).parquet(path)
     texts = tokenised.count()
     weight = F.log(F.lit(texts + 1.0) / (F.count("*") + 1))
-    weights = written.groupBy("word").agg(weight.alias("idf"))
+    weights = written_lookup(written.groupBy("word").agg(weight.alias("idf")))
     return lookup_join(written, weights, "word").select(
         key, "word", "tf", (F.col("tf") * F.col("idf")).alias("tfidf")
     )

@@ -2,6 +2,7 @@
 
 * ``bounded_rows``, ``bounded_arrow`` - bring a table to the driver only if it is provably small;
 * ``lookup_join`` - broadcast a side that is measured to be small, salt the join if not;
+* ``written_lookup`` - a computed lookup as files, so that measuring it does not compute it;
 * ``dense_index`` - consecutive numbers in a global order without a one-task window;
 * ``explode_once``, ``filter_once`` - do not compute a costly column twice.
 """
@@ -15,7 +16,7 @@ from pyspark import Row
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from topicloom.session import shared_folder
+from topicloom.session import scratch_path, shared_folder
 
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 128 << 20
@@ -47,6 +48,16 @@ def fits_broadcast(
     return size.rows <= max_rows and size.bytes <= max_bytes
 
 
+def written_lookup(lookup: DataFrame) -> DataFrame:
+    """A lookup that is computed once: its rows written to the shared folder.
+
+    ``lookup_join`` measures the files and joins the files.
+    """
+    path = scratch_path(lookup.sparkSession, "lookup")
+    lookup.write.parquet(path)
+    return lookup.sparkSession.read.schema(lookup.schema).parquet(path)
+
+
 def lookup_join(
     facts: DataFrame,
     lookup: DataFrame,
