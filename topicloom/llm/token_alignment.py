@@ -38,11 +38,12 @@ from topicloom.llm.blocks import blocks
 from topicloom.llm.store import stored
 from topicloom.scale import lookup_join
 
-#: Bytes of text that are worked out at once.
-BLOCK_BYTES = 4 << 20
+#: Bytes of text that are worked out at once, and chunks that are handed to the tokenizers.
+BLOCK_BYTES = 2 << 20
+BATCH_CHUNKS = 4096
 #: Documents of a block, as slots have 16 bits, and the links of documents it is closed at.
 BLOCK_DOCS = 1 << 16
-BLOCK_LINKS = 2_000_000
+BLOCK_LINKS = 1_000_000
 #: Slots in a plane from which a bit string is shorter than a list.
 DENSE = BLOCK_DOCS // 16
 
@@ -134,16 +135,13 @@ class Aligner:
     def align(self, chunks: pa.Array) -> Aligned:
         """Work out chunks, which each begin with a space, as large binary values."""
         count = len(chunks)
-        texts = chunks.cast(pa.large_string()).to_pylist()
-        coded_a = self.byte_level.encode_batch_fast(texts, add_special_tokens=False)
-        # The piece model puts the first space there itself.
-        coded_b = self.pieces.encode([t[1:] for t in texts], num_threads=1)
-        n_a = np.fromiter(map(len, coded_a), np.int64, count)
-        n_b = np.fromiter(map(len, coded_b), np.int64, count)
-        a = np.fromiter(chain.from_iterable(e.ids for e in coded_a), np.int64, n_a.sum())
-        b = np.fromiter(chain.from_iterable(coded_b), np.int64, n_b.sum())
-        lone = np.flatnonzero(np.fromiter(map(len, texts), np.int64, count) == 1)
+        texts = chunks.cast(pa.large_string())
+        parts = [self._encode(texts.slice(low, BATCH_CHUNKS).to_pylist())
+                 for low in range(0, count, BATCH_CHUNKS)]
+        a, n_a, b, n_b = (np.concatenate(x) for x in zip(*parts))
+        lone = np.flatnonzero(n_b == 0)
         if len(lone):
+            # A space alone: the model adds a first space to a text only.
             b = np.insert(b, (np.cumsum(n_b) - n_b)[lone], self.space)
             n_b[lone] = 1
         offsets = np.frombuffer(chunks.buffers()[1], np.int64)[
@@ -173,6 +171,18 @@ class Aligner:
         return Aligned(good, n_a, n_b, np.bincount(group_chunk, minlength=count), n_links, pairs,
                        self._groups(a, b, ends_a, ends_b, cuts, chunk_a, chunk_b, count))
 
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids and numbers of tokens of both tokenizers."""
+        coded_a = [
+            e.ids for e in self.byte_level.encode_batch_fast(texts, add_special_tokens=False)]
+        # The piece model puts the first space there itself.
+        coded_b = self.pieces.encode([t[1:] for t in texts], num_threads=1)
+        out = []
+        for coded in (coded_a, coded_b):
+            size = np.fromiter(map(len, coded), np.int64, len(coded))
+            out += [np.fromiter(chain.from_iterable(coded), np.int64, size.sum()), size]
+        return out
+
     def _groups(self, a, b, ends_a, ends_b, cuts, chunk_a, chunk_b, count) -> list[bytes]:
         """The tokens of A, then those of B, group by group."""
         group_a, group_b = np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b)
@@ -233,7 +243,7 @@ class Block:
         order = np.argsort(place, kind="stable")
         place = place[order]
         new = np.flatnonzero(np.diff(place, prepend=-1))
-        number = np.add.reduceat(number[order], new)
+        number = np.add.reduceat(number[order], new, dtype=np.int64)
         pair, slot = place[new] // BLOCK_DOCS, (place[new] % BLOCK_DOCS).astype(np.uint16)
         heads = np.flatnonzero(np.diff(pair, prepend=-1))
         docs = np.diff(np.append(heads, len(pair)))
@@ -355,7 +365,7 @@ def _postings(docs: DataFrame, key: str, text: str, byte_file: str, piece_file:
             source = np.repeat(begins[chunk] - (np.cumsum(many) - many), many) + np.arange(
                 many.sum())
             pairs, links = found.pairs[source], np.repeat(times, many)
-            block.add(pairs, slots[np.repeat(doc, many)], links)
+            block.add(pairs, slots[np.repeat(doc, many)].astype(np.int32), links.astype(np.int32))
             block.docs += count
         yield from close()
 
