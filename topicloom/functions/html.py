@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Parts without visible text. An unclosed part runs to the end of the page.
-_HIDDEN = (
+HIDDEN = (
     r"(?is)<!--.*?(?:-->|\z)"
     r"|<script\b.*?(?:</script\s*>|\z)"
     r"|<style\b.*?(?:</style\s*>|\z)"
@@ -27,28 +27,31 @@ _SEPARATING = (
 )
 # Up to the closing bracket; a bracket inside a quoted attribute value does not close.
 _TAG_REST = r"""[^>=]*+(?:=\s*+(?:"[^"]*+"|'[^']*+')?+[^>=]*+)*+>"""
-_SEPARATING_TAG = rf"(?i)</?(?:{_SEPARATING})(?=[\s/>]){_TAG_REST}|<[!?][^>]*+>"
+SEPARATING_TAG = rf"(?i)</?(?:{_SEPARATING})(?=[\s/>]){_TAG_REST}|<[!?][^>]*+>"
 # A tag that the page ends in is no text either.
-_OTHER_TAG = rf"</?[a-zA-Z]{_TAG_REST}|</?[a-zA-Z][^>]*+\z"
+OTHER_TAG = rf"</?[a-zA-Z]{_TAG_REST}|</?[a-zA-Z][^>]*+\z"
 
 # Old names are entities without the semicolon, too; the longest one counts.
 _BARE = sorted((n for n in html.entities.html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
-_ENTITY = (
+ENTITY = (
     r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]*(?=;)|" + "|".join(_BARE) + r");?+"
 )
 
-_OLD_NAME = "^(" + "|".join(_BARE) + ")"
+OLD_NAME = "^(" + "|".join(_BARE) + ")"
 
 # Often used names come first because the lookup scans in order.
 _FREQUENT = ["nbsp", "amp", "quot", "lt", "gt", "copy", "middot", "raquo", "laquo", "ndash",
              "mdash", "rsquo", "lsquo", "rdquo", "ldquo", "hellip", "bull", "reg", "apos"]
 
 
-def _entity_table() -> Column:
+def entity_names() -> dict[str, str]:
     """Name to text for all named entities of HTML, from the Python standard library."""
     table = {n.rstrip(";"): t for n, t in html.entities.html5.items() if n.endswith(";")}
-    ordered = {**{n: table[n] for n in _FREQUENT}, **table}
-    return F.from_json(F.lit(json.dumps(ordered)), "map<string,string>")
+    return {**{n: table[n] for n in _FREQUENT}, **table}
+
+
+def _entity_table() -> Column:
+    return F.from_json(F.lit(json.dumps(entity_names())), "map<string,string>")
 
 
 def _code_point(number: Column) -> Column:
@@ -59,12 +62,12 @@ def _code_point(number: Column) -> Column:
 
 
 def _decode_entity(entity: Column) -> Column:
-    name = F.regexp_extract(entity, _ENTITY, 1)
+    name = F.regexp_extract(entity, ENTITY, 1)
     digits = F.regexp_extract(name, "^#([0-9]+)$", 1)
     hexits = F.regexp_extract(name, "^#[xX]([0-9a-fA-F]+)$", 1)
     known = F.element_at(_entity_table(), name)
     # An unknown name may begin with an old one.
-    old = F.regexp_extract(name, _OLD_NAME, 1)
+    old = F.regexp_extract(name, OLD_NAME, 1)
     begun = F.concat(F.element_at(_entity_table(), old), F.substring(entity, F.length(old) + 2,
                                                                      F.length(entity)))
     named = F.coalesce(known, F.when(old != "", begun), entity)
@@ -77,8 +80,8 @@ def _decode_entity(entity: Column) -> Column:
 
 def decode_entities(text: Column) -> Column:
     """Decode named and numeric entities in one pass: ``&amp;lt;`` becomes ``&lt;``."""
-    between = F.split(text, _ENTITY)
-    entities = F.regexp_extract_all(text, F.lit(_ENTITY), F.lit(0))
+    between = F.split(text, ENTITY)
+    entities = F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))
     decoded = F.transform(entities, _decode_entity)
     joined = F.array_join(
         F.zip_with(between, decoded, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), ""
@@ -97,8 +100,8 @@ def html_to_text(page: Column) -> Column:
     Separating elements become a space, other elements vanish without one. U+00A0 is
     text, not white space, and stays.
     """
-    visible = F.regexp_replace(page, _HIDDEN, "")
-    spaced = F.regexp_replace(visible, _SEPARATING_TAG, " ")
-    plain = F.regexp_replace(spaced, _OTHER_TAG, "")
+    visible = F.regexp_replace(page, HIDDEN, "")
+    spaced = F.regexp_replace(visible, SEPARATING_TAG, " ")
+    plain = F.regexp_replace(spaced, OTHER_TAG, "")
     decoded = _computed_once(plain, decode_entities)
     return F.trim(F.regexp_replace(decoded, r"[ \t\n\f\r]+", " "))

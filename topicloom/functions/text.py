@@ -33,7 +33,7 @@ STOP_WORDS = sorted(set(_ENGLISH_STOP_WORDS) | set(string.ascii_lowercase))
 
 # A run of capitals that does not run into a lower-case letter, or a word with at most
 # one leading capital. Everything that is not an ASCII letter separates.
-_WORD_PIECE = "[A-Z]+(?![a-z])|[A-Z]?[a-z]+"
+WORD_PIECE = "[A-Z]+(?![a-z])|[A-Z]?[a-z]+"
 
 
 def remove_site_markers(text: Column) -> Column:
@@ -57,7 +57,7 @@ def split_words(text: Column) -> Column:
 def split_camel_case(words: Column) -> Column:
     """Split each word of letters at its case changes: fooBar -> foo, Bar."""
     return F.flatten(
-        F.transform(words, lambda word: F.regexp_extract_all(word, F.lit(_WORD_PIECE), F.lit(0)))
+        F.transform(words, lambda word: F.regexp_extract_all(word, F.lit(WORD_PIECE), F.lit(0)))
     )
 
 
@@ -71,7 +71,7 @@ def clean_tokens(text: Column) -> Column:
     The same result as chaining the five functions above. One expression finds the
     pieces directly, so the text is read twice instead of five times.
     """
-    pieces = F.regexp_extract_all(remove_site_markers(text), F.lit(_WORD_PIECE), F.lit(0))
+    pieces = F.regexp_extract_all(remove_site_markers(text), F.lit(WORD_PIECE), F.lit(0))
     return lowercase(pieces)
 
 
