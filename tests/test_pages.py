@@ -1,5 +1,6 @@
 """Page extraction, hosts, seeds, taxonomy and language."""
 
+import random
 import re
 
 import pytest
@@ -252,6 +253,31 @@ def test_texts_without_evidence_are_dropped(spark):
     assert language.english_only(odd, two).collect() == [("the cat",)]
 
 
+def test_both_joins_score_alike(spark, language_model):
+    draw = random.Random(4)
+    words = [w for texts in SENTENCES.values() for t in texts for w in t.split()]
+    texts = [" ".join(draw.choice(words) for _ in range(draw.randrange(12))) for _ in range(60)]
+    rows = spark.createDataFrame([(n, t) for n, t in enumerate([*texts, None, "the " * 5000])],
+                                 "id int, text string")
+    sent = {r.id: r for r in language_model.probabilities(rows).collect()}
+    joined = {r.id: r for r in language_model.probabilities(rows, max_broadcast_rows=5).collect()}
+    assert sent.keys() == joined.keys() and len(sent) == 62
+    for key, row in sent.items():
+        assert row.language == joined[key].language
+        if row.language is not None:
+            assert row.languageProbabilities == pytest.approx(joined[key].languageProbabilities)
+    kept = [sorted(r.id for r in language_model.keep(rows, max_broadcast_rows=n).collect())
+            for n in (5, 1_000_000)]
+    assert kept[0] == kept[1] and 61 in kept[0]
+
+
+def test_profile_of_a_given_size(spark):
+    rows = [("ababab", "xx"), ("cdcdcd", "yy")]
+    small = language.fit_language_model(
+        spark.createDataFrame(rows, "text string, lang string"), size=2)
+    assert sorted(r.gram for r in small.grams.collect()) == ["aba", "bab"]
+
+
 def test_language_model_round_trip(spark, language_model, tmp_path):
     language_model.save(f"{tmp_path}/model")
     loaded = language.LanguageModel.load(spark, f"{tmp_path}/model")

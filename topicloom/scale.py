@@ -2,6 +2,7 @@
 
 * ``bounded_rows``, ``bounded_arrow`` - bring a table to the driver only if it is provably small;
 * ``lookup_join`` - broadcast a side that is measured to be small, salt the join if not;
+* ``keyed_join`` - broadcast or plain join on a unique key;
 * ``written_lookup`` - a computed lookup as files, so that measuring it does not compute it;
 * ``dense_index`` - consecutive numbers in a global order without a one-task window;
 * ``explode_once``, ``filter_once`` - do not compute a costly column twice.
@@ -79,6 +80,18 @@ def lookup_join(
     return salted_join(facts, lookup, on, how, salts)
 
 
+def keyed_join(
+    facts: DataFrame,
+    lookup: DataFrame,
+    on: str,
+    how: str = "inner",
+    max_broadcast_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
+    """Join on a key that is unique in both tables: no key is hot, so none needs salts."""
+    small = fits_broadcast(lookup, max_broadcast_rows)
+    return facts.join(F.broadcast(lookup) if small else lookup, on, how)
+
+
 def salted_join(
     facts: DataFrame,
     lookup: DataFrame,
