@@ -1,26 +1,35 @@
 """Training, evaluation, prediction and the prediction stream.
 
-The fitted coefficients are not stated in SQL; the queries show what must hold for any of
-them: which rows are learned from and scored, and how the results hang together.
+The fitted coefficients are not stated in SQL, but numbers that only the best ones have: in
+how many components of each class the gradient of the loss is nearly zero, and what weight
+the model gives each class. Predictions are told by how many scores are those that plain SQL
+computes from the written coefficients.
 """
 
 from __future__ import annotations
 
 import hashlib
+import inspect
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog.inputs import TOPIC_PAGES_SQL, joined, table, topic_tokens, word_vectors
 from catalog.pages import _LABEL_SQL, SPLIT_SQL
 from catalog.registry import query
+from topicloom.functions.html import html_to_text
 from topicloom.operators import classifier, embeddings, labels, sequences, splits, vocabulary
+from topicloom.scale import with_row_key, written_lookup
 from topicloom.session import scratch_path, shared_folder
 from topicloom.sources.materialize import Place, Step
 from topicloom.streaming.predict import read_page_stream
 from topicloom.streaming.predict import stream_predict as start_stream
 
-ITERATIONS = 20
+ITERATIONS = 100
+TOLERANCE = 1e-8
+#: Greatest gradient of the mean loss that counts as none.
+NEARLY_ZERO = 1e-3
 #: Tables that the model is made from.
 LEARNED_FROM = ("documents", "conversations", "embeddings")
 
@@ -52,29 +61,32 @@ def _training_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
 def _model_folder(spark: SparkSession, sf_dir: str) -> str:
     """The folder for what is learned from the tables as they are now.
 
-    Its name follows from the files that are learned from: path, size, modification time.
+    Its name follows from the files that are learned from (path, size, modification time),
+    the settings and the code of the classifier.
     """
     files = [Place(spark, f"{sf_dir}/{name}.parquet").files() for name in LEARNED_FROM]
-    name = hashlib.sha256(repr((sf_dir, files)).encode()).hexdigest()[:16]
+    learned = (sf_dir, files, ITERATIONS, TOLERANCE, inspect.getsource(classifier))
+    name = hashlib.sha256(repr(learned).encode()).hexdigest()[:16]
     return f"{shared_folder(spark)}/topic-model-{name}"
 
 
 def _train(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
-    """Train, save model and validation rows, and report (label, idx, rows, weight, better)."""
+    """Train, save model, coefficients and validation rows, and report on each class."""
     words, matrix, numbered, weights, labelled = _training_rows(spark, sf_dir)
     training = labelled.where("split = 'train'")
-    fitted = classifier.fit_classifier(training, ITERATIONS)
+    fitted = classifier.fit_classifier(training, ITERATIONS, tol=TOLERANCE)
     dim = fitted.numFeatures
     names = labels.label_list(numbered)
     classifier.TopicModel(words, matrix, names, fitted, dim).save(f"{folder}/model")
     labelled.where("split = 'valid'").write.mode("overwrite").parquet(f"{folder}/validation")
-    # The first loss is that of a model which only knows the shares of the classes.
-    losses = list(fitted.summary.objectiveHistory)
+    classifier.coefficient_rows(fitted).write.mode("overwrite").parquet(f"{folder}/coefficients")
     rows = training.groupBy(F.col("label").cast("int").alias("idx")).agg(
         F.count("*").alias("rows"))
-    return numbered.join(rows, "idx").join(weights, "idx").select(
-        "label", "idx", "rows", "weight", F.lit(losses[-1] < losses[0]).alias("better")
-    )
+    slopes = classifier.loss_gradient(fitted, training).groupBy("idx").agg(
+        F.count_if(F.abs("gradient") < NEARLY_ZERO).alias("at_optimum"),
+        F.round(F.max("mass") / F.max("expected"), 2).alias("mass"))
+    return numbered.join(rows, "idx").join(weights, "idx").join(slopes, "idx").select(
+        "label", "idx", "rows", "weight", "at_optimum", "mass")
 
 
 def _trained(spark: SparkSession, sf_dir: str) -> tuple[classifier.TopicModel, DataFrame]:
@@ -87,38 +99,73 @@ def _trained(spark: SparkSession, sf_dir: str) -> tuple[classifier.TopicModel, D
 
 @query(f"""{_LABEL_SQL}, parts AS (SELECT topic, {SPLIT_SQL} AS split FROM topic_pages)
   SELECT label, idx, count(*) FILTER (split = 'train') AS rows,
-    max(count(*)) OVER ()::DOUBLE / count(*) AS weight, true AS better
+    max(count(*)) OVER ()::DOUBLE / count(*) AS weight,
+    (SELECT 1 + max(len(embedding)) FROM embeddings)::BIGINT AS at_optimum, 1::DOUBLE AS mass
   FROM parts JOIN label_index ON label = topic GROUP BY label, idx""")
 def fit_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Training rows and weight of each class, and whether the loss fell."""
+    """Training rows and weight of each class, and how the fitted model stands to them.
+
+    ``at_optimum``: coefficients with nearly no gradient; ``mass``: weight that the model gives
+    the class in the training rows, by the weight of its rows.
+    """
     return _train(spark, sf_dir, _model_folder(spark, sf_dir))
 
 
 @query(f"""{_LABEL_SQL}, parts AS (SELECT topic, {SPLIT_SQL} AS split FROM topic_pages)
-  SELECT idx AS label, count(*)::BIGINT AS rows, true AS consistent
-  FROM parts JOIN label_index ON label = topic WHERE split = 'valid' GROUP BY idx""")
+  , weighted AS (SELECT topic, max(count(*)) OVER ()::DOUBLE / count(*) AS weight
+                 FROM topic_pages GROUP BY topic)
+  SELECT idx AS label, count(*)::BIGINT AS rows, round(sum(weight), 6) AS weight,
+    true AS consistent
+  FROM parts JOIN label_index ON label = parts.topic JOIN weighted w ON w.topic = parts.topic
+  WHERE split = 'valid' GROUP BY idx""")
 def evaluate_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of each true class, and whether accuracy and loss agree with the confusion counts."""
+    """Rows and weight of each true class; accuracy and loss against those of plain SQL scores."""
     model, validation = _trained(spark, sf_dir)
     metrics, confusion = classifier.evaluate_classifier(model.classifier, validation)
     right = F.sum(F.when(F.col("label") == F.col("predicted"), F.col("rows")).otherwise(0))
     share = confusion.agg(right / F.sum("rows")).scalar()
-    consistent = (F.abs(share - metrics["accuracy"]) < 1e-9) & F.lit(metrics["weighted_loss"] > 0)
+    keyed = with_row_key(validation, "key")
+    scores = _sql_scores(spark, sf_dir, keyed.select("key", vector_to_array("features").alias("x")))
+    likely = F.greatest(F.element_at("scores", F.col("label").cast("int") + 1),
+                        F.lit(classifier.LEAST_LIKELY))
+    by_sql = keyed.join(scores, "key").agg(
+        (F.sum(-F.log(likely) * F.col("weight")) / F.sum("weight")).alias("loss"))
+    consistent = (F.abs(share - metrics["accuracy"]) < 1e-9) & (
+        F.abs(by_sql.scalar() - metrics["weighted_loss"]) < 1e-6)
+    weights = validation.groupBy(F.col("label").cast("int").alias("label")).agg(
+        F.round(F.sum("weight"), 6).alias("weight"))
     sums = confusion.groupBy("label").agg(F.sum("rows").alias("rows"))
-    return sums.withColumn("consistent", consistent)
+    return sums.join(weights, "label").withColumn("consistent", consistent)
 
 
-def _shown(scored: DataFrame, key: str) -> DataFrame:
-    """What every scored row must fulfil: whole scores, and the best two topics first."""
+def _sql_scores(spark: SparkSession, sf_dir: str, vectors: DataFrame) -> DataFrame:
+    """(key, scores) of the vectors (key, x), by the written coefficients in plain SQL."""
+    folder = _model_folder(spark, sf_dir)
+    spark.read.parquet(f"{folder}/coefficients").createOrReplaceTempView("model_coefficients")
+    vectors.createOrReplaceTempView("page_vectors")
+    return spark.sql(classifier.SCORES_SQL.format(
+        coefficients="model_coefficients", vectors="page_vectors"))
+
+
+def _shown(spark: SparkSession, sf_dir: str, vectors: DataFrame, key: str) -> DataFrame:
+    """The scored rows: number of scores, how many of them plain SQL has too, the best topics.
+
+    The vectors are written once, for the model and for SQL.
+    """
+    model, _ = _trained(spark, sf_dir)
+    vectors = written_lookup(vectors.select(key, "features"))
+    scored = model.score(vectors)
+    by_sql = _sql_scores(spark, sf_dir, vectors.select(
+        F.col(key).alias("key"), vector_to_array("features").alias("x")))
     best = F.array_max("predictions")
-    total = F.aggregate("predictions", F.lit(0.0), lambda a, x: a + x)
     first = F.element_at("predictions", F.array_position(
         "labels", F.element_at("max2", 1)).cast("int"))
-    return scored.select(
+    close = F.zip_with("predictions", "scores", lambda a, b: (F.abs(a - b) < 1e-5).cast("int"))
+    return scored.join(by_sql.withColumnRenamed("key", key), key).select(
         key,
         F.size("predictions").alias("n_scores"),
         joined(F.array_sort("labels")).alias("labels"),
-        (F.abs(total - 1) < 1e-4).alias("sums_to_one"),
+        F.aggregate(close, F.lit(0), lambda a, x: a + x).alias("n_equal"),
         (first == best).alias("best_first"),
     )
 
@@ -127,7 +174,7 @@ def _shown_sql(key: str, source: str) -> str:
     return f"""WITH {TOPIC_PAGES_SQL}, names AS (
     SELECT count(*)::INTEGER AS n, string_agg(topic, ',' ORDER BY topic) AS labels
     FROM (SELECT DISTINCT topic FROM topic_pages))
-  SELECT {key}, n AS n_scores, labels, true AS sums_to_one, true AS best_first
+  SELECT {key}, n AS n_scores, labels, n AS n_equal, true AS best_first
   FROM {source}, names"""
 
 
@@ -135,13 +182,15 @@ def _shown_sql(key: str, source: str) -> str:
 def predict_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     model, _ = _trained(spark, sf_dir)
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return _shown(model.predict_texts(documents), "doc_id")
+    return _shown(spark, sf_dir, model.vectors(documents), "doc_id")
 
 
 @query(_shown_sql("page_id", "pages"))
 def predict_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     model, _ = _trained(spark, sf_dir)
-    return _shown(model.predict_pages(table(spark, sf_dir, "pages")), "page_id")
+    pages = table(spark, sf_dir, "pages").select(
+        "page_id", html_to_text(F.col("html")).alias("text"))
+    return _shown(spark, sf_dir, model.vectors(pages), "page_id")
 
 
 @query("SELECT page_id, 1::BIGINT AS rows, true AS as_batch FROM pages")

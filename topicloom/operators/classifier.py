@@ -17,6 +17,8 @@ from topicloom.operators.scoring import top_labels
 from topicloom.operators.sequences import SEQUENCE_LENGTH, encode
 from topicloom.scale import lookup_join
 
+#: Weight of the squared coefficients in the loss.
+REG_PARAM = 1e-4
 # Fixed value: least probability that enters the logarithmic loss.
 LEAST_LIKELY = 1e-15
 
@@ -123,14 +125,74 @@ def labelled_vectors(
 
 
 def fit_classifier(
-    training: DataFrame, max_iter: int = 50, reg_param: float = 1e-4
+    training: DataFrame, max_iter: int = 50, reg_param: float = REG_PARAM, tol: float = 1e-6
 ) -> LogisticRegressionModel:
     """Weighted multinomial logistic regression; ``training`` is (features, label, weight)."""
     return LogisticRegression(
-        family="multinomial", weightCol="weight", maxIter=max_iter, regParam=reg_param
+        family="multinomial", weightCol="weight", maxIter=max_iter, regParam=reg_param, tol=tol
     ).fit(training)
 
 
+def coefficient_rows(model: LogisticRegressionModel) -> DataFrame:
+    """(idx, intercept, coefficients): one row per class."""
+    spark = SparkSession.active()
+    rows = [
+        (k, float(b), [float(x) for x in row])
+        for k, (b, row) in enumerate(zip(model.interceptVector.toArray(),
+                                         model.coefficientMatrix.toArray()))
+    ]
+    return spark.createDataFrame(rows, "idx int, intercept double, coefficients array<double>")
+
+
+def loss_gradient(
+    model: LogisticRegressionModel, training: DataFrame, reg_param: float = REG_PARAM
+) -> DataFrame:
+    """(idx, component, gradient, mass, expected): how far the coefficients are from the optimum.
+
+    The gradient of the weighted mean loss with its penalty, by class and component;
+    component 0 is the intercept. ``mass`` is the weight the model gives the class in all
+    rows, ``expected`` the weight of the rows that have it; at the optimum they are equal.
+    One aggregation over the rows.
+    """
+    scored = model.transform(training).select(
+        "weight", F.col("label").cast("int").alias("label"),
+        F.concat(F.array(F.lit(1.0)), vector_to_array("features")).alias("x"),
+        vector_to_array("probability").alias("p"),
+    )
+    by_class = scored.select("weight", "x", "label", F.posexplode("p").alias("idx", "p"))
+    parts = by_class.select(
+        "idx", "weight", "p", (F.col("idx") == F.col("label")).cast("double").alias("y"),
+        F.posexplode("x").alias("component", "x"),
+    )
+    weight, x = F.col("weight"), F.col("x")
+    sums = parts.groupBy("idx", "component").agg(
+        F.sum(weight).alias("total"), F.sum(weight * weight).alias("total_squares"),
+        F.sum(weight * x).alias("sum"),
+        F.sum(weight * x * x).alias("squares"),
+        F.sum(weight * (F.col("p") - F.col("y")) * x).alias("slope"),
+        F.sum(weight * F.col("p")).alias("mass"), F.sum(weight * F.col("y")).alias("expected"),
+    )
+    # The penalty is on the coefficients of features of unit variance.
+    mean = F.col("sum") / F.col("total")
+    spread = F.col("squares") - mean * F.col("sum")
+    variance = spread / (F.col("total") - F.col("total_squares") / F.col("total"))
+    value = F.coalesce(F.try_element_at("coefficients", F.nullif("component", F.lit(0))), F.lit(0.0))
+    gradient = F.col("slope") / F.col("total") + F.lit(reg_param) * variance * value
+    return sums.join(F.broadcast(coefficient_rows(model)), "idx").select(
+        "idx", "component", gradient.alias("gradient"), "mass", "expected")
+
+
+#: Class scores of written vectors (key, x) by written coefficients, in plain SQL.
+SCORES_SQL = """WITH raw AS (
+  SELECT key, c.idx, c.intercept + aggregate(zip_with(x, c.coefficients, (a, b) -> a * b), 0D,
+    (s, v) -> s + v) AS z
+  FROM (SELECT key, x, explode((SELECT collect_list(struct(idx, intercept, coefficients))
+                                FROM {coefficients})) AS c FROM {vectors})),
+tops AS (SELECT key, max(z) AS top, array_agg(struct(idx, z)) AS zs FROM raw GROUP BY key)
+SELECT key, transform(array_sort(zs), e -> exp(e.z - top) /
+  aggregate(zs, 0D, (s, e2) -> s + exp(e2.z - top))) AS scores FROM tops"""
+
+
 def evaluate_classifier(
     model: LogisticRegressionModel, validation: DataFrame
 ) -> tuple[dict[str, float], DataFrame]:
