@@ -18,7 +18,9 @@ from catalog.inputs import (
     vocabulary_sql,
 )
 from catalog.registry import query
+from topicloom.functions.arrays import dense_label
 from topicloom.operators import batches, labels, questions, scoring, sequences, vocabulary
+from topicloom.scale import written_lookup
 
 LENGTH = sequences.SEQUENCE_LENGTH
 SCORED = ["arts", "cars", "food", "games", "health", "home", "music", "news", "sport", "travel"]
@@ -43,8 +45,8 @@ def topic_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = topic_tokens(spark, sf_dir)
     counted, rows = vocabulary.tokens_and_vocab(pages)
     words = vocabulary.dense_word_ids(counted, known_rows=vocabulary.VOCABULARY_SIZE)
-    names = labels.label_list(labels.label_index(labels.category_counts(pages)))
-    return sequences.sequence_features(rows, words, names)
+    numbered = written_lookup(labels.label_index(labels.category_counts(pages)))
+    return sequences.sequence_features(rows, words, numbered)
 
 
 @query(f"{FEATURES_SQL} SELECT * FROM features")
@@ -53,7 +55,7 @@ def sequence_features(spark: SparkSession, sf_dir: str) -> DataFrame:
         "uri",
         F.col("origUri").alias("orig_uri"),
         joined("paddedWords").alias("padded_words"),
-        joined("category").alias("category"),
+        joined(dense_label(F.col("label"))).alias("category"),
     )
 
 
@@ -153,7 +155,8 @@ def drop_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
   FROM questions JOIN encoded USING (question_id) JOIN answer_index USING (answer)""")
 def question_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = questions.question_features(_questions(spark, sf_dir), "question_id")
-    return made.select("question_id", joined("ids").alias("ids"), joined("answer").alias("answer"))
+    return made.select("question_id", joined("ids").alias("ids"),
+                       joined(dense_label(F.col("answer"))).alias("answer"))
 
 
 @query(f"{_QUESTIONS_SQL} SELECT question_id, image_filename, answer FROM questions")

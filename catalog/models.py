@@ -47,11 +47,11 @@ def _training_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
     words = spark.read.parquet(embedded)
     matrix = embeddings.embedding_matrix(words, dim)
     counts = labels.category_counts(pages)
-    numbered = labels.label_index(counts)
+    numbered = written_lookup(labels.label_index(counts))
     weights = labels.weights_by_index(
         labels.class_weights(counts).withColumnRenamed("category", "label"), numbered
     )
-    made = sequences.sequence_features(rows, words, labels.label_list(numbered))
+    made = sequences.sequence_features(rows, words, numbered)
     pooled = scratch_path(spark, "pooled")
     parts = splits.split_dataset(made)
     classifier.labelled_vectors(parts, matrix, dim, weights, keep=["split"]).write.parquet(pooled)

@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from topicloom import schemas
+from topicloom.functions import arrays
 from topicloom.operators import embeddings, sequences, tfidf, vocabulary
 
 PAGES = [
@@ -59,7 +60,11 @@ def test_sequence_features(spark):
         "uri string, origUri string, category string, text string, tokens array<string>",
     )
     words = spark.createDataFrame(WORDS, schemas.VOCABULARY)
-    made = sequences.sequence_features(rows, words, ["news", "sport", "health"], 6)
+    names = spark.createDataFrame([("news", 0), ("sport", 1), ("health", 2)], "label string, idx int")
+    sparse = sequences.sequence_features(rows, words, names, 6)
+    assert {(r.uri, r.label.idx, r.label.size) for r in sparse.collect()} == {
+        ("uri1", 1, 3), ("uri2", 0, 3), ("uri3", 2, 3), ("uri4", 2, 3)}
+    made = sparse.withColumn("label", arrays.dense_label(F.col("label")))
     assert sorted(made.collect()) == [
         ("uri1", "o", [5, 1, 2, 6, 5, 7], [0, 1, 0]),
         ("uri2", "o", [5, 4, 5, 1, 2, 0], [1, 0, 0]),
@@ -68,6 +73,24 @@ def test_sequence_features(spark):
     ]
 
 
+def test_a_million_labels_stay_a_table(spark):
+    rows = spark.createDataFrame(
+        [("u", "o", "label 999999", ["fox"]), ("v", "o", "none", ["fox"]), ("w", "o", None, [])],
+        "uri string, origUri string, category string, tokens array<string>")
+    words = spark.createDataFrame([("fox", 1)], schemas.VOCABULARY)
+    few, many = (
+        spark.range(n).select(F.concat(F.lit("label "), "id").alias("label"),
+                              F.col("id").cast("int").alias("idx")) for n in (5, 1_000_000))
+    few, many = (sequences.sequence_features(rows, words, n, 4) for n in (few, many))
+    assert {(r.uri, r.label.idx, r.label.size) for r in many.collect()} == {
+        ("u", 999_999, 1_000_000), ("v", None, 1_000_000), ("w", None, 1_000_000)}
+    # No label is part of the plan, so it does not grow with them.
+    sizes = [len(df._jdf.queryExecution().optimizedPlan().toString()) for df in (few, many)]
+    assert abs(sizes[0] - sizes[1]) < 3000
+    dense = few.select(arrays.dense_label(F.col("label")).alias("d")).collect()
+    assert all(r.d == [0] * 5 for r in dense)
+
+
 def test_serving_form(spark):
     words = spark.createDataFrame([("fox", 1), ("lazy", 2), ("dog", 3)], schemas.VOCABULARY)
     df = spark.createDataFrame([(["fox", "dog", "lazy"],), (["x", "fox"],)], "tokens array<string>")

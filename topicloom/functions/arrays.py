@@ -35,19 +35,18 @@ def pad_pre(ids: Column, length: int) -> Column:
     return F.slice(F.concat(_zeros(length), ids), -length, length)
 
 
-def one_hot(index: Column, size: int) -> Column:
+def one_hot(index: Column, size: int | Column) -> Column:
     """Array of ``size`` zeros with a one at the 0-based ``index``."""
-    if size == 0:
-        return F.array().cast("array<int>")
-    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: (i == index).cast("int"))
+    if isinstance(size, int):
+        size = F.lit(size)
+    places = F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(
+        F.array().cast("array<int>"))
+    return F.transform(places, lambda i: (i == index).cast("int"))
 
 
-def one_hot_of(value: Column, labels: list[str]) -> Column:
-    """One-hot array of ``value`` over the labels in their order."""
-    if not labels:
-        return F.array().cast("array<int>")
-    in_order = F.array(*[F.lit(label) for label in labels])
-    return F.transform(in_order, lambda label: (label == value).cast("int"))
+def dense_label(label: Column) -> Column:
+    """One-hot array of a sparse label, a struct (idx, size); all zeros where ``idx`` is null."""
+    return one_hot(F.coalesce(label["idx"], F.lit(-1)), label["size"])
 
 
 def parse_floats(parts: Column, tolerant: bool = False) -> Column:

@@ -102,16 +102,14 @@ def labelled_vectors(
     weights: DataFrame | None = None,
     keep: Sequence[str] = (),
 ) -> DataFrame:
-    """(features, label, weight) from feature rows with a one-hot ``category``.
+    """(features, label, weight) from feature rows with a ``label`` (idx, size), or ``category``.
 
-    ``weights`` has (idx, weight); classes without a weight count once. ``keep`` names
+    ``category`` is the label as a one-hot array. ``weights`` has (idx, weight); classes without a weight count once. ``keep`` names
     further columns to carry along.
     """
-    slim = features.select(
-        *keep,
-        "paddedWords",
-        (F.array_position("category", F.lit(1)) - 1).cast("int").alias("idx"),
-    ).where("idx >= 0")
+    sparse = "label" in features.columns
+    idx = F.col("label.idx") if sparse else F.array_position("category", F.lit(1)) - 1
+    slim = features.select(*keep, "paddedWords", idx.cast("int").alias("idx")).where("idx >= 0")
     pooled = page_vectors(slim, matrix, dim)
     if weights is None:
         weighted = pooled.withColumn("weight", F.lit(1.0))

@@ -29,10 +29,25 @@ def label_index(counts: DataFrame) -> DataFrame:
 
 
 def label_list(labels: DataFrame) -> list[str]:
-    """Labels in class order. Every feature row has an array as long as this list."""
+    """Labels in class order, for a model, which has a coefficient for each of them."""
     return [row.label for row in labels.orderBy("idx").collect()]
 
 
+def sparse_labels(
+    rows: DataFrame, labels: DataFrame, column: str, out: str = "label"
+) -> DataFrame:
+    """Replace ``column`` by ``out``, a struct of its class number and the number of classes.
+
+    The class number joins from the label table, whatever its size; it is null for a value
+    that is no label. A row has two numbers instead of an array as long as the table.
+    """
+    numbered = labels.select(F.col("label").alias(column), F.col("idx").alias("_idx"))
+    size = labels.agg(F.count("*").cast("int")).scalar()
+    joined = lookup_join(rows, numbered, column, "left")
+    return joined.withColumn(out, F.struct(F.col("_idx").alias("idx"), size.alias("size"))).drop(
+        "_idx", *([] if out == column else [column]))
+
+
 def known_labels_only(weights: DataFrame, labels: DataFrame) -> DataFrame:
     """Weights of labels that have a class number."""
     return lookup_join(weights, labels.select("label"), "label", "left_semi")

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicloom.functions.arrays import one_hot, pad_pre
+from topicloom.functions.arrays import pad_pre
+from topicloom.operators.labels import sparse_labels
 from topicloom.operators.sequences import token_ids
 from topicloom.operators.vocabulary import answer_index, first_seen_index
-from topicloom.scale import lookup_join
+from topicloom.scale import lookup_join, written_lookup
 
 # Fixed value: default number of ids per question.
 QUESTION_LENGTH = 45
@@ -38,7 +39,7 @@ def question_features(
     length: int = QUESTION_LENGTH,
     as_written: bool = True,
 ) -> DataFrame:
-    """(order_key, ids, answer): left-padded word ids and one-hot answers.
+    """(order_key, ids, answer): left-padded word ids, and answers as (idx, size).
 
     Words are numbered in the order they first appear. By default questions
     are encoded as written, so capitalised words are unknown (0); with ``as_written=False``
@@ -46,19 +47,15 @@ def question_features(
     """
     lowered = questions.withColumn("tokens", question_tokens(F.col("question")))
     index = first_seen_index(lowered, order_key)
-    lookup = answer_index(questions)
-    answers = lookup.count()
+    answers = written_lookup(answer_index(questions)).withColumnRenamed("answer", "label")
     if as_written:
         worded = questions.withColumn("tokens", question_tokens(F.col("question"), lower=False))
     else:
         worded = lowered.withColumn("tokens", F.filter("tokens", lambda w: w != ""))
     slim = worded.select(order_key, "answer", "tokens")
-    numbered = lookup_join(slim, lookup, "answer", "left", known_rows=answers)
+    numbered = sparse_labels(slim, answers, "answer", "answer")
     return token_ids(numbered, index).select(
-        order_key,
-        pad_pre(F.col("ids"), length).alias("ids"),
-        one_hot(F.col("idx"), answers).alias("answer"),
-    )
+        order_key, pad_pre(F.col("ids"), length).alias("ids"), "answer")
 
 
 def read_image_list(spark: SparkSession, root: str) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from topicloom.functions.arrays import drop_zero_ids, fit_post, one_hot_of, pad_post
+from topicloom.functions.arrays import drop_zero_ids, fit_post, pad_post
+from topicloom.operators.labels import sparse_labels
 from topicloom.scale import BROADCAST_ROWS, bounded_arrow, salted_join, with_row_key
 
 # Fixed value: default number of ids per page.
@@ -100,16 +101,14 @@ def encode(
 def sequence_features(
     token_rows: DataFrame,
     vocabulary: DataFrame,
-    labels: list[str],
+    labels: DataFrame,
     length: int = SEQUENCE_LENGTH,
 ) -> DataFrame:
-    """(uri, origUri, paddedWords, category): one feature row per token row.
+    """(uri, origUri, paddedWords, label): one feature row per token row.
 
-    ``category`` becomes a one-hot array over ``labels``. A page without any known word
-    stays, with zeros only.
+    ``label`` is the category as (idx, size) over ``labels`` (label, idx); ``dense_label``
+    makes it a one-hot array. A page without any known word stays, with zeros only.
     """
     slim = token_rows.select("uri", "origUri", "category", "tokens")
-    encoded = encode(slim, vocabulary, length)
-    return encoded.select(
-        "uri", "origUri", "paddedWords", one_hot_of(F.col("category"), labels).alias("category")
-    )
+    numbered = sparse_labels(slim, labels, "category")
+    return encode(numbered, vocabulary, length).select("uri", "origUri", "paddedWords", "label")

@@ -17,7 +17,7 @@ from topicloom.operators.classifier import (
     labelled_vectors,
 )
 from topicloom.operators.embeddings import embedding_matrix, vector_dim, vocab_embeddings
-from topicloom.operators.labels import category_counts, class_weights, label_index, weights_by_index
+from topicloom.operators.labels import category_counts, class_weights, label_index, label_list, weights_by_index
 from topicloom.operators.language import LanguageModel, english_only
 from topicloom.operators.pages import extract_pages
 from topicloom.operators.sequences import SEQUENCE_LENGTH, sequence_features
@@ -30,7 +30,7 @@ from topicloom.sources.readers import (
     load_word_vectors,
     read_class_weights,
     read_json_lines,
-    read_labels,
+    read_label_table,
     read_pages,
     read_vocabulary,
 )
@@ -118,7 +118,7 @@ def build_features(
     def features() -> None:
         rows = spark.read.parquet(tokens_path).withColumn("category", F.explode("categories"))
         vocabulary = read_vocabulary(spark, f"{output_path}/vocabulary")
-        labels = read_labels(spark, f"{output_path}/labels")
+        labels = read_label_table(spark, f"{output_path}/labels")
         made = sequence_features(rows, vocabulary, labels, sequence_length)
         write_features(split_dataset(made), features_path)
 
@@ -147,10 +147,10 @@ def train_topics(
 ) -> tuple[TopicModel, dict[str, float], DataFrame]:
     """Train on the written features, weigh classes, evaluate, save the model."""
     vocabulary = read_vocabulary(spark, f"{output_path}/vocabulary")
-    labels = read_labels(spark, f"{output_path}/labels")
+    numbered = read_label_table(spark, f"{output_path}/labels")
+    labels = label_list(numbered)
     matrix = read_json_lines(spark, f"{output_path}/embeddings", "id int, vector array<float>")
     dim = vector_dim(matrix)
-    numbered = spark.createDataFrame(list(enumerate(labels)), "idx int, label string")
     weights = weights_by_index(
         read_class_weights(spark, f"{output_path}/class-weights"), numbered
     )

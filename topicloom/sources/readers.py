@@ -120,10 +120,14 @@ def read_vocabulary(spark: SparkSession, path: Paths) -> DataFrame:
     )
 
 
+def read_label_table(spark: SparkSession, path: Paths) -> DataFrame:
+    """(label, idx) from files written by ``write_dictionaries``."""
+    return spark.read.schema("label string, idx int").csv(path)
+
+
 def read_labels(spark: SparkSession, path: Paths) -> list[str]:
     """Class labels in class order, from files written by ``write_dictionaries``."""
-    rows = spark.read.schema("label string, idx int").csv(path).orderBy("idx").collect()
-    return [row.label for row in rows]
+    return [row.label for row in read_label_table(spark, path).orderBy("idx").collect()]
 
 
 def read_label_lines(spark: SparkSession, path: Paths) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from topicloom.functions.arrays import dense_label
+
 
 def write_parquet(df: DataFrame, path: str, mode: str = "error") -> None:
     df.write.mode(mode).option("compression", "snappy").parquet(path)
@@ -18,8 +20,11 @@ def write_topic_csv(topics: DataFrame, path: str) -> None:
 def write_features(features: DataFrame, path: str, mode: str = "error") -> None:
     """Features as JSON, one folder per split, written in one pass.
 
-    A reader that wants one split reads only its folder.
+    A reader that wants one split reads only its folder. Sparse labels become the one-hot
+    arrays ``category`` in the files only.
     """
+    if "label" in features.columns:
+        features = features.withColumn("category", dense_label(F.col("label"))).drop("label")
     features.write.mode(mode).partitionBy("split").json(path)
 
 
