@@ -309,3 +309,62 @@ def test_random_string_around_a_fixed_pattern(spark):
     assert spans == {1: [(4, 3, 4 + len(random_string)), (25, 2, 41)], 2: [(7, 2, 27)]}
     clean = {r.doc_id: r.text for r in secrets.redact(found).collect()}
     assert clean == {1: "see [secret] there", 2: "commit [secret] of"}
+
+
+def thue_morse(n, letters):
+    """Words that every polynomial hash modulo a power of two takes for equal."""
+    word = [0]
+    while len(word) < n:
+        word += [1 - x for x in word]
+    return "".join(letters[x] for x in word[:n]), "".join(letters[1 - x] for x in word[:n])
+
+
+def test_words_with_structure_are_told_apart(spark):
+    one, other = thue_morse(1024, "ab")
+    rest = "with some more words that both of these texts have at their end you see"
+    docs = frame(spark, [(1, f"{one} {rest}"), (2, f"{other} {rest}"), (3, f"{one} {rest}"),
+                         (4, one), (5, other)])
+    groups = {r.doc_id: r.component_id
+              for r in jaccard_join.jaccard_groups(docs, words=14, percent=85).collect()}
+    assert groups == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5}
+    items = spark.createDataFrame([(7, one)], "item_id long, text string")
+    found = {r.doc_id: r.n_hit for r in decontamination.find_benchmark(docs, items).collect()}
+    assert found == {1: 1, 2: 0, 3: 1, 4: 1, 5: 0}
+
+
+def test_equal_hashes_do_not_make_a_match():
+    rows = [type("Row", (), {"words": b"one two", "items": [1], "unnamed": False})()]
+    windows = decontamination.Windows(rows)
+    text = np.frombuffer(b"one two one twx", dtype=np.uint8)
+    found = decontamination.find_words(text, np.array([0, 15]), decontamination.WORD_BYTES)
+    same = windows.spelled_at(text, found, np.array([0, 2]), np.array([0, 0]))
+    assert same.tolist() == [True, False]
+
+
+def test_long_runs_and_many_matches(spark):
+    draw = random.Random(8)
+    run = "".join(draw.choice(secrets.ALPHABET[:64]) for _ in range(300_000))
+    many = " ".join(f"{draw.getrandbits(64):016x} é" for _ in range(8_000))
+    docs = frame(spark, [(1, f"see {run} there"), (2, many), (3, "k")])
+    flat = secrets.MarkovModel([1.0] * secrets._SIZE ** 2)
+    found = {r.doc_id: r for r in secrets.redact(secrets.find_secrets(docs, flat)).collect()}
+    # Random letters hold a few fixed patterns; the run around them is judged as a whole.
+    assert [(s.start, s.end) for s in found[1].spans if s.kind == 3] == [(4, 300_004)]
+    assert found[1].text == "see [secret] there"
+    spans = [(m.start(), m.end()) for m in re.finditer(secrets.HEX, many)]
+    assert [(s.start, s.end) for s in found[2].base] == spans and len(spans) == 8_000
+    assert found[2].text == " ".join(["[secret] é"] * 8_000)
+    assert found[3].text == "k" and found[3].spans == []
+
+
+def test_ratio_is_the_sum_over_pairs(spark):
+    draw = random.Random(9)
+    model = secrets.MarkovModel([round(draw.uniform(-2, 2), 6) for _ in range(secrets._SIZE ** 2)])
+    runs = ["ab", "a", "", "é!", "".join(draw.choice(secrets.ALPHABET + "!é") for _ in range(500))]
+    frame_ = spark.createDataFrame([(n, r) for n, r in enumerate(runs)], "n int, run string")
+    found = {r.n: r.ratio for r in frame_.select(
+        "n", model.judge(F.col("run")).alias("ratio")).collect()}
+    for n, r in enumerate(runs):
+        codes = [secrets.ALPHABET.find(c) + 1 for c in r]
+        wanted = sum(model.ratio[a * secrets._SIZE + b] for a, b in zip(codes, codes[1:]))
+        assert found[n] == pytest.approx(wanted)

@@ -4,8 +4,8 @@ Every item is cut into windows of consecutive words. A window is the set of its
 which are ordered by rarity: by how often they occur in all documents, then by hash. A
 window lies in a document only if all its shingles do, so one prefix shingle per window, its
 rarest, is enough to look for. Where a document has that shingle, its place in the window
-gives the only place the window can have; it must lie within the document, and every word
-must be the same there.
+gives the only place the window can have; it must lie within the document, and every byte of
+every word must be the same there.
 
 Only the shingles of the items are counted and only windows of the items are sent to the
 tasks, in blocks of bounded size; documents are not moved.
@@ -48,7 +48,7 @@ _HIT = "array<struct<first: int, last: int>>"
 
 
 def item_windows(items: DataFrame, key: str, text: str, window: int) -> DataFrame:
-    """(words, lengths, items, unnamed): distinct windows as word hashes and byte lengths.
+    """(words, items, unnamed): distinct windows, their words joined by spaces.
 
     ``items`` has the ids of their items, ``unnamed`` tells whether one of these has none.
     """
@@ -57,24 +57,22 @@ def item_windows(items: DataFrame, key: str, text: str, window: int) -> DataFram
         lower = lower_ascii()
         for rows, data, offsets in blocks(batches, text):
             found = find_words(lower[data], offsets, WORD_BYTES)
-            size = found.ends - found.starts
-            out = ([], [], [])
+            spelled = [lower[data[x:y]].tobytes() for x, y in zip(found.starts, found.ends)]
+            out = ([], [])
             for item, a, b in zip(rows.column(key).to_pylist(), found.first, found.first[1:]):
                 for start in range(a, max(b - window, a) + 1 if b > a else a):
                     stop = min(start + window, b)
-                    out[0].append(found.hashes[start:stop].view(np.int64))
-                    out[1].append(size[start:stop].astype(np.int32))
-                    out[2].append(item)
+                    out[0].append(b" ".join(spelled[start:stop]))
+                    out[1].append(item)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out[0], pa.list_(pa.int64())), pa.array(out[1], pa.list_(pa.int32())),
-                 pa.array(out[2], pa.int64())],
-                names=["words", "lengths", "item"],
+                [pa.array(out[0], pa.binary()), pa.array(out[1], pa.int64())],
+                names=["words", "item"],
             )
 
     narrow = items.select(F.col(key).try_cast("long").alias(key), F.col(text).alias(text))
-    windows = narrow.mapInArrow(run, "words array<long>, lengths array<int>, item long")
+    windows = narrow.mapInArrow(run, "words binary, item long")
     # Null ids are left out of the list only.
-    return windows.groupBy("words", "lengths").agg(
+    return windows.groupBy("words").agg(
         F.collect_set("item").alias("items"), F.bool_or(F.col("item").isNull()).alias("unnamed"))
 
 
@@ -84,8 +82,17 @@ class Windows:
     def __init__(self, rows: list) -> None:
         self.items = [sorted(row.items) for row in rows]
         self.unnamed = np.array([row.unnamed for row in rows], dtype=bool)
-        self.words = [np.array(row.words, dtype=np.int64).view(np.uint64) for row in rows]
-        self.lengths = [np.array(row.lengths, dtype=np.int64) for row in rows]
+        joined = b"".join(row.words for row in rows)
+        size = np.array([len(row.words) for row in rows], dtype=np.int64)
+        found = find_words(np.frombuffer(joined, dtype=np.uint8),
+                           np.concatenate([[0], np.cumsum(size)]), WORD_BYTES)
+        bounds = list(zip(found.first[:-1], found.first[1:]))
+        self.words = [found.hashes[a:b] for a, b in bounds]
+        self.lengths = [(found.ends - found.starts)[a:b] for a, b in bounds]
+        #: Letters of all windows without the spaces, and where those of each window begin.
+        self.letters = np.frombuffer(joined.replace(b" ", b""), dtype=np.uint8)
+        self.begin = np.concatenate([[0], np.cumsum([n.sum() for n in self.lengths])]).astype(
+            np.int64)
         hashes, window, place, sizes = [], [], [], []
         for number, words in enumerate(self.words):
             size = min(SHINGLE, len(words))
@@ -121,6 +128,18 @@ class Windows:
         bits[(self.shingles >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
         return bits
 
+    def spelled_at(self, data, found: Words, start: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """Whether the windows' words, of the same lengths as those there, are the same bytes."""
+        count = np.array([len(self.words[n]) for n in number], dtype=np.int64)
+        before = np.cumsum(count) - count
+        word = np.repeat(start - before, count) + np.arange(count.sum())
+        size = found.ends[word] - found.starts[word]
+        place = np.repeat(found.starts[word] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        letters = self.begin[number + 1] - self.begin[number]
+        first = np.cumsum(letters) - letters
+        wanted = np.repeat(self.begin[number] - first, letters) + np.arange(letters.sum())
+        return np.logical_and.reduceat(data[place] == self.letters[wanted], first)
+
     def hits(self, found: Words, bits: np.ndarray):
         """Yield (places in the block's shingles, positions of their first words)."""
         for size in self.sizes:
@@ -169,7 +188,8 @@ def _matches(docs: DataFrame, keys: list[str], text: str, shared) -> DataFrame:
         begin = np.searchsorted(windows.hash, windows.shingles, side="left")
         end = np.searchsorted(windows.hash, windows.shingles, side="right")
         for rows, data, offsets in blocks(batches, text):
-            found = find_words(lower[data], offsets, WORD_BYTES)
+            data = lower[data]
+            found = find_words(data, offsets, WORD_BYTES)
             length = found.ends - found.starts
             text_of = found.text_of
             starts, numbers = [], []
@@ -202,6 +222,12 @@ def _matches(docs: DataFrame, keys: list[str], text: str, shared) -> DataFrame:
                         & (length[cells] == widths[index[part]])
                     ).all(axis=1)
             start, number = start[equal], number[equal]
+            same = [windows.spelled_at(data, found, start[low:low + (1 << 14)],
+                                       number[low:low + (1 << 14)])
+                    for low in range(0, len(start), 1 << 14)]
+            if same:
+                same = np.concatenate(same)
+                start, number = start[same], number[same]
             edge = np.zeros(len(found.hashes) + 1, dtype=np.int64)
             np.add.at(edge, start, 1)
             np.add.at(edge, start + sizes[number], -1)
@@ -263,7 +289,7 @@ def find_benchmark(
     more = [c for c in dict.fromkeys(keep) if c != key]
     if parts <= 1:
         return _find_block(docs, [key, *more], text, windows.collect(), spark)
-    dealt = windows.withColumn("_block", F.pmod(F.hash("words", "lengths"), F.lit(parts)))
+    dealt = windows.withColumn("_block", F.pmod(F.hash("words"), F.lit(parts)))
     dealt = stored(dealt, "window-blocks")
     keyed = with_row_key(docs.select(*dict.fromkeys([key, text, *more])))
     found = [

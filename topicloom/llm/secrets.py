@@ -13,13 +13,16 @@ searched over its whole text.
 
 Defined cases: a null text counts as empty and has no span. Matches of a pattern do not
 overlap; those of different patterns may. A string that lies within a match of a fixed pattern
-is not added; one that only overlaps it is judged whole and added beside it. Places count code points from 0, the end is exclusive. Repeated rows are
-searched each; null keys and other columns are kept.
+is not added; one that only overlaps it is judged whole and added beside it. Places count code
+points from 0, the end is exclusive. A very long text, run or list of matches costs in proportion
+to its length, or nearly so. Spans of equal place go by their kind. Repeated rows are searched
+each; null keys and other columns are kept. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -60,24 +63,46 @@ def _sum(lengths: Column) -> Column:
     return F.aggregate(lengths, F.lit(0), lambda total, n: total + n)
 
 
-def _running(lengths: Column) -> Column:
-    """Sums of the elements before each element, block by block to stay near linear."""
-    n = F.size(lengths)
-    heads = F.sequence(F.lit(0), F.ceil(n / _BLOCK).cast("int") - 1)
-    parts = F.transform(heads, lambda b: F.slice(lengths, b * _BLOCK + 1, F.lit(_BLOCK)))
-
-    def before(part: Column, at: Column) -> Column:
-        start = _sum(F.transform(F.slice(parts, F.lit(1), at), _sum))
-        first = F.struct(start.alias("at"), F.array().cast("array<int>").alias("all"))
-        done = F.aggregate(
-            part, first,
-            lambda acc, x: F.struct(
-                (acc["at"] + x).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all")
-            ),
-        )
-        return done["all"]
+def _most(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0), lambda most, n: F.greatest(most, n))
+
+
+def _running(
+    values: Column, whole: Callable[[Column], Column] = _sum,
+    step: Callable[[Column, Column], Column] = lambda total, n: total + n,
+) -> Column:
+    """``whole`` of the elements before each element, block by block to stay near linear.
+
+    ``step`` adds one element to what is known of those before.
+    """
+    n = F.size(values)
+    heads = F.when(n > 0, F.sequence(F.lit(0), F.ceil(n / _BLOCK).cast("int") - 1)).otherwise(
+        F.array().cast("array<int>"))
+    parts = F.transform(heads, lambda b: F.slice(values, b * _BLOCK + 1, F.lit(_BLOCK)))
+
+    def before(parts: Column) -> Column:
+        of_parts = F.transform(parts, whole)
+
+        def within(part: Column, at: Column) -> Column:
+            start = whole(F.slice(of_parts, F.lit(1), at))
+            first = F.struct(start.alias("at"), F.array().cast("array<int>").alias("all"))
+            done = F.aggregate(
+                part, first,
+                lambda acc, x: F.struct(
+                    step(acc["at"], x).alias("at"),
+                    F.concat(acc["all"], F.array(acc["at"])).alias("all")),
+            )
+            return done["all"]
 
-    return F.flatten(F.transform(parts, before))
+        return F.flatten(F.transform(parts, within))
+
+    # Named once, so that the parts are not cut again for each of them.
+    return F.element_at(F.transform(F.array(parts), before), 1)
+
+
+def _most_before(values: Column) -> Column:
+    """The greatest of the elements before each element, at least 0."""
+    return _running(values, _most, lambda most, n: F.greatest(most, n))
 
 
 def _places(found: Column, between: Column, kind: int) -> Column:
@@ -127,10 +152,51 @@ def _with_matches(docs: DataFrame, text: str) -> DataFrame:
                                    span["end"].alias("end"), run.alias("run")),
     )
     placed = cut.select(*docs.columns, spans.alias("_spans"), judged.alias("_judged"))
-    return placed.select(*docs.columns, "_spans", F.filter(
-        "_judged", lambda r: ~F.exists(
-            "_spans", lambda s: (s["start"] <= r["start"]) & (r["end"] <= s["end"])
-        )).alias("_runs"))
+    return placed.select(*docs.columns, "_spans", F.when(
+        F.size("_judged") > 0, _outside("_judged", "_spans")).otherwise(
+            F.col("_judged")).alias("_runs"))
+
+
+def _outside(runs: str, spans: str) -> Column:
+    """The runs that no span holds whole: both lists in one order, then the furthest end so far.
+
+    Where a span and a run begin together the span comes first.
+    """
+    marked = F.array_sort(F.concat(
+        F.transform(spans, lambda s: F.struct(
+            s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"),
+            F.lit("").alias("run"))), F.col(runs)))
+    run_kind = KINDS.index("markov")
+
+    def kept(marked: Column) -> Column:
+        ends = F.transform(marked, lambda m: F.when(m["kind"] == run_kind, 0).otherwise(m["end"]))
+        judged = F.zip_with(marked, _most_before(ends), lambda m, end: F.when(
+            (m["kind"] == run_kind) & (m["end"] > end), m))
+        return F.filter(judged, lambda m: m.isNotNull())
+
+    return F.element_at(F.transform(F.array(marked), kept), 1)
+
+
+def _pair_codes(run: Column) -> Column:
+    """Pairs (a, b) of the numbers of adjacent characters, by one walk over the string."""
+    codes = F.transform(F.filter(F.split(run, ""), lambda c: c != ""), _code)
+
+    def pairs(codes: Column) -> Column:
+        return F.zip_with(
+            F.slice(codes, F.lit(1), F.greatest(F.size(codes) - 1, F.lit(0))),
+            F.slice(codes, F.lit(2), F.greatest(F.size(codes) - 1, F.lit(0))),
+            lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+    return F.element_at(F.transform(F.array(codes), pairs), 1)
+
+
+def _wide(text: Column) -> Column:
+    """Four bytes per character, so that a piece is found without a walk from the start."""
+    return F.encode(text, "UTF-32")
+
+
+def _piece(wide: Column, start: Column, length: Column) -> Column:
+    return F.decode(F.substring(wide, 4 * start + 1, 4 * length), "UTF-32")
 
 
 @dataclass(frozen=True)
@@ -143,13 +209,9 @@ class MarkovModel:
         """The ratio of a whole string, as a column."""
         table = F.split(F.lit(",".join(f"{x:.6f}" for x in self.ratio)), ",").cast("array<double>")
 
-        pairs = F.sequence(F.lit(1), F.length(run) - 1)
         return F.aggregate(
-            pairs, F.lit(0.0),
-            lambda total, i: total + F.element_at(
-                table, _code(F.substring(run, i, F.lit(1))) * _SIZE
-                + _code(F.substring(run, i + 1, F.lit(1))) + 1
-            ),
+            _pair_codes(run), F.lit(0.0),
+            lambda total, p: total + F.element_at(table, p["a"] * _SIZE + p["b"] + 1),
         )
 
 
@@ -170,9 +232,9 @@ def train_markov(docs: DataFrame, text: str = "text", most_rows: int = MOST_ROWS
 
     chosen = sample(most_rows)
     found = _with_matches(chosen, "text")
-    value = F.col("text")
+    found = found.where(F.size("_spans") > 0).withColumn("_wide", _wide(F.col("text")))
     random = F.transform("_spans", lambda s: F.struct(
-        F.substring(value, s["start"] + 1, s["end"] - s["start"]).alias("run"),
+        _piece(F.col("_wide"), s["start"], s["end"] - s["start"]).alias("run"),
         F.lit(1).alias("random")))
     # Of an assignment only the value is random.
     random = F.transform(random, lambda r: F.struct(
@@ -183,12 +245,7 @@ def train_markov(docs: DataFrame, text: str = "text", most_rows: int = MOST_ROWS
     ordinary = sample(min(most_rows, WORD_ROWS)).select(F.explode(words).alias("run"))
     strings = strings.unionByName(ordinary.withColumn("random", F.lit(0)))
     strings = strings.where(F.length("run") > 1)
-    run = F.col("run")
-    pairs = strings.select("random", F.explode(F.transform(
-        F.sequence(F.lit(1), F.length(run) - 1),
-        lambda i: F.struct(_code(F.substring(run, i, F.lit(1))).alias("a"),
-                           _code(F.substring(run, i + 1, F.lit(1))).alias("b")),
-    )).alias("p"))
+    pairs = strings.select("random", F.explode(_pair_codes(F.col("run"))).alias("p"))
     # At most two rows per pair of characters of the alphabet.
     counts = {
         (row.random, row.a, row.b): row.n
@@ -245,18 +302,14 @@ def span_names(spans: Column) -> Column:
 def redact(docs: DataFrame, found_spans: str = "spans", text: str = "text") -> DataFrame:
     """Replace every span by ``[secret]``; overlapping spans become one."""
     value = F.col(text)
-    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
-
-    def add(acc: Column, s: Column) -> Column:
-        apart = s["start"] >= acc["at"]
-        gap = F.substring(value, acc["at"] + 1, s["start"] - acc["at"])
-        return F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(apart, F.concat(acc["text"], gap, F.lit("[secret]"))).otherwise(
-                acc["text"]).alias("text"),
-        )
+    ends = F.transform(found_spans, lambda s: s["end"])
+
+    def pieces(wide: Column) -> Column:
+        before = F.zip_with(found_spans, _most_before(ends), lambda s, at: F.when(
+            s["start"] >= at,
+            F.concat(_piece(wide, at, s["start"] - at), F.lit("[secret]"))).otherwise(F.lit("")))
+        last = _piece(wide, _most(ends), F.length(wide))
+        return F.array_join(F.concat(before, F.array(last)), "")
 
-    done = F.aggregate(found_spans, first, add)
-    rest = F.concat(done["text"], F.substring(value, done["at"] + 1, F.length(value)))
-    clean = F.when(F.size(found_spans) > 0, rest).otherwise(value)
-    return docs.withColumn(text, clean)
+    joined = F.element_at(F.transform(F.array(_wide(value)), pieces), 1)
+    return docs.withColumn(text, F.when(F.size(found_spans) > 0, joined).otherwise(value))
