@@ -318,10 +318,15 @@ def _verified(
         return pa.array(out, pa.bool_())
 
     def with_both(pairs: DataFrame, column: str) -> DataFrame:
-        left = sets.select(F.col("doc").alias("a"), F.col(column).alias("left"))
-        right = sets.select(F.col("doc").alias("b"), F.col(column).alias("right"))
+        # Only the sets of these pairs move: the list is sent where its measured size allows.
+        named = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
+        own = lookup_join(sets.select("doc", column), scratch.keep(named, "jaccard-named"), "doc",
+                          "left_semi")
+        left = own.select(F.col("doc").alias("a"), F.col(column).alias("left"))
+        right = own.select(F.col("doc").alias("b"), F.col(column).alias("right"))
         return pairs.select("a", "b").join(left, "a").join(right, "b")
 
+    pairs = scratch.keep(pairs.select("a", "b"), "jaccard-pairs")
     near = with_both(pairs, "codes").where(may("left", "right"))
     near = scratch.keep(near.select("a", "b").distinct(), "jaccard-near")
     return with_both(near, "shingles").where(linked("left", "right")).select("a", "b").distinct()
