@@ -8,6 +8,7 @@ computes from the written coefficients.
 
 from __future__ import annotations
 
+import dataclasses
 import hashlib
 import inspect
 
@@ -23,6 +24,7 @@ from topicloom.operators import classifier, embeddings, labels, sequences, split
 from topicloom.scale import with_row_key, written_lookup
 from topicloom.session import scratch_path, shared_folder
 from topicloom.sources.materialize import Place, Step
+from topicloom.streaming.models import PublishedModels
 from topicloom.streaming.predict import read_page_stream
 from topicloom.streaming.predict import stream_predict as start_stream
 
@@ -193,6 +195,31 @@ def predict_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(spark, sf_dir, model.vectors(pages), "page_id")
 
 
+@query("""SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 1 ELSE 2 END AS version, 1::BIGINT AS rows,
+    page_id % 2 = 0 AS as_first FROM pages""")
+def stream_published_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages scored by a stream while a second model is published, with the version used.
+
+    The second model is the first with its labels the other way round, so its best topics differ.
+    """
+    model, _ = _trained(spark, sf_dir)
+    models = PublishedModels(spark, scratch_path(spark, "published"))
+    pages, folder = table(spark, sf_dir, "pages"), scratch_path(spark, "arriving")
+    output, progress = scratch_path(spark, "predicted"), scratch_path(spark, "predicted-progress")
+    reverse = dataclasses.replace(model, labels=model.labels[::-1])
+    for half, published in enumerate((model, reverse)):
+        models.publish(published)
+        pages.where(F.col("page_id") % 2 == half).write.mode("append").parquet(folder)
+        stream = read_page_stream(spark, folder, pages.schema, "parquet")
+        start_stream(stream, models, output, progress, available_now=True).awaitTermination()
+    first = model.predict_pages(pages).select("page_id", F.col("max2").alias("by_first"))
+    streamed = spark.read.parquet(output)
+    return streamed.join(first, "page_id").groupBy(
+        "page_id", F.col("modelVersion").alias("version")).agg(
+        F.count("*").alias("rows"),
+        F.bool_and(F.col("max2") == F.col("by_first")).alias("as_first"))
+
+
 @query("SELECT page_id, 1::BIGINT AS rows, true AS as_batch FROM pages")
 def stream_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that the stream wrote per page, and whether they equal those of the batch."""

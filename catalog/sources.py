@@ -21,7 +21,8 @@ from catalog.pages import SPLIT_SQL
 from catalog.registry import query
 from topicloom.operators import embeddings, labels, splits
 from topicloom.session import scratch_path
-from topicloom.sources import readers, writers
+from topicloom import schemas
+from topicloom.sources import gzip_lines, readers, writers
 from topicloom.sources.materialize import Step
 
 
@@ -41,6 +42,68 @@ def read_pages_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.read_pages(spark, path)
 
 
+_BROKEN = "page_id % 7 = 3"
+
+
+@query(f"""SELECT 'page' AS part, url AS name, html AS content, 1::BIGINT AS n FROM pages
+    WHERE NOT {_BROKEN}
+  UNION ALL SELECT 'malformed', 'line', '{{"domain": "' || url || '", "text":', 1 FROM pages
+    WHERE {_BROKEN}
+  UNION ALL SELECT 'all', 'lines', NULL, count(*) FROM pages""")
+def read_pages_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Good pages and quarantined lines of JSON files of which every seventh line is cut."""
+    path = scratch_path(spark, "checked")
+    whole = F.to_json(F.struct(F.col("url").alias("domain"), F.col("html").alias("text")))
+    cut = F.concat(F.lit('{"domain": "'), "url", F.lit('", "text":'))
+    table(spark, sf_dir, "pages").select(
+        F.when(F.expr(_BROKEN), cut).otherwise(whole).alias("value")
+    ).repartition(3).write.text(path, compression="gzip")
+    pages, malformed = readers.read_pages_checked(spark, path, scratch_path(spark, "quarantine"))
+    # A line is told by its file, piece and number: no two are the same.
+    placed = malformed.groupBy("file", "block_start", "line", "record").agg(F.count("*").alias("n"))
+    lines = pages.select(F.lit(1)).union(malformed.select(F.lit(1)))
+    return readers.concat_sources([
+        pages.select(F.lit("page").alias("part"), F.col("domain").alias("name"),
+                     F.col("text").alias("content"), F.lit(1).cast("long").alias("n")),
+        placed.select(F.lit("malformed").alias("part"), F.lit("line").alias("name"),
+                      F.col("record").alias("content"), "n"),
+        lines.agg(F.count("*").alias("n")).select(
+            F.lit("all").alias("part"), F.lit("lines").alias("name"),
+            F.lit(None).cast("string").alias("content"), "n"),
+    ])
+
+
+@query(f"WITH {CRAWLED_SQL} SELECT orig_domain, domain, categories, text FROM crawled")
+def read_gzip_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crawled pages from gzipped files of several members, several tasks per file."""
+    path = scratch_path(spark, "members")
+    lines = crawled(spark, sf_dir).select(F.to_json(F.struct("*")).alias("value"))
+    gzip_lines.write_gzip_members(lines, path, rows_per_member=20)
+    read = gzip_lines.read_gzip_lines(spark, path, range_bytes=16 << 10)
+    return read.select(F.from_json("value", schemas.CRAWLED_PAGE).alias("p")).select("p.*")
+
+
+@query("""SELECT (row_number() OVER (ORDER BY doc_id) - 1)::INTEGER AS idx,
+    lang || ' ' || source || ' ' || doc_id AS label FROM documents""")
+def read_label_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A label per line; the line number is the class."""
+    path = scratch_path(spark, "label-lines")
+    label = F.concat_ws(" ", "lang", "source", "doc_id")
+    table(spark, sf_dir, "documents").orderBy("doc_id").select(label.alias("value")).write.text(path)
+    return readers.read_label_lines(spark, path).select("idx", "label")
+
+
+@query("""SELECT (row_number() OVER (ORDER BY vec_id) - 1)::INTEGER AS id,
+    unnest(range(len(embedding)))::INTEGER AS pos, unnest(embedding)::DOUBLE AS value
+  FROM embeddings""")
+def read_matrix_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vector per line; the line number is the word id."""
+    path = scratch_path(spark, "matrix-lines")
+    table(spark, sf_dir, "embeddings").orderBy("vec_id").select(
+        F.col("embedding").alias("vector")).write.json(path)
+    return components(readers.read_matrix_lines(spark, path), "id")
+
+
 @query("""SELECT source AS name, source || ',' || min(lang) || '/' || source AS includes,
     CASE WHEN min(lang) = max(lang) THEN '' ELSE max(lang) || '/' || source END AS excludes
   FROM documents GROUP BY source""")

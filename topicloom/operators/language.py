@@ -45,6 +45,12 @@ class LanguageModel:
     languages: list[str]
     grams: DataFrame
 
+    @property
+    def version(self) -> int:
+        """A number that follows from the rows of the model."""
+        row = F.xxhash64("gram", F.transform("logs", lambda x: F.round(x, 6)))
+        return self.grams.agg(F.coalesce(F.bit_xor(row), F.lit(0))).first()[0]
+
     def scores(
         self, texts: DataFrame, key: str, text: str, max_broadcast_rows: int = BROADCAST_ROWS
     ) -> DataFrame:

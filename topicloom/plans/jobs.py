@@ -1,7 +1,7 @@
 """The batch jobs: crawled pages to topic pages, topic pages to features, features to a model.
 
-Each part is a ``Step``, so a job that was cut short goes on where it
-stopped.
+Each part is a ``Step``, so a job that was cut short goes on where it stopped, and a changed
+input or parameter makes just the parts that depend on it run again.
 """
 
 from __future__ import annotations
@@ -63,8 +63,12 @@ def process_pages(
         pages = spark.read.parquet(text_output)
         write_parquet(map_to_topics(pages, rules, segment_aware, dedupe), clean_output)
 
-    Step(spark, [text_output], later=[clean_output]).run(extract)
-    Step(spark, [clean_output]).run(classify)
+    crawl = [raw_input] if isinstance(raw_input, str) else raw_input
+    Step(spark, [text_output], later=[clean_output], inputs=crawl,
+         parameters={"languages": language_model.languages,
+                     "model": language_model.version}).run(extract)
+    Step(spark, [clean_output], inputs=[text_output, rules_path],
+         parameters={"segment_aware": segment_aware, "dedupe": dedupe}).run(classify)
     return spark.read.parquet(clean_output)
 
 
@@ -123,9 +127,12 @@ def build_features(
         write_features(split_dataset(made), features_path)
 
     later = [*dictionary_paths, features_path]
-    Step(spark, [tokens_path], later=later).run(tokenise)
-    Step(spark, dictionary_paths, later=[features_path]).run(dictionaries)
-    Step(spark, [features_path]).run(features)
+    vectors = [vectors_path] if isinstance(vectors_path, str) else vectors_path
+    Step(spark, [tokens_path], later=later, inputs=[clean_path]).run(tokenise)
+    Step(spark, dictionary_paths, later=[features_path], inputs=[tokens_path, *vectors],
+         parameters={"vocabulary_size": vocabulary_size}).run(dictionaries)
+    Step(spark, [features_path], inputs=[tokens_path, *dictionary_paths],
+         parameters={"sequence_length": sequence_length}).run(features)
     return read_features(spark, output_path)
 
 

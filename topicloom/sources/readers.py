@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from topicloom import schemas
 from topicloom.functions.arrays import parse_floats
 from topicloom.functions.text import trim_line
-from topicloom.scale import dense_index
+from topicloom.scale import dense_index, lookup_join
 
 Paths = str | list[str]
 
@@ -52,6 +52,41 @@ def read_pages(spark: SparkSession, path: Paths, partitions: int | None = None)
     return pages.repartition(partitions) if partitions else pages
 
 
+def read_pages_checked(
+    spark: SparkSession, path: Paths, folder: str, schema: str = schemas.CRAWLED_PAGE
+) -> tuple[DataFrame, DataFrame]:
+    """(pages, malformed): ``read_pages`` with the lines that are no JSON of the schema set apart.
+
+    The input is read and parsed once; both parts are written below ``folder``. ``malformed``
+    has the file, the first byte of the part of the file that was read as one piece (0 for
+    gzipped files), the number of the line in that piece from 1, and the line itself. Every
+    line that is not blank is in one of the two.
+    """
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block_start"),
+        F.monotonically_increasing_id().alias("_line"),
+    )
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    parsed = lines.withColumn("page", F.from_json("value", f"{schema}, _corrupt string", options))
+    bad = F.col("page._corrupt").isNotNull() | F.col("page").isNull()
+    blank = F.trim(F.regexp_replace("value", r"\s+", " ")) == ""
+    parsed.select(
+        F.when(blank, "blank").when(bad, "malformed").otherwise("pages").alias("part"),
+        F.when(bad & ~blank, F.col("value")).alias("record"),
+        F.when(~bad, F.col("page").dropFields("_corrupt")).alias("page"),
+        F.struct("file", "block_start", "_line").alias("place"),
+    ).write.partitionBy("part").parquet(folder)
+    made = spark.read.parquet(folder)
+    # One row per piece of a file; its first line tells where its numbers begin.
+    first = made.groupBy("place.file", "place.block_start").agg(
+        F.min("place._line").alias("_first"))
+    malformed = made.where("part = 'malformed'").select("place.*", "record")
+    numbered = lookup_join(malformed, first, ["file", "block_start"]).select(
+        "file", "block_start", (F.col("_line") - F.col("_first") + 1).alias("line"), "record")
+    return made.where("part = 'pages'").select("page.*"), numbered
+
+
 def read_json_lines(spark: SparkSession, path: Paths, schema: str) -> DataFrame:
     """JSON lines over files, folders or globs; gzipped files are read as they are."""
     return spark.read.schema(schema).json(path)

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from topicloom.operators.classifier import TopicModel
+from topicloom.streaming.models import PublishedModels
 
 
 def read_page_stream(
@@ -31,7 +33,7 @@ def read_page_stream(
 
 def stream_predict(
     pages: DataFrame,
-    model: TopicModel,
+    model: TopicModel | PublishedModels,
     output: str,
     checkpoint: str,
     page: str = "html",
@@ -43,10 +45,18 @@ def stream_predict(
     Every micro-batch is scored by ``predict_pages`` as a batch, so a model of any size will
     do. A batch that is repeated after a failure replaces its own folder: each page file is
     scored exactly once in the output.
+
+    With published models the pointer is read at each micro-batch: a model published while the
+    stream runs is taken up by the next one, without a restart. Every row then has the
+    version of its model as ``modelVersion``.
     """
 
     def score(batch: DataFrame, number: int) -> None:
-        scored = model.predict_pages(batch, page)
+        if isinstance(model, PublishedModels):
+            version, newest = model.latest()
+            scored = newest.predict_pages(batch, page).withColumn("modelVersion", F.lit(version))
+        else:
+            scored = model.predict_pages(batch, page)
         scored.write.mode("overwrite").parquet(f"{output}/batch={number}")
 
     trigger = {"availableNow": True} if available_now else {"processingTime": interval}
