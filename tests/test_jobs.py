@@ -1,5 +1,6 @@
 """The jobs end to end, and the stream against the batch."""
 
+import dataclasses
 import json
 
 import pytest
@@ -11,6 +12,7 @@ from topicloom.operators.language import fit_language_model
 from topicloom.operators.splits import split_report
 from topicloom.operators.classifier import TopicModel
 from topicloom.plans import jobs
+from topicloom.streaming.models import PublishedModels
 from topicloom.streaming.predict import read_page_stream, stream_predict
 from pyspark.sql import functions as F
 
@@ -148,3 +150,60 @@ def test_saved_models_follow_the_tables(spark, tmp_path, monkeypatch):
     more.write.mode("append").parquet(f"{tmp_path}/documents.parquet")
     assert models._trained(spark, str(tmp_path))[1].count() == n + 10
     assert trained == [n, n + 10]
+
+
+def test_changed_rules_and_sizes_run_the_later_steps_only(spark, world, tmp_path):
+    root, _, _, language = world
+    rules = tmp_path / "rules.jl"
+    rules.write_text('{"name":"sport","filters":{"includes":["Sports"]}}\n')
+
+    def job(size, length):
+        jobs.process_pages(spark, f"{root}/pages.jl", f"{tmp_path}/text", str(rules),
+                           f"{tmp_path}/clean", language)
+        jobs.build_features(spark, f"{tmp_path}/clean", f"{root}/vectors.txt", f"{tmp_path}/out",
+                            vocabulary_size=size, sequence_length=length)
+        made = ("text", "clean", "out/tokens", "out/vocabulary", "out/features")
+        return [(tmp_path / name / "_SUCCESS").stat().st_mtime_ns for name in made]
+
+    def changed(before, after):
+        return [a != b for a, b in zip(before, after)]
+
+    first = job(50, 30)
+    again = job(50, 30)
+    assert changed(first, again) == [False] * 5
+    longer = job(50, 31)
+    assert changed(again, longer) == [False, False, False, False, True]
+    smaller = job(40, 31)
+    assert changed(longer, smaller) == [False, False, False, True, True]
+    rules.write_text('{"name":"food","filters":{"includes":["Recreation/Food"]}}\n')
+    assert changed(smaller, job(40, 31)) == [False, True, True, True, True]
+
+
+def test_stream_takes_up_published_models(spark, world, tmp_path):
+    root = world[0]
+    trained, _, _ = jobs.train_topics(spark, f"{root}/out", f"{tmp_path}/model", 20, 30)
+    other = dataclasses.replace(trained, labels=trained.labels[::-1])
+    models_ = PublishedModels(spark, f"{tmp_path}/published")
+    with pytest.raises(ValueError, match="no model"):
+        models_.latest()
+    assert models_.publish(trained) == 1
+    schema = "html string, n int"
+    texts = [(f"<p>{SPORT}</p>", 1), (f"<p>{FOOD}</p>", 2)]
+
+    def arrive(number):
+        spark.createDataFrame(texts, schema).withColumn("n", F.col("n") + 10 * number).coalesce(
+            1).write.mode("append").json(f"{tmp_path}/in")
+
+    arrive(0)
+    stream = read_page_stream(spark, f"{tmp_path}/in", schema)
+    running = stream_predict(stream, models_, f"{tmp_path}/out", f"{tmp_path}/progress",
+                             interval="0 seconds")
+    running.processAllAvailable()
+    # Published while the stream runs: the next batch has it.
+    assert PublishedModels(spark, f"{tmp_path}/published").publish(other) == 2
+    arrive(1)
+    running.processAllAvailable()
+    running.stop()
+    found = {r.n: (r.modelVersion, r.max2[0])
+             for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert found == {1: (1, "sport"), 2: (1, "food"), 11: (2, "food"), 12: (2, "sport")}
