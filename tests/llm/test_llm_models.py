@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -15,6 +16,7 @@ import corpus_pipeline  # noqa: E402
 from topicloom.llm import (  # noqa: E402
     html_content,
     quality,
+    secrets,
     sharding,
     spelling,
     top_k,
@@ -208,6 +210,47 @@ def test_list_reads_like_brute_force(spread):
         assert top_k.best_of_shard(ids, rows, own, query, 3, lists) == [(i, -s) for s, i in best]
 
 
+def test_lists_are_read_at_every_size_until_nobody_else_can_qualify():
+    draw = np.random.default_rng(1)
+    # One dimension decides: reading may stop long before the end.
+    rows = (draw.integers(-5, 6, (500, 8)) * ([1000] + [1] * 7)).astype(np.int64)
+    rows[:20, 0] += 90_000
+    query = np.array([3, 1, -1, 1, 1, -1, 1, 1], dtype=np.int64)
+    left, read = top_k.read_lists(np.arange(500), 500, query, 10, top_k.sorted_lists(rows))
+    assert 0 < read < 500 and len(left) <= 20
+    best = np.argsort(-(rows @ query), kind="stable")[:10]
+    assert set(best) <= set(left)
+    # Nothing decides: the lists are read to the end, on a small table too.
+    even = draw.integers(-3, 4, (500, 8)).astype(np.int64)
+    left, read = top_k.read_lists(np.arange(500), 500, query, 10, top_k.sorted_lists(even))
+    assert read > 250
+    assert set(np.argsort(-(even @ query), kind="stable")[:10]) <= set(left) or len(left) >= 10
+
+
+def test_results_replace_columns_of_their_names(spark):
+    text = "AKIA" + "B" * 20
+    rows = spark.createDataFrame(
+        [(1, text, "http://a.org/x", "<p>t</p>", "old", "old", "old", "old", "old", "old", "old")],
+        "doc_id long, text string, url string, html string, slot string, shard string, "
+        "spans string, base string, n_chars string, host string, verdict string")
+    placed = sharding.place_on_shards(rows, "doc_id", {"a": 1, "b": 1}, 101).first()
+    assert placed.shard in ("a", "b") and placed.host == "old"
+    flat = secrets.MarkovModel([-1.0] * secrets._SIZE ** 2)
+    found = secrets.find_secrets(rows, flat).first()
+    assert [(s.start, s.end) for s in found.spans] == [(0, 24)] and found.shard == "old"
+    judged = urls.judge_urls(rows, urls.default_rules()).first()
+    assert (judged.host, judged.verdict, judged.spans) == ("a.org", "allow", "old")
+    pages = html_content.extract_content(rows, html_content.learn_content(rows)).first()
+    assert pages.n_chars == len(pages.text) and pages.base == "old"
+
+
+def test_many_end_tags_without_a_partner():
+    start = time.perf_counter()
+    tree = html_content.Tree("<div>" * 20_000 + "x" + "</span>" * 20_000)
+    assert len(tree.tag) >= 20_001
+    assert time.perf_counter() - start < 10
+
+
 def test_shards(spark):
     names = {f"s{n}": 1 for n in range(10)}
     owner = sharding.fill_slots(names, 1009)
@@ -261,7 +304,7 @@ def test_pages(spark):
     learned = spark.read.parquet(f"{SF}/pages.parquet")
     model = html_content.learn_content(learned)
     rows = spark.createDataFrame([(i, h, "clash") for i, (h, _) in enumerate(PAGES)],
-                                 "page_id long, html string, n_chars string").drop("n_chars")
+                                 "page_id long, html string, n_chars string")
     found = {r.page_id: r for r in html_content.extract_content(rows, model).collect()}
     for i, (_, text) in enumerate(PAGES):
         assert found[i].text == text, i
@@ -386,3 +429,17 @@ def test_pipeline_judges_rows(spark):
     kept = corpus_pipeline.drop_near_duplicates(spark, mixed, SF).collect()
     assert sorted((r.doc_id or 0, r.text) for r in kept) == [
         (-5, clean), (-5, other), (-3, ""), (0, "")]
+
+
+def test_pipeline_keeps_columns_that_clash(spark):
+    extra = ["score", "items", "spans", "matches", "held_out", "n_hit", "base", "key", "label"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    for name in extra:
+        docs = docs.withColumn(name, F.concat(F.lit(name), "doc_id"))
+    kept = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, SF)
+        assert kept.columns == docs.columns
+        rows = kept.collect()
+        assert rows and all(r[name] == f"{name}{r.doc_id}" for r in rows for name in extra)
+        kept = spark.createDataFrame(rows, docs.schema)

@@ -90,6 +90,8 @@ class Tree:
         self.parent: list[int] = [-1]
         self.words: list[tuple[str, ...]] = [()]
         self.length: list[int] = [0]
+        #: How many elements of each tag are open.
+        self.open: Counter = Counter()
         #: (element, decoded text), and (-1, "") where a block begins or ends.
         self.pieces: list[tuple[int, str]] = []
         self._read(page)
@@ -114,9 +116,14 @@ class Tree:
 
     def _close(self, stack: list[int], tags: frozenset[str], stop: frozenset[str]) -> None:
         """Close the innermost open element of ``tags``, unless one of ``stop`` is nearer."""
+        # An end tag without an open partner costs nothing, however deep the page is.
+        if not any(self.open[tag] for tag in tags):
+            return
         for depth in range(len(stack) - 1, 0, -1):
             tag = self.tag[stack[depth]]
             if tag in tags:
+                for node in stack[depth:]:
+                    self.open[self.tag[node]] -= 1
                 del stack[depth:]
                 self.pieces.append((-1, ""))
                 return
@@ -164,6 +171,7 @@ class Tree:
             return end.end() if end else len(page)
         if not rest.endswith("/") or tag not in ("svg", "path"):
             stack.append(node)
+            self.open[tag] += 1
         return at
 
     def marked(self, i: int) -> bool:
@@ -381,5 +389,5 @@ def extract_content(pages: DataFrame, model: ContentModel, column: str = "html")
 
     text = extract(F.coalesce(F.col(column), F.lit("")))
     read = pages.withColumn("text", text)
-    kept = [c for c in pages.columns if c not in (column, "text")]
+    kept = [c for c in pages.columns if c not in (column, "text", "n_chars")]
     return read.select(*kept, "text", F.length("text").cast("long").alias("n_chars"))

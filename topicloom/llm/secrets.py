@@ -16,7 +16,8 @@ overlap; those of different patterns may. A string that lies within a match of a
 is not added; one that only overlaps it is judged whole and added beside it. Places count code
 points from 0, the end is exclusive. A very long text, run or list of matches costs in proportion
 to its length, or nearly so. Spans of equal place go by their kind. Repeated rows are searched
-each; null keys and other columns are kept. An empty table gives no rows.
+each; null keys and other columns are kept, but for ``base`` and ``spans``, which the results
+replace. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -279,6 +280,7 @@ def find_secrets(
     ``base`` has the matches of the fixed patterns, ``spans`` also the random strings;
     ``kind`` is the place in ``KINDS``.
     """
+    docs = docs.drop("base", "spans")
     found = _with_matches(docs, text)
     random = F.filter("_runs", lambda r: model.judge(r["run"]) >= least_ratio)
     added = F.transform(random, lambda r: F.struct(

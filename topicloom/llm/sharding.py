@@ -8,8 +8,9 @@ keys. A key is placed by the hash that names its slot.
 
 The size of the table is a parameter and does not grow with the data, so it is broadcast.
 
-Defined cases: a null key is placed like the empty text. Repeated keys are placed alike.
-Other columns are kept.
+Defined cases: a null key is placed like the empty text, a very long one by its hash. Repeated
+keys are placed alike. Other columns are kept, but for ``slot`` and ``shard``, which the results
+replace. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -63,5 +64,6 @@ def place_on_shards(
         "slot": pa.array(range(slots), pa.int32()), "shard": pa.array(owner)}))
     text = F.coalesce(F.col(key).cast("string"), F.lit(""))
     slot = F.pmod(F.xxhash64(text), F.lit(slots)).cast("int")
-    return df.withColumn("slot", slot).join(F.broadcast(table), "slot").select(
-        *df.columns, "slot", "shard")
+    kept = [c for c in df.columns if c not in ("slot", "shard")]
+    return df.select(*kept, slot.alias("slot")).join(F.broadcast(table), "slot").select(
+        *kept, "slot", "shard")

@@ -5,8 +5,8 @@ meets every shard in a task of its own. Within a task every dimension is a list
 shard's vectors, sorted by what they add to the score. The lists are read from the best
 entry on, some rows of all lists at a time. What was read of a vector, with the least and
 the greatest that the unread lists can still add, bounds its score from below and above.
-Reading stops when few vectors can still be among the best; their final scores are resolved
-then. The best of all shards are merged.
+Reading stops when nobody outside a small share of the vectors can be among the best; final
+scores are resolved then, whatever the size of the shard. The best of all shards are merged.
 
 Defined cases: vectors that are null, or hold a null or non-finite component, and rows
 without an id take no part. A shorter vector counts as ending in zeros; an empty one has
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,8 +28,8 @@ from topicloom.llm.store import stored
 #: Vectors of a shard and queries of a block.
 SHARD_ROWS = 8_192
 BLOCK_QUERIES = 512
-#: Reading stops when so many times k vectors are left.
-FEW = 100
+#: Reading stops when no more than k vectors, or one of so many, are left.
+LEFT = 32
 #: Parts in which the lists are read.
 READS = 6
 
@@ -55,8 +56,7 @@ def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
 
 
 def _width(table: pa.Table) -> int:
-    sizes = [len(x) if x.is_valid else 0 for x in table.column("x").combine_chunks()]
-    return max(sizes, default=0)
+    return pc.max(pc.list_value_length(table.column("x"))).as_py() or 0
 
 
 def sorted_lists(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -65,19 +65,18 @@ def sorted_lists(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.take_along_axis(rows.T, order, axis=1)
 
 
-def best_of_shard(
-    ids: np.ndarray, rows: np.ndarray, own: int, query: np.ndarray, k: int,
-    lists: tuple[np.ndarray, np.ndarray],
-) -> list[tuple[int, int]]:
-    """(id, score) of the k best rows for one query, by sequential reads of ``sorted_lists``.
+def read_lists(
+    left: np.ndarray, n: int, query: np.ndarray, k: int, lists: tuple[np.ndarray, np.ndarray]
+) -> tuple[np.ndarray, int]:
+    """(rows of ``left`` that can be among the k best, entries read of each list).
 
-    Bounds are floating-point numbers with a margin for rounding; final scores are exact.
+    Bounds are floating-point numbers with a margin for rounding.
     """
     order, values = lists
-    left = np.flatnonzero(ids != own)
     used = np.flatnonzero(query)
-    if len(left) > FEW * k and len(used):
-        n, weight = len(rows), query[used].astype(np.float64)
+    few, end = max(k, n // LEFT), 0
+    if len(left) > few and len(used):
+        weight = query[used].astype(np.float64)
         least = np.minimum(values[used, 0] * weight, values[used, -1] * weight)
         margin = 1e-9 * float((np.abs(weight) * np.abs(values[used][:, [0, -1]]).max(axis=1)).sum())
         read, seen = np.zeros(n), np.zeros((len(used), n))
@@ -98,8 +97,20 @@ def best_of_shard(
             bar = np.partition(lower, len(lower) - k)[len(lower) - k]
             # No other vector can reach the k-th lower bound any more, not even by a tie.
             left = left[upper >= bar - margin]
-            if len(left) <= FEW * k:
+            if len(left) <= few:
                 break
+    return left, end
+
+
+def best_of_shard(
+    ids: np.ndarray, rows: np.ndarray, own: int, query: np.ndarray, k: int,
+    lists: tuple[np.ndarray, np.ndarray],
+) -> list[tuple[int, int]]:
+    """(id, score) of the k best rows for one query, by sequential reads of ``sorted_lists``.
+
+    Final scores are exact.
+    """
+    left, _ = read_lists(np.flatnonzero(ids != own), len(rows), query, k, lists)
     score = rows[left] @ query
     best = np.lexsort((ids[left], -score))[:k]
     return [(int(ids[left[i]]), int(score[i])) for i in best]

@@ -6,8 +6,10 @@ rule is indexed by its rarest token. The tokens of a URL fetch candidate rules,
 those are run.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path and no rule.
-Equal URLs get equal results; repeated rows and null ids are kept. A rule without a literal
-token is refused. Other columns are kept.
+Equal URLs get equal results; repeated rows and null ids are kept. Of fitting rules of equal
+weight the greater name counts. A very long URL is read whole. A rule without a literal token is
+refused. Other columns are kept, but for ``host``, ``path``, ``rule`` and ``verdict``, which the
+results replace. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -124,9 +126,12 @@ def judge_urls(
     fitting = candidates.where(F.expr("_place rlike pattern"))
     best = fitting.groupBy("_host", "_path").agg(
         F.max(F.struct("weight", "rule", "action")).alias("_best"))
-    judged = parted.join(best, ["_host", "_path"], "left")
+    # Many pages may share one place, all without an address for one: nothing is dealt by it
+    # unless the places with a rule are too many to be sent.
+    judged = lookup_join(parted, stored(best, "url-verdicts"), ["_host", "_path"], "left")
+    results = ("host", "path", "rule", "verdict")
     return judged.select(
-        *pages.columns, F.col("_host").alias("host"), F.col("_path").alias("path"),
+        *(c for c in pages.columns if c not in results), F.col("_host").alias("host"), F.col("_path").alias("path"),
         F.col("_best.rule").alias("rule"),
         F.coalesce("_best.action", F.lit(default)).alias("verdict"),
     )
