@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from topicloom import session
 from topicloom.scale import (
     bounded_arrow,
     bounded_rows,
@@ -12,6 +13,7 @@ from topicloom.scale import (
     fits_broadcast,
     lookup_join,
     salted_join,
+    written_lookup,
 )
 
 
@@ -66,6 +68,16 @@ def test_dense_index_distributed_equals_window(spark):
     assert dense_index(df.where("n < 0"), ["n"]).collect() == []
 
 
+def test_scratch_goes_when_asked(spark, monkeypatch):
+    monkeypatch.setattr(session, "_given", {})
+    kept = written_lookup(spark.range(5))
+    assert kept.count() == 5
+    assert session.clear_scratch(spark) == 1
+    assert session.clear_scratch(spark) == 0
+    with pytest.raises(Exception, match="(?i)not.*exist"):
+        spark.read.parquet(kept.inputFiles()[0])
+
+
 def test_explode_once_and_filter_once(spark):
     df = spark.createDataFrame([(1, "a b"), (2, ""), (3, "c")], "id int, t string")
     words = F.filter(F.split("t", " "), lambda w: w != "")

@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import SparkSession
 
 _local_scratch: str | None = None
+#: Paths given out by ``scratch_path``, by application.
+_given: dict[str, list[str]] = {}
 
 
 def build_session(app_name: str, master: str | None = None, **conf: str) -> SparkSession:
@@ -53,4 +55,19 @@ def shared_folder(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder; never reused between runs."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _given.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete the intermediate tables of this session, and tell how many there were.
+
+    Results are read from some of them, so they must have been written or collected.
+    """
+    removed = 0
+    for path in _given.pop(spark.sparkContext.applicationId, []):
+        here = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = here.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        removed += bool(files.delete(here, True))
+    return removed
