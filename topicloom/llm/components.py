@@ -1,4 +1,8 @@
-"""Connected components of a link table, by hooking and contraction."""
+"""Connected components of a link table, by hooking and contraction.
+
+Defined cases: links with a null end and links to itself join nothing; repeated links count once;
+other columns are not read. An empty table has no component.
+"""
 
 from __future__ import annotations
 

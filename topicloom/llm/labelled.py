@@ -1,4 +1,9 @@
-"""A bounded sample of labelled rows to fit a classifier on."""
+"""A bounded sample of labelled rows to fit a classifier on.
+
+Defined cases: rows without a key are not learned from; of several labels of a key the largest
+counts, of several texts the first in order; a null text counts as empty and long ones are taken
+whole. Empty tables give an empty sample. Other columns are not read.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,8 @@
-"""Intermediate tables in the shared folder."""
+"""Intermediate tables in the shared folder.
+
+Rows are kept as they are, repeated ones and nulls too; an empty table stays one. What is left at
+the end of a session goes with ``topicloom.session.clear_scratch``.
+"""
 
 from __future__ import annotations
 
