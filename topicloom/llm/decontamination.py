@@ -88,7 +88,8 @@ class Windows:
                            np.concatenate([[0], np.cumsum(size)]), WORD_BYTES)
         bounds = list(zip(found.first[:-1], found.first[1:]))
         self.words = [found.hashes[a:b] for a, b in bounds]
-        self.lengths = [(found.ends - found.starts)[a:b] for a, b in bounds]
+        length = found.ends - found.starts
+        self.lengths = [length[a:b] for a, b in bounds]
         #: Letters of all windows without the spaces, and where those of each window begin.
         self.letters = np.frombuffer(joined.replace(b" ", b""), dtype=np.uint8)
         self.begin = np.concatenate([[0], np.cumsum([n.sum() for n in self.lengths])]).astype(
