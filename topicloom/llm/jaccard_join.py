@@ -10,8 +10,8 @@ can be told for each set alone; a set with fewer shared ones has no link there.
 
 Documents that agree in a signature are compared with the smallest one of them. Where a
 signature still joins different groups, they are compared with the one that has the fewest
-elements of its own, and at last with all of other groups whose sizes and common elements
-allow a link. So a group of n copies costs about n comparisons, and no link is lost.
+elements of its own, and at last with all of other groups whose sizes, common elements and
+number of shared signatures allow a link. So a group of n copies costs about n comparisons, and no link is lost.
 
 Defined cases: A null or empty text, or one without words, has the empty set and links with
 nothing. Rows with equal ``key`` are one document. A row with a null key takes part through
@@ -260,7 +260,7 @@ def signature_rows(docs: DataFrame, key: str, text: str, words: int, percent: in
 
 
 def shared_members(rows: DataFrame, alias: DataFrame) -> DataFrame:
-    """(sig, doc, own): signatures that may join two documents, with their documents.
+    """(sig, doc, own, needed): signatures that may join two documents, with their documents.
 
     At least one of them is of the own band. A document stays in an instance only if it has
     as many such signatures there as any link needs. ``alias`` names the documents that
@@ -279,7 +279,7 @@ def shared_members(rows: DataFrame, alias: DataFrame) -> DataFrame:
     each = each.select(F.coalesce("rep", "doc").alias("doc"), "sig", "own", "needed").distinct()
     counted = each.selectExpr(
         "sig", "doc", "own", "needed", "count(1) over (partition by doc, own) as n")
-    return counted.where("n >= needed").select("sig", "doc", "own")
+    return counted.where("n >= needed").select("sig", "doc", "own", "needed")
 
 
 def _verified(
@@ -388,7 +388,6 @@ def jaccard_groups(
     centers = members.groupBy("sig").agg(
         F.min(F.when(F.col("own"), F.col("doc"))).alias("least"), F.count("*").alias("n")
     ).where("least is not null and n > 1").select("sig", "least")
-    members = members.select("sig", "doc")
     stars = members.join(centers, "sig").where("doc <> least")
     edges = scratch.keep(
         stars.groupBy(F.col("doc").alias("a"), F.col("least").alias("b")).count(), "jaccard-edges"
@@ -410,7 +409,7 @@ def jaccard_groups(
     more = scratch.keep(_verified(hubs, sets, percent, scratch), "jaccard-links")
     links = links.union(more)
     groups = connected_components(links)
-    open_ = scratch.keep(_open_members(open_.select("sig", "doc"), groups), "jaccard-open")
+    open_ = scratch.keep(_open_members(open_.drop("label"), groups), "jaccard-open")
     rest = _between_groups(open_, bounds, percent)
     tested = edges.select("a", "b").union(hubs.select("a", "b"))
     rest = rest.join(tested, ["a", "b"], "anti")
@@ -440,9 +439,9 @@ def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def _open_members(members: DataFrame, groups: DataFrame) -> DataFrame:
-    """(sig, doc, label): members of signatures that still join different groups."""
+    """(sig, doc, own, needed, label): members of signatures that still join different groups."""
     labelled = members.join(groups.withColumnRenamed("node", "doc"), "doc", "left").select(
-        "sig", "doc", F.coalesce("label", "doc").alias("label")
+        "sig", "doc", "own", "needed", F.coalesce("label", "doc").alias("label")
     )
     mixed = labelled.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y"))
     return labelled.join(mixed.where("x <> y").select("sig"), "sig")
@@ -509,19 +508,22 @@ def _hub_pairs(open_: DataFrame, bounds: DataFrame, percent: int) -> DataFrame:
 
 
 def _between_groups(open_: DataFrame, bounds: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different groups that share a signature and may link, each of them once.
+    """Pairs of different groups that share as many signatures as a link needs, and may link.
 
-    A pair comes from the smallest signature that both have.
+    All signatures that documents of two groups share are open, so a pair with fewer of
+    them than one of the two needs has no link. A pair comes from the smallest one.
     """
     near = open_.join(bounds, "doc")
-    sigs = near.groupBy("doc").agg(F.collect_set("sig").alias("sigs"))
-    near = near.join(sigs, "doc")
+    sigs = near.groupBy("doc", "own").agg(F.collect_set("sig").alias("sigs"))
+    near = near.join(sigs, ["doc", "own"])
 
     def side(name: str) -> DataFrame:
         return near.select("sig", F.col("doc").alias(name), *(
-            F.col(c).alias(f"{c}_{name}") for c in ("label", "size", "most", "sigs")))
+            F.col(c).alias(f"{c}_{name}") for c in ("label", "size", "most", "sigs", "needed")))
 
-    first = F.array_min(F.array_intersect("sigs_a", "sigs_b")) == F.col("sig")
+    common = F.array_intersect("sigs_a", "sigs_b")
+    first = (F.array_min(common) == F.col("sig")) & (
+        F.size(common) >= F.greatest("needed_a", "needed_b"))
     may = (F.col("a") > F.col("b")) & (F.col("label_a") != F.col("label_b")) & _may_link(percent)
     pairs = side("a").withColumnRenamed("sig", "_sig").join(
         side("b"), (F.col("_sig") == F.col("sig")) & may & first)
