@@ -100,13 +100,16 @@ def find_words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> Wo
     total = int(inside.sum())
     lengths = np.diff(np.append(places, total))
     # Eight bytes at a time, each mixed with its place: no structure of the word survives.
-    position = np.arange(total) - np.repeat(places, lengths)
-    head = np.flatnonzero((position & 7) == 0)
-    number = (position[head] >> 3).astype(np.uint64)
+    rows = (lengths + 7) >> 3
+    head = np.cumsum(rows) - rows
+    padded = np.zeros(8 * int(rows.sum()), dtype=np.uint8)
+    target = np.repeat(8 * head - places, lengths)
+    target += np.arange(total)
+    padded[target] = data[inside]
+    number = (np.arange(len(padded) // 8) - np.repeat(head, rows)).astype(np.uint64)
     with np.errstate(over="ignore"):
-        shifted = data[inside].astype(np.uint64) << ((position & 7) << 3).astype(np.uint64)
-        lanes = mix(np.add.reduceat(shifted, head) ^ mix(number + _LANE_SEED))
-        sums = np.add.reduceat(lanes, np.flatnonzero(number == 0))
+        lanes = mix(padded.view("<u8") ^ mix(number + _LANE_SEED))
+        sums = np.add.reduceat(lanes, head)
         hashes = mix(sums + lengths.astype(np.uint64) * _ODD)
     return Words(starts, starts + lengths, hashes, np.searchsorted(starts, offsets))
 
