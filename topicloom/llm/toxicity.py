@@ -32,7 +32,7 @@ from topicloom.llm.spelling import SpellingTable, allowed_edits, spelling_table
 from topicloom.llm.store import Scratch
 
 #: Bytes of text that are taken apart at once: scoring, and learning the lexicon.
-SCORE_BYTES = 2 << 20
+SCORE_BYTES = 512 << 10
 LEARN_BYTES = 256 << 10
 #: Labelled documents to learn from, at most (in expectation).
 MOST_ROWS = 20_000
