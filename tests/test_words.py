@@ -1,7 +1,11 @@
 """Vocabulary, word numbers, sequences, word vectors and term weights."""
 
 import math
+import tracemalloc
+from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -208,3 +212,55 @@ def test_word_vectorizer_knows_every_word(spark):
     counts = counter.transform(df).select(F.unwrap_udt("counts").alias("c")).first().c
     assert [counter.vocabulary[i] for i in counts["indices"]] == ["z"]
     assert counts["values"] == [2.0]
+
+
+def _peak_mb(work):
+    """MB that a function allocates at most, in NumPy and Arrow."""
+    before, pool = pa.default_memory_pool(), pa.proxy_memory_pool(pa.default_memory_pool())
+    pa.set_memory_pool(pool)
+    tracemalloc.start()
+    try:
+        work()
+        return (tracemalloc.get_traced_memory()[1] + pool.max_memory()) / 1e6
+    finally:
+        tracemalloc.stop()
+        pa.set_memory_pool(before)
+
+
+def test_look_ups_need_little_memory_besides_their_batch():
+    # A whole Arrow batch of padded rows: 10 million ids of which most are padding.
+    ids = np.zeros((10_000, 1_000), dtype=np.int32)
+    ids[:, :3] = np.arange(30_000).reshape(-1, 3) % 7
+    lists = pa.ListArray.from_arrays(np.arange(10_001, dtype=np.int32) * 1_000, ids.ravel())
+    vectors = np.arange(10, dtype=np.float32).reshape(5, 2)
+    average = embeddings.averager(SimpleNamespace(value=(np.arange(1, 6), vectors)), 2)
+    assert _peak_mb(lambda: average(lists)) < 100
+    means = average(lists).to_pylist()
+    for row in (0, 1, 4_321, 9_999):
+        known = [vectors[i - 1] for i in ids[row] if 1 <= i <= 5]
+        assert means[row] == pytest.approx(np.mean(known, axis=0))
+
+    words = pa.array(["a", "b", "c", "d"] * 1_250_000)
+    lists = pa.ListArray.from_arrays(pa.array([0, 3, 3, len(words)], pa.int32()), words)
+    look_up = sequences.word_finder(SimpleNamespace(value=(
+        pa.array(["a", "c"]), pa.array([1, 2], pa.int32()))))
+    assert _peak_mb(lambda: look_up(lists)) < 60
+    found = look_up(lists)
+    assert found.offsets.to_pylist() == [0, 3, 3, len(words)]
+    assert found.values.to_numpy().tolist() == [1, 0, 2, 0] * 1_250_000
+
+
+def test_look_ups_in_pieces_of_one_row(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "GATHERED_IDS", 2)
+    monkeypatch.setattr(sequences, "LOOKED_UP_WORDS", 2)
+    df = spark.createDataFrame(
+        [(1, ["a", "b", "x", "a", "c"]), (2, []), (3, None), (4, ["b"]), (5, ["x", "c"])],
+        "n int, tokens array<string>").coalesce(1)
+    known = spark.createDataFrame([("a", 1), ("b", 2), ("c", 4)], "word string, id int")
+    matrix = spark.createDataFrame([(0, [0.0]), (1, [1.0]), (2, [4.0]), (4, [6.0])],
+                                   "id int, vector array<float>")
+    encoded = sequences.token_ids(df, known)
+    assert [r.ids for r in encoded.orderBy("n").collect()] == [
+        [1, 2, 0, 1, 4], [], None, [2], [0, 4]]
+    means = embeddings.mean_vectors(encoded, matrix, 1).orderBy("n").collect()
+    assert [r.meanVector for r in means] == [[3.0], [0.0], [0.0], [4.0], [6.0]]

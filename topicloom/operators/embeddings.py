@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -16,6 +18,7 @@ from topicloom.scale import bounded_arrow, lookup_join, salted_join, with_row_ke
 
 BROADCAST_FLOATS = 50_000_000
 GATHERED_FLOATS = 2_000_000
+GATHERED_IDS = 1_000_000
 
 
 def vector_dim_check(vectors: DataFrame) -> DataFrame:
@@ -86,39 +89,59 @@ def mean_vectors(
                           max_floats // max(dim, 1))
     if known is None:
         return mean_vectors_by_join(df, matrix, dim, ids, out)
-    block = max(1, GATHERED_FLOATS // max(dim, 1))
     in_order = known.sort_by("id")
     # Looked up by their order, so gaps between the ids cost nothing.
     numbers = in_order["id"].to_numpy().astype(np.int64)
     flat = np.asarray(pc.list_flatten(in_order["vector"].combine_chunks()), dtype=np.float32)
     shared = df.sparkSession.sparkContext.broadcast((numbers, flat.reshape(len(numbers), dim)))
 
-    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    average = F.arrow_udf(averager(shared, dim), T.ArrayType(T.DoubleType()))
+    return df.withColumn(out, average(F.col(ids)))
+
+
+def averager(shared, dim: int) -> Callable[[pa.Array], pa.Array]:
+    """Lists of ids to their mean vectors; ``shared`` holds the known ids and their vectors.
+
+    A bounded number of ids, or one row, is worked on at a time: besides its batch and the
+    means a worker needs the same memory for any number of rows.
+    """
+    block, most = max(1, GATHERED_FLOATS // max(dim, 1)), GATHERED_IDS
+
     def average(lists: pa.Array) -> pa.Array:
         import numpy as np
         import pyarrow as pa
         import pyarrow.compute as pc
 
         numbers, vectors = shared.value
-        words = np.asarray(lists.flatten(), dtype=np.int64)
-        sizes = np.asarray(pc.fill_null(pc.list_value_length(lists), 0))
-        row = np.repeat(np.arange(len(lists)), sizes)
-        place = np.searchsorted(numbers, words)
-        place[place == len(numbers)] = 0
-        found = (numbers[place] == words) if len(numbers) else np.zeros(len(words), dtype=bool)
-        row, place = row[found], place[found]
-        sums = np.zeros((len(lists), vectors.shape[1]))
-        # A bounded number of gathered vectors at a time.
-        for low in range(0, len(row), block):
-            part = row[low:low + block]
-            heads = np.flatnonzero(np.diff(part, prepend=-1))
-            gathered = vectors[place[low:low + block]].astype(np.float64)
-            sums[part[heads]] += np.add.reduceat(gathered, heads, axis=0)
-        means = sums / np.maximum(np.bincount(row, minlength=len(lists)), 1)[:, None]
-        offsets = np.arange(len(lists) + 1, dtype=np.int32) * vectors.shape[1]
+        dim = vectors.shape[1]
+        ends = np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(lists), 0)))
+        flat = lists.flatten()
+        means = np.zeros((len(lists), dim))
+        low = 0
+        while low < len(lists):
+            start = int(ends[low - 1]) if low else 0
+            high = max(low + 1, int(np.searchsorted(ends, start + most, side="right")))
+            words = np.asarray(flat.slice(start, int(ends[high - 1]) - start))
+            sizes = np.diff(ends[low:high], prepend=start)
+            row = np.repeat(np.arange(low, high), sizes)
+            # Padding is no word; most of a short row is padding.
+            row, words = row[words != 0], words[words != 0]
+            place = np.searchsorted(numbers, words)
+            place[place == len(numbers)] = 0
+            found = (numbers[place] == words) if len(numbers) else np.zeros(len(words), dtype=bool)
+            row, place = row[found], place[found]
+            # A bounded number of gathered vectors at a time.
+            for first in range(0, len(row), block):
+                part = row[first:first + block]
+                heads = np.flatnonzero(np.diff(part, prepend=-1))
+                gathered = vectors[place[first:first + block]].astype(np.float64)
+                means[part[heads]] += np.add.reduceat(gathered, heads, axis=0)
+            means[low:high] /= np.maximum(np.bincount(row - low, minlength=high - low), 1)[:, None]
+            low = high
+        offsets = np.arange(len(lists) + 1, dtype=np.int32) * dim
         return pa.ListArray.from_arrays(offsets, means.ravel())
 
-    return df.withColumn(out, average(F.col(ids)))
+    return average
 
 
 def mean_vectors_by_join(

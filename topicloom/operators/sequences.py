@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +15,7 @@ from topicloom.scale import BROADCAST_ROWS, bounded_arrow, salted_join, with_row
 
 # Fixed value: default number of ids per page.
 SEQUENCE_LENGTH = 1_000
+LOOKED_UP_WORDS = 1_000_000
 
 
 def token_ids(
@@ -34,19 +37,33 @@ def token_ids(
     shared = df.sparkSession.sparkContext.broadcast(
         (words["word"].combine_chunks(), words["id"].combine_chunks())
     )
+    look_up = F.arrow_udf(word_finder(shared), T.ArrayType(T.IntegerType()))
+    words_of_row = F.coalesce(F.col(tokens), F.array().cast("array<string>"))
+    return df.withColumn(out, F.when(F.col(tokens).isNotNull(), look_up(words_of_row)))
+
+
+def word_finder(shared) -> Callable[[pa.Array], pa.Array]:
+    """Lists of words to lists of ids; ``shared`` holds the known words and their ids.
+
+    A bounded number of words is looked up at a time, so that a worker needs little more
+    than its batch and the ids.
+    """
+    most = LOOKED_UP_WORDS
 
-    @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def look_up(lists: pa.Array) -> pa.Array:
         import pyarrow as pa
         import pyarrow.compute as pc
 
         known, ids = shared.value
-        places = pc.index_in(lists.values, value_set=known.cast(lists.values.type))
-        values = pc.fill_null(pc.take(ids, places), 0)
+        known = known.cast(lists.values.type)
+        found = [
+            pc.fill_null(pc.take(ids, pc.index_in(lists.values.slice(low, most), value_set=known)), 0)
+            for low in range(0, len(lists.values), most)
+        ]
+        values = pa.concat_arrays(found) if found else pa.array([], pa.int32())
         return pa.ListArray.from_arrays(lists.offsets, values)
 
-    words_of_row = F.coalesce(F.col(tokens), F.array().cast("array<string>"))
-    return df.withColumn(out, F.when(F.col(tokens).isNotNull(), look_up(words_of_row)))
+    return look_up
 
 
 def token_ids_by_join(
