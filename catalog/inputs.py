@@ -90,13 +90,6 @@ def document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def stored_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``document_tokens`` written once, for queries that go over them several times."""
-    path = scratch_path(spark, "tokens")
-    document_tokens(spark, sf_dir).write.parquet(path)
-    return spark.read.parquet(path)
-
-
 def document_vocabulary(spark: SparkSession, sf_dir: str, size: int = VOCABULARY_SIZE) -> DataFrame:
     """(word, count, id) of all documents."""
     counted = build_vocabulary(document_tokens(spark, sf_dir), size)

@@ -11,6 +11,7 @@ from topicloom.scale import (
     explode_once,
     filter_once,
     fits_broadcast,
+    frequent_join,
     lookup_join,
     salted_join,
     written_lookup,
@@ -39,6 +40,21 @@ def test_lookup_join_same_rows_salted_or_broadcast(spark):
         assert "BroadcastHashJoin" not in large._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_frequent_join_moves_only_rare_keys(spark):
+    facts = spark.range(1000).select("id", F.when(F.col("id") < 900, 0).otherwise(
+        F.col("id") % 40).alias("k"))
+    lookup = written_lookup(facts.where("k <> 5").groupBy("k").agg(
+        F.count("*").alias("n"), F.max("id").alias("v")))
+    plain = sorted(facts.join(lookup, "k").collect())
+    for bounds in ((1_000_000, 1 << 30), (30, 1 << 30), (1, 1 << 30), (0, 1 << 30), (1000, 100)):
+        joined = frequent_join(facts, lookup, "k", "n", *bounds)
+        assert sorted(joined.select("k", "id", "n", "v").collect()) == plain
+    plan = frequent_join(facts, lookup, "k", "n", 1)._jdf.queryExecution().optimizedPlan().toString()
+    # The key of 900 rows is sent; the anti join keeps it from moving.
+    assert "LeftAnti" in plan and "_salt" not in plan
+    assert frequent_join(facts, lookup.where("n < 0"), "k", "n").count() == 0
+
+
 def test_salted_join_splits_one_partition_and_refuses_outer_kinds(spark):
     facts = spark.range(1000, numPartitions=1).select("id", F.lit(1).alias("k"))
     lookup = spark.createDataFrame([(1, "x")], "k int, v string")

@@ -214,6 +214,25 @@ def test_word_vectorizer_knows_every_word(spark):
     assert counts["values"] == [2.0]
 
 
+def test_tf_idf_of_repeated_and_null_keys(spark):
+    rows = [(1, ["a", "b", "a"]), (1, ["a", None]), (None, ["b"]), (None, ["b", "c"]), (2, []),
+            (3, None), (4, ["d", "a"])]
+    df = spark.createDataFrame(rows, "n int, tokens array<string>")
+    counts = tfidf.term_counts(df, "n").collect()
+    assert sorted(counts, key=str) == sorted([
+        (1, "a", 3), (1, "b", 1), (None, "b", 2), (None, "c", 1), (4, "a", 1), (4, "d", 1)], key=str)
+    found = {(r.n, r.word): r.tfidf for r in tfidf.tf_idf(df, "n").collect()}
+    assert found[1, "a"] == pytest.approx(3 * math.log(8 / 3))
+    assert found[None, "c"] == pytest.approx(math.log(8 / 2)) and len(found) == 6
+
+
+def test_term_counts_stay_in_their_row(spark):
+    df = spark.range(50).select("id", F.split(F.concat_ws(" ", F.lit("x y x"), "id"), " ").alias("t"))
+    counts = tfidf.term_counts(df, "id", "t")
+    assert "Aggregate" not in counts._jdf.queryExecution().optimizedPlan().toString()
+    assert counts.where("word = 'x' and tf = 2").count() == 50 and counts.count() == 150
+
+
 def _peak_mb(work):
     """MB that a function allocates at most, in NumPy and Arrow."""
     before, pool = pa.default_memory_pool(), pa.proxy_memory_pool(pa.default_memory_pool())

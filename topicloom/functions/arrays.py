@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def computed_once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` where ``use`` names the value several times."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _zeros(length: Column | int) -> Column:
     return F.array_repeat(F.lit(0), length)
 

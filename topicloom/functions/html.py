@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import html.entities
 import json
-from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from topicloom.functions.arrays import computed_once
+
 # Parts without visible text. An unclosed part runs to the end of the page.
 HIDDEN = (
     r"(?is)<!--.*?(?:-->|\z)"
@@ -89,11 +90,6 @@ def decode_entities(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("&")), joined).otherwise(text)
 
 
-def _computed_once(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` where ``use`` names the value several times."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def html_to_text(page: Column) -> Column:
     """Title and body text of a page, white space collapsed.
 
@@ -103,5 +99,5 @@ def html_to_text(page: Column) -> Column:
     visible = F.regexp_replace(page, HIDDEN, "")
     spaced = F.regexp_replace(visible, SEPARATING_TAG, " ")
     plain = F.regexp_replace(spaced, OTHER_TAG, "")
-    decoded = _computed_once(plain, decode_entities)
+    decoded = computed_once(plain, decode_entities)
     return F.trim(F.regexp_replace(decoded, r"[ \t\n\f\r]+", " "))

@@ -2,6 +2,7 @@
 
 * ``bounded_rows``, ``bounded_arrow`` - bring a table to the driver only if it is provably small;
 * ``lookup_join`` - broadcast a side that is measured to be small, salt the join if not;
+* ``frequent_join`` - broadcast the frequent keys of a large lookup, join the others;
 * ``keyed_join`` - broadcast or plain join on a unique key;
 * ``written_lookup`` - a computed lookup as files, so that measuring it does not compute it;
 * ``dense_index`` - consecutive numbers in a global order without a one-task window;
@@ -80,6 +81,39 @@ def lookup_join(
     return salted_join(facts, lookup, on, how, salts)
 
 
+def frequent_join(
+    facts: DataFrame,
+    lookup: DataFrame,
+    on: str,
+    count: str,
+    max_broadcast_rows: int = BROADCAST_ROWS,
+    max_broadcast_bytes: int = BROADCAST_BYTES,
+) -> DataFrame:
+    """Join with a lookup of any size whose ``count`` tells how many facts each key has.
+
+    The most frequent keys are broadcast, as many as are within the bounds. Only facts of
+    the other keys move; none of them is hot. Both tables are read several times.
+    """
+    width = F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in lookup.columns])))
+    sizes = lookup.groupBy(F.col(count).alias("_count")).agg(
+        F.count("*").alias("rows"), F.sum(width).alias("bytes"))
+    above = Window.orderBy(F.desc("_count"))
+    summed = sizes.select("_count", F.sum("rows").over(above).alias("rows"),
+                          F.sum("bytes").over(above).alias("bytes"))
+    fits = (F.col("rows") <= max_broadcast_rows) & (F.col("bytes") <= max_broadcast_bytes)
+    found = summed.agg(F.min(F.when(fits, F.col("_count"))).alias("least"),
+                       F.min("_count").alias("smallest")).first()
+    if found.least is None:
+        return salted_join(facts, lookup, on)
+    often = F.broadcast(lookup.where(F.col(count) >= found.least))
+    joined = facts.join(often, on)
+    if found.least == found.smallest:
+        return joined
+    seldom = facts.join(often.select(on), on, "left_anti").join(
+        lookup.where(F.col(count) < found.least), on)
+    return joined.unionByName(seldom)
+
+
 def keyed_join(
     facts: DataFrame,
     lookup: DataFrame,
