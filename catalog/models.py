@@ -44,7 +44,7 @@ def _training_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
     dim = embeddings.vector_dim(vectors)
     embedded = scratch_path(spark, "embedded")
     embeddings.vocab_embeddings(
-        counted, vectors, known_words=vocabulary.VOCABULARY_SIZE
+        written_lookup(counted), vectors, known_words=vocabulary.VOCABULARY_SIZE
     ).write.parquet(embedded)
     words = spark.read.parquet(embedded)
     matrix = embeddings.embedding_matrix(words, dim)

@@ -138,3 +138,10 @@ def test_bad_floats_fail_unless_tolerant(spark):
     assert tolerant == [1.5, None]
     with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
         one(spark, parts, "array<string>", arrays.parse_floats)
+
+
+def test_grouped_tags_and_frequent_entities(spark):
+    assert html._by_first_letter("pre|p|h1") == "p(?:re|)|h(?:1)"
+    page = "a<P>b<pre >c<prex>d<TaBLE x='>'>e<br/>f<h1\n>g&nbsp;&amp;lt;&amp;amp; \t h&lt &apos;&nbspx"
+    text = "a b cd e f g\u00a0&lt;&amp; h< '\u00a0x"
+    assert spark.range(1).select(html.html_to_text(F.lit(page))).first()[0] == text

@@ -26,9 +26,22 @@ _SEPARATING = (
     "|table|caption|thead|tfoot|tbody|colgroup|col|tr|th|td"
     "|ins|del|video|audio|canvas|svg|math|plaintext"
 )
+
+
+def _by_first_letter(names: str) -> str:
+    """The same names as a pattern that tries those of one first letter only.
+
+    What follows the pattern tells where a name ends, so their order is of no matter.
+    """
+    rest: dict[str, list[str]] = {}
+    for name in names.split("|"):
+        rest.setdefault(name[0], []).append(name[1:])
+    return "|".join(f"{first}(?:{'|'.join(ends)})" for first, ends in rest.items())
+
+
 # Up to the closing bracket; a bracket inside a quoted attribute value does not close.
 _TAG_REST = r"""[^>=]*+(?:=\s*+(?:"[^"]*+"|'[^']*+')?+[^>=]*+)*+>"""
-SEPARATING_TAG = rf"(?i)</?(?:{_SEPARATING})(?=[\s/>]){_TAG_REST}|<[!?][^>]*+>"
+SEPARATING_TAG = rf"(?i)</?(?:{_by_first_letter(_SEPARATING)})(?=[\s/>]){_TAG_REST}|<[!?][^>]*+>"
 # A tag that the page ends in is no text either.
 OTHER_TAG = rf"</?[a-zA-Z]{_TAG_REST}|</?[a-zA-Z][^>]*+\z"
 
@@ -38,6 +51,9 @@ ENTITY = (
     r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]*(?=;)|" + "|".join(_BARE) + r");?+"
 )
 
+# White space that is not one space already.
+_SPACES = r"[\t\n\f\r][ \t\n\f\r]*+| [ \t\n\f\r]++"
+
 OLD_NAME = "^(" + "|".join(_BARE) + ")"
 
 # Often used names come first because the lookup scans in order.
@@ -63,6 +79,12 @@ def _code_point(number: Column) -> Column:
 
 
 def _decode_entity(entity: Column) -> Column:
+    """The text of an entity; frequent ones are compared before anything is parsed."""
+    decoded, names = _decode_parsed(entity), entity_names()
+    return F.coalesce(*[F.when(entity == f"&{n};", F.lit(names[n])) for n in _FREQUENT], decoded)
+
+
+def _decode_parsed(entity: Column) -> Column:
     name = F.regexp_extract(entity, ENTITY, 1)
     digits = F.regexp_extract(name, "^#([0-9]+)$", 1)
     hexits = F.regexp_extract(name, "^#[xX]([0-9a-fA-F]+)$", 1)
@@ -100,4 +122,4 @@ def html_to_text(page: Column) -> Column:
     spaced = F.regexp_replace(visible, SEPARATING_TAG, " ")
     plain = F.regexp_replace(spaced, OTHER_TAG, "")
     decoded = computed_once(plain, decode_entities)
-    return F.trim(F.regexp_replace(decoded, r"[ \t\n\f\r]+", " "))
+    return F.trim(F.regexp_replace(decoded, _SPACES, " "))
