@@ -81,6 +81,48 @@ def test_groups_of_repeated_rows_null_keys_and_empty_tables(spark):
     assert jaccard_join.jaccard_groups(docs.where("false")).collect() == []
 
 
+def test_rows_of_groups_are_kept_without_moving_texts(spark):
+    draw = random.Random(3)
+    texts = near_copies() + [(1000 + i, " " * (i % 3)) for i in range(6)]
+    draw.shuffle(texts)
+    docs = frame(spark, texts).repartition(5)
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")
+    before = {name: spark.conf.get(name) for name in names}
+    try:
+        spark.conf.set(names[0], "-1")
+        spark.conf.set(names[1], "false")
+        kept = jaccard_join.keep_one_row(docs)
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        got = sorted(r.doc_id for r in kept.collect())
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    # Rows without words apart, texts stay in the task that reads them.
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    groups = brute_groups(texts, 5, 80)
+    assert got == sorted(i for i, (n, label) in groups.items() if i == label or not n)
+
+
+def test_rows_between_groups_hold_few_signatures(spark):
+    draw = random.Random(5)
+    base = [draw.randrange(1 << 40) for _ in range(700)]
+    rows, sets = [], {}
+    for doc in range(12):
+        # Pairs of documents share all but a few signatures; needed are 650 of 700.
+        other = draw.sample(range(700), 20 * (doc % 6))
+        sets[doc] = set(base) - {base[i] for i in other} | {draw.randrange(1 << 40) for _ in other}
+        rows += [(sig, doc, True, 650, 6, doc) for sig in sets[doc]]
+    open_ = spark.createDataFrame(
+        rows, "sig long, doc long, own boolean, needed int, parts int, label long")
+    bounds = spark.createDataFrame([(d, 6000, 6000) for d in sets], "doc long, size long, most long")
+    expected = {(a, b) for a in sets for b in sets if a > b and len(sets[a] & sets[b]) >= 650}
+    found = jaccard_join._between_groups(open_, bounds, 80)
+    assert {tuple(r) for r in found.collect()} == expected and expected
+    chunks = jaccard_join._chunks(open_.join(bounds, "doc"))
+    assert chunks.count() == len(rows)
+    assert chunks.selectExpr("max(size(sigs))").first()[0] < 60
+
+
 def test_linked_sets_share_a_signature():
     draw = np.random.default_rng(1)
     scheme = jaccard_join.Scheme(85)

@@ -28,16 +28,18 @@ from math import comb, exp
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topicloom.llm.blocks import blocks, bytes_in, find_words, lower_ascii, mix, shingle_hashes
 from topicloom.llm.components import connected_components
 from topicloom.llm.store import Scratch, stored
-from topicloom.scale import lookup_join
+from topicloom.scale import keyed_join, lookup_join
 
 #: Words are runs of anything but ASCII white space.
 NOT_SPACE = ~bytes_in((0x20, 0x20), (0x09, 0x0D))
+#: Elements of a set from which on its signatures are dealt to several chunks.
+CHUNK = 256
 #: Share of sets for which empty parts alone may be what two linked sets agree in.
 RARE = 1e-6
 
@@ -191,7 +193,8 @@ def set_sizes(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
 def signature_rows(docs: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
     """(sig, doc, info, more) rows: documents of one block that share ``sig``.
 
-    ``info`` is twice the number of signatures that a link needs, plus one for the own band;
+    ``info`` is twice the number of signatures that a link needs, plus one for the own band,
+    and in its upper 8 bits how often those of the instance are halved for ``_chunks``;
     ``more`` has (doc, info) of further documents, null if there are none. Rows are as small
     as can be, and those of a document stand together, so that they compress well.
 
@@ -223,7 +226,8 @@ def signature_rows(docs: DataFrame, key: str, text: str, words: int, percent: in
                     cut = scheme.partitioning(least, most)
                     spare = scheme.spare(cut, len(s), most)
                     found, needed = signatures(s, i, cut, spare)
-                    parts.append((found, k, 2 * needed + (i == band)))
+                    halved = min((most // CHUNK).bit_length(), 30)
+                    parts.append((found, k, (halved << 24) + 2 * needed + (i == band)))
             if not parts:
                 continue
             sizes = [len(found) for found, _, _ in parts]
@@ -260,7 +264,7 @@ def signature_rows(docs: DataFrame, key: str, text: str, words: int, percent: in
 
 
 def shared_members(rows: DataFrame, alias: DataFrame) -> DataFrame:
-    """(sig, doc, own, needed): signatures that may join two documents, with their documents.
+    """(sig, doc, own, needed, parts): signatures that may join two documents, with them.
 
     At least one of them is of the own band. A document stays in an instance only if it has
     as many such signatures there as any link needs. ``alias`` names the documents that
@@ -274,12 +278,17 @@ def shared_members(rows: DataFrame, alias: DataFrame) -> DataFrame:
     members = F.concat(F.array(F.struct("doc", "info")), F.coalesce("more", none))
     each = found.select("sig", F.explode(members).alias("m")).select(
         "sig", "m.doc", (F.col("m.info") % 2 == 1).alias("own"),
-        F.shiftright("m.info", 1).alias("needed"),
-    ).join(alias, "doc", "left")
-    each = each.select(F.coalesce("rep", "doc").alias("doc"), "sig", "own", "needed").distinct()
+        F.shiftright("m.info", 1).bitwiseAND((1 << 23) - 1).alias("needed"),
+        F.shiftright("m.info", 24).alias("parts"),
+    )
+    # No document is hot: it has a bounded number of signatures.
+    each = keyed_join(each, alias, "doc", "left").select(
+        F.coalesce("rep", "doc").alias("doc"), "sig", "own", "needed", "parts")
+    # Dealt once, for the distinct rows and for their number.
+    each = each.repartition("doc", "own").distinct()
     counted = each.selectExpr(
-        "sig", "doc", "own", "needed", "count(1) over (partition by doc, own) as n")
-    return counted.where("n >= needed").select("sig", "doc", "own", "needed")
+        "sig", "doc", "own", "needed", "parts", "count(1) over (partition by doc, own) as n")
+    return counted.where("n >= needed").drop("n")
 
 
 def _verified(
@@ -333,7 +342,7 @@ def _verified(
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """(doc, shingles, codes): the sets of the wanted documents, as bytes.
+    """(doc, size, shingles, codes): the sets of the wanted documents, as bytes.
 
     ``codes`` has the upper 16 bits of each element.
     """
@@ -341,16 +350,18 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, key: str, text: str, words: int
     def run(batches):
         for rows, sets in shingle_sets(batches, "doc", text, words):
             yield pa.RecordBatch.from_arrays(
-                [rows.column("doc"), pa.array([s.tobytes() for s in sets], pa.binary()),
+                [rows.column("doc"), pa.array([len(s) for s in sets], pa.int64()),
+                 pa.array([s.tobytes() for s in sets], pa.binary()),
                  pa.array([(s >> np.uint64(48)).astype(np.uint16).tobytes() for s in sets],
                           pa.binary())],
-                names=["doc", "shingles", "codes"],
+                names=["doc", "size", "shingles", "codes"],
             )
 
     # The list is sent where its measured size allows, so only the chosen texts move.
     named = docs.select(F.col(key).cast("long").alias("doc"), text)
     chosen = lookup_join(named, wanted, "doc", "left_semi")
-    return chosen.dropDuplicates(["doc"]).mapInArrow(run, "doc long, shingles binary, codes binary")
+    return chosen.dropDuplicates(["doc"]).mapInArrow(
+        run, "doc long, size long, shingles binary, codes binary")
 
 
 def jaccard_groups(
@@ -404,7 +415,8 @@ def jaccard_groups(
     links = links.union(more)
     groups = connected_components(links)
     open_ = scratch.keep(_open_members(members, groups), "jaccard-open")
-    bounds = scratch.keep(_bounds(open_, sets, percent), "jaccard-bounds")
+    named = scratch.keep(open_.select("doc").distinct(), "jaccard-named")
+    bounds = scratch.keep(_bounds(named, sets, percent), "jaccard-bounds")
     hubs = scratch.keep(_hub_pairs(open_, bounds, percent), "jaccard-hubs")
     more = scratch.keep(_verified(hubs, sets, percent, scratch), "jaccard-links")
     links = links.union(more)
@@ -439,16 +451,16 @@ def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def _open_members(members: DataFrame, groups: DataFrame) -> DataFrame:
-    """(sig, doc, own, needed, label): members of signatures that still join different groups."""
+    """(sig, doc, own, needed, parts, label): members of signatures that still join different groups."""
     labelled = members.join(groups.withColumnRenamed("node", "doc"), "doc", "left").select(
-        "sig", "doc", "own", "needed", F.coalesce("label", "doc").alias("label")
+        "sig", "doc", "own", "needed", "parts", F.coalesce("label", "doc").alias("label")
     )
     mixed = labelled.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y"))
     return labelled.join(mixed.where("x <> y").select("sig"), "sig")
 
 
-def _bounds(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(doc, size, most) of the open documents that may link with another one.
+def _bounds(named: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(doc, size, most) of the named open documents that may link with another one.
 
     Elements that no other open document has cannot be common ones; ``most`` is what is
     left. A copy with many changes of its own is no candidate, however many copies there are.
@@ -465,13 +477,14 @@ def _bounds(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 names=["doc", "elements"],
             )
 
-    wanted = sets.select("doc", "shingles").join(open_.select("doc").distinct(), "doc", "semi")
+    # Sets move at most once: the list is sent where its measured size allows.
+    wanted = keyed_join(sets.select("doc", "shingles"), named, "doc", "left_semi")
     single = wanted.mapInArrow(elements, "doc long, elements array<long>").select(
         "doc", F.explode("elements").alias("element")
     ).groupBy("element").agg(F.min("doc").alias("doc"), F.count("*").alias("n")).where("n = 1")
     single = single.groupBy("doc").agg(F.count("*").alias("single"))
-    size = (F.octet_length("shingles") / 8).cast("long")
-    bounds = wanted.select("doc", size.alias("size")).join(single, "doc", "left").select(
+    sizes = keyed_join(sets.select("doc", "size"), named, "doc", "left_semi")
+    bounds = sizes.join(single, "doc", "left").select(
         "doc", "size", (F.col("size") - F.coalesce("single", F.lit(0))).alias("most")
     )
     may_link = F.col("most") * 100 >= F.col("size") * percent
@@ -507,27 +520,52 @@ def _hub_pairs(open_: DataFrame, bounds: DataFrame, percent: int) -> DataFrame:
     return pairs.groupBy("a").agg(F.max_by("b", best).alias("b"))
 
 
+def _chunks(near: DataFrame) -> DataFrame:
+    """(sig, doc, own, label, size, most, needed, rest, sigs): a row per signature and document.
+
+    ``sigs`` has the signatures of the document in one of the ``2 ** parts`` chunks into which
+    a hash deals those of an instance, in order, and ``rest`` is how many it has in the others.
+    A chunk holds few however long the document is, so that the rows stay small.
+    """
+    chunk = F.pmod(F.hash("sig"), F.expr("shiftleft(1, parts)"))
+    counted = near.select("*", chunk.alias("chunk"), F.expr(
+        "count(1) over (partition by doc, own)").alias("n"), F.expr(
+        "min(needed) over (partition by doc, own)").alias("least"))
+    each = counted.groupBy("doc", "own", "parts", "chunk").agg(
+        F.sort_array(F.collect_set("sig")).alias("sigs"), F.min("n").alias("n"),
+        F.min("least").alias("needed"), F.min("label").alias("label"),
+        F.min("size").alias("size"), F.min("most").alias("most"))
+    return each.where("n >= needed").select(
+        F.explode("sigs").alias("sig"), "doc", "own", "label", "size", "most", "needed",
+        (F.col("n") - F.size("sigs")).alias("rest"), "sigs")
+
+
 def _between_groups(open_: DataFrame, bounds: DataFrame, percent: int) -> DataFrame:
     """Pairs of different groups that share as many signatures as a link needs, and may link.
 
     All signatures that documents of two groups share are open, so a pair with fewer of
-    them than one of the two needs has no link. A pair comes from the smallest one.
+    them than one of the two needs has no link. A pair comes from the smallest one of each
+    chunk, and only where the other chunks could hold what is missing.
     """
-    near = open_.join(bounds, "doc")
-    sigs = near.groupBy("doc", "own").agg(F.collect_set("sig").alias("sigs"))
-    near = near.join(sigs, ["doc", "own"])
+    near = _chunks(open_.join(bounds, "doc"))
 
     def side(name: str) -> DataFrame:
         return near.select("sig", F.col("doc").alias(name), *(
-            F.col(c).alias(f"{c}_{name}") for c in ("label", "size", "most", "sigs", "needed")))
+            F.col(c).alias(f"{c}_{name}")
+            for c in ("own", "label", "size", "most", "sigs", "needed", "rest")))
 
     common = F.array_intersect("sigs_a", "sigs_b")
+    needed = F.greatest("needed_a", "needed_b")
     first = (F.array_min(common) == F.col("sig")) & (
-        F.size(common) >= F.greatest("needed_a", "needed_b"))
+        F.size(common) + F.least("rest_a", "rest_b") >= needed)
     may = (F.col("a") > F.col("b")) & (F.col("label_a") != F.col("label_b")) & _may_link(percent)
     pairs = side("a").withColumnRenamed("sig", "_sig").join(
         side("b"), (F.col("_sig") == F.col("sig")) & may & first)
-    return pairs.select("a", "b")
+    shared = pairs.select("a", "b", "own_a", "own_b", needed.alias("needed"),
+                          F.size(common).alias("shared"))
+    shared = shared.groupBy("a", "b", "own_a", "own_b").agg(
+        F.sum("shared").alias("shared"), F.max("needed").alias("needed"))
+    return shared.where("shared >= needed").select("a", "b").distinct()
 
 
 def keep_one(docs: DataFrame, groups: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -556,9 +594,21 @@ def keep_one_row(
     order = F.struct(F.col(key).isNull().alias("lost"), F.col(key).alias("key"), "_row")
     first = named.groupBy("component_id").agg(
         F.min(order)["_row"].alias("_row"), F.max("n_shingles").alias("n_shingles"))
-    first = stored(first.select("_row", "n_shingles"), "jaccard-first")
-    kept = rows.join(first.where("n_shingles > 0").select("_row"), "_row", "semi")
-    wordless = rows.join(first.where("n_shingles = 0").select("_row"), "_row", "semi")
+    # One bit per row, so that lists of rows are small enough to be sent and no text moves.
+    has_words, place = F.col("n_shingles") > 0, F.bitmap_bit_position("_row")
+    bits = stored(first.groupBy(F.bitmap_bucket_number("_row").alias("_row_bucket")).agg(
+        F.bitmap_construct_agg(F.when(has_words, place)).alias("_row_kept"),
+        F.bitmap_construct_agg(F.when(~has_words, place)).alias("_row_wordless")), "jaccard-first")
+    marked = lookup_join(
+        rows.withColumn("_row_bucket", F.bitmap_bucket_number("_row")), bits, "_row_bucket")
+    kept = marked.where(_bit("_row_kept", place))
+    wordless = marked.where(_bit("_row_wordless", place))
     named_once = wordless.where(F.col(key).isNotNull()).dropDuplicates([key, text])
     return kept.unionByName(named_once).unionByName(
         wordless.where(F.col(key).isNull())).select(*docs.columns)
+
+
+def _bit(bitmap: str, place: Column) -> Column:
+    """Whether the bit at a place of a bitmap of ``bitmap_construct_agg`` is set."""
+    byte = F.substring(bitmap, (F.shiftright(place, 3) + 1).cast("int"), 1)
+    return F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), (place % 8).cast("int")) == 1
